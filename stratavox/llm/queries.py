@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "url_reputation")
+MODULES = ("mixing", "url_reputation", "toxicity", "token_counts", "packing")
 
 
 def _gathered(name: str) -> dict:
