@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "url_reputation", "toxicity", "token_counts", "packing")
+MODULES = ("url_reputation", "token_counts", "toxicity", "mixing", "packing", "warc", "topk")
 
 
 def _gathered(name: str) -> dict:
