@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_reputation", "token_counts", "toxicity", "mixing", "packing", "quality_divergence", "warc", "topk")
+MODULES = ("url_reputation", "token_counts", "toxicity", "mixing", "packing", "ngram_join", "quality_divergence", "warc", "topk")
 
 
 def _gathered(name: str) -> dict:
