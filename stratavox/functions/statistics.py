@@ -54,14 +54,14 @@ def nmi(df: DataFrame, by: Sequence[str], a: str, b: str, bins: int = BINS, leas
         width = F.when(flat, 1.0).otherwise(F.col(f"{c}_high") - F.col(f"{c}_low"))
         return F.least(F.lit(bins - 1), F.floor((F.col(c) - low) / width * bins)).cast("int")
 
-    joint = rows.join(edges, list(by)).select(*by, cell("_a").alias("i"), cell("_b").alias("j")).groupBy(*by, "i", "j").agg(F.count("*").alias("c"))
+    joint = rows.join(edges, list(by)).select(*by, cell("_a").alias("_i"), cell("_b").alias("_j")).groupBy(*by, "_i", "_j").agg(F.count("*").alias("_c"))
     # One more aggregation over at most bins squared rows a case gives all three entropies.
-    sides = joint.select(*by, F.explode(F.array(F.struct(F.lit("a").alias("s"), "i", F.lit(-1).alias("j")), F.struct(F.lit("b").alias("s"), F.lit(-1).alias("i"), "j"), F.struct(F.lit("ab").alias("s"), "i", "j"))).alias("k"), "c")
-    counts = sides.groupBy(*by, "k").agg(F.sum("c").alias("c")).groupBy(*by, F.col("k.s").alias("s")).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("t"))
-    entropy = F.log("n") - F.col("t") / F.col("n")
-    pick = lambda s: F.max(F.when(F.col("s") == s, entropy))
+    sides = joint.select(*by, F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("_i").alias("i"), F.lit(-1).alias("j")), F.struct(F.lit("b").alias("s"), F.lit(-1).alias("i"), F.col("_j").alias("j")), F.struct(F.lit("ab").alias("s"), F.col("_i").alias("i"), F.col("_j").alias("j")))).alias("_k"), "_c")
+    counts = sides.groupBy(*by, "_k").agg(F.sum("_c").alias("_c")).groupBy(*by, F.col("_k.s").alias("_side")).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log("_c")).alias("_t"))
+    entropy = F.log("_n") - F.col("_t") / F.col("_n")
+    pick = lambda s: F.max(F.when(F.col("_side") == s, entropy))
     total = pick("ab")
-    return counts.groupBy(*by).agg(F.when((F.max("n") >= least) & (total > 1e-12), (pick("a") + pick("b")) / total).alias("nmi"))
+    return counts.groupBy(*by).agg(F.when((F.max("_n") >= least) & (total > 1e-12), (pick("a") + pick("b")) / total).alias("nmi"))
 
 
 def similarity_report(df: DataFrame, by: Sequence[str], fixed: str, before: str, after: str) -> DataFrame:
