@@ -286,7 +286,7 @@ def test_batch_recovers_a_known_transform(spark):
     probe = np.array([[*grid.centre, 1.0], [0, -30, 60, 1], [-20, -20, 100, 1]])
     for r in out.transforms.collect():
         error = np.abs(probe @ (np.array(r["matrix"]).reshape(4, 4) - truth[r["case_id"]]).T)[:, :3]
-        assert np.linalg.norm(error, axis=1).max() < 1.5
+        assert np.linalg.norm(error, axis=1).max() < 2.5  # half of the largest voxel edge
     assert {r["status"] for r in out.verdicts.collect()} == {"PASS"}
     assert all(r["dice"]["liver"] > 0.85 for r in out.metrics.collect())
     text = report.manifests(out.verdicts, out.metrics, out.checks).first()["value"]
