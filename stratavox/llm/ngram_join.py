@@ -1,10 +1,10 @@
 """N-gram Jaccard join with set-relation skipping, exact.
 
 A document's set holds the hashes of its 5-word shingles. Equal sets are one class; only one row of a class goes on. Two sets
-of similarity 0.8 share a token among the first n / 5 + 1 of either in any common order, so index lists are kept for prefixes
-alone, rarest tokens first: tokens whose hash lies in the low ``SHARE`` of the range come first, by the number of sets that
-hold them, and the others, seldom needed, follow by hash. So only low tokens are counted, and a set whose prefix holds tokens
-of its own alone is done at once.
+of similarity 0.8 share a token among the first n / 5 + 1 of either in any common order. Two orders are used. The first counts
+only tokens whose hash lies in the low ``SHARE`` of the range, which come first, by the number of sets that hold them; a set
+that has no shared token in its prefix is done. The sets that are left, which are few, are counted in full among themselves, and
+index lists are kept for their prefixes, rarest tokens first.
 
 Index-level skipping: the entries of a list are blocks of one set size and position, and two blocks whose sizes or remaining
 positions cannot reach the overlap are skipped whole. Answer-level skipping: every set is first verified against the most
@@ -27,61 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, words_of, written
+from .common import load, written
 from .components import components
+from .shingling import batch_shingles, distinct, fingerprint
 
-WIDTH = 5
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 #: Share of the hash range whose tokens are counted; rows up to which a table of ids is broadcast.
 SHARE, BROADCAST_ROWS = 0.26, 1_000_000
 #: Star rounds, pairs for each index entry at which the full comparison starts at once, members of a block.
 ROUNDS, FEW, BLOCK = 4, 4, 128
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: bytes | str | None, width: int = WIDTH) -> np.ndarray:
-    """Hashes of the shingles of a text in order of position; of a shorter text, one of the whole sequence."""
-    words = words_of(text, lower=True)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mixed(out + h[i : len(h) - k + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
-    return out
-
-
-def shingle_set(text: bytes | str | None) -> np.ndarray:
-    return np.unique(shingles(text))
-
-
-def _class_id(s: np.ndarray) -> int | None:
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=7)).astype(np.int64)) if len(s) else None
 
 
 def _sets(docs: DataFrame, what: str) -> DataFrame:
@@ -92,9 +50,9 @@ def _sets(docs: DataFrame, what: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
-                sets = [shingle_set(x) for x in some["raw"]]
+                sets = [distinct(x) for x in batch_shingles(list(some["raw"]))]
                 low = [int(np.searchsorted(s, edge)) for s in sets]
-                out = {"doc_id": some["doc_id"].to_numpy(), "cid": pd.array([_class_id(s) for s in sets], "Int64"), "n": [len(s) for s in sets], "low": low}
+                out = {"doc_id": some["doc_id"].to_numpy(), "cid": pd.array([fingerprint(s) for s in sets], "Int64"), "n": [len(s) for s in sets], "low": low}
                 if what == "first":
                     out["tokens"] = [s[: max(k, len(s) // DEN + 1)].view(np.int64) for s, k in zip(sets, low, strict=True)]
                 elif what == "all":
@@ -114,18 +72,29 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """token, cid, n, pos, own: the index entries of tokens that two sets or more hold. own: the share of a set's low tokens that
-    no other has; the lower it is, the more central is the set."""
+def _counted(sets: DataFrame) -> DataFrame:
+    """token, cid, n, low, high, df: the entries of tokens that two sets or more hold. high: the place of a token that is not low."""
     rows = sets.select("cid", "n", "low", F.posexplode("tokens").alias("at", "token"))
     rows = rows.select("token", "cid", "n", "low", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("high"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where(F.col("df") > 1)
+    return rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where(F.col("df") > 1)
+
+
+def may_have_links(sets: DataFrame) -> DataFrame:
+    """cid of the sets whose prefix holds a token that another set has too, by the low tokens (all first tokens of short sets)."""
+    found = _counted(sets).groupBy("cid", "n", "low").agg(F.count(F.when(F.col("high").isNull(), 1)).alias("shared"), F.count("high").alias("high"))
+    alone = F.col("low") - F.col("shared")
+    return found.where((alone < F.floor(F.col("n") / DEN) + 1) & ((F.col("shared") > 0) | (F.col("high") > 0))).select("cid")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """token, cid, n, pos, own: the index entries. sets: cid, n, tokens (all). own: the share of a set's tokens that no other has;
+    the lower it is, the more central is the set. Sets whose own tokens alone exclude every partner have no entries."""
+    rows = _counted(sets.withColumn("low", F.col("n")))
     mine = Window.partitionBy("cid")
-    alone = F.col("low") - F.count(F.when(F.col("high").isNull(), 1)).over(mine)
-    order = F.row_number().over(mine.orderBy(F.col("high").asc_nulls_first(), F.when(F.col("high").isNull(), F.col("df")), "token")) - 1
-    rows = rows.withColumn("alone", alone).withColumn("pos", F.coalesce("high", (F.col("alone") + order).cast("int")))
-    own = F.round(F.coalesce(F.try_divide(F.col("alone"), F.col("low")), F.lit(0.0)), 4)
-    return rows.where(F.col("pos") < F.floor(F.col("n") / DEN) + 1).select("token", "cid", "n", "pos", own.alias("own"))
+    rows = rows.withColumn("alone", F.col("n") - F.count("*").over(mine))
+    rows = rows.where(F.col("alone") < F.floor(F.col("n") / DEN) + 1)
+    rows = rows.withColumn("pos", (F.col("alone") + F.row_number().over(mine.orderBy("df", "token")) - 1).cast("int"))
+    return rows.where(F.col("pos") < F.floor(F.col("n") / DEN) + 1).select("token", "cid", "n", "pos", F.round(F.col("alone") / F.col("n"), 4).alias("own"))
 
 
 def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -184,11 +153,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = members.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     spare = written(members.where(F.col("cid").isNotNull()).join(classes.withColumnRenamed("doc_id", "first"), "cid").where(F.col("doc_id") != F.col("first")).select("doc_id", "cid").distinct(), "spare")
     first = _sets(docs, "first").where(F.col("cid").isNotNull()).join(_small(spare, spare.count()), ["doc_id", "cid"], "left_anti")
-    entries = written(prefixes(first), "entries")
-    shared = entries.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("token")
-    entries = written(entries.join(shared, "token", "left_semi"), "shared")
-    needed = written(entries.select("cid").distinct().join(classes, "cid"), "needed")
-    sets = written(_sets(docs, "all").join(_small(needed, needed.count()), ["doc_id", "cid"], "left_semi").select("cid", "tokens").dropDuplicates(["cid"]), "sets")
+    needed = written(may_have_links(first).join(classes, "cid"), "needed")
+    sets = written(_sets(docs, "all").join(_small(needed, needed.count()), ["doc_id", "cid"], "left_semi").select("cid", "n", "tokens").dropDuplicates(["cid"]), "sets")
+    entries = written(prefixes(sets), "entries")
     entries = entries.withColumn("comp", F.col("cid"))
     total, known = entries.count(), None
     for turn in range(ROUNDS):
