@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder, written  # noqa: F401
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,31 +33,5 @@ def words_of(text: str | bytes | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(LOWER) if lower else raw).split()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors share; a folder of our own only where it is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(context, "_stratavox_folder", None) or tempfile.mkdtemp(prefix="stratavox-")
-        context._stratavox_folder = found
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/stratavox-{uuid.uuid4().hex}/{label}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write as Parquet to the shared folder and read back: cuts the lineage, survives lost executors, and is computed once."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Delete intermediate tables made by ``written`` once nothing reads them any more."""
-    for frame in frames:
-        jvm = frame.sparkSession._jvm
-        for file in frame.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
