@@ -27,8 +27,8 @@ from .common import LOWER, load
 
 #: Labelled rows to learn from, at most (in expectation).
 SAMPLE = 50_000
-#: Prior pseudo-documents, least z-score of a word that scores, cost of any other token, chance count of a significant passage.
-PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 1000.0, 3.0, 0.05, 0.05
+#: Prior pseudo-tokens, prior pseudo-documents as a share of the sample, least z-score of a word that scores, cost of any other token, chance count of a significant passage.
+PRIOR, PRIOR_SHARE, LEAST_Z, DRIFT, SIGNIFICANT = 1000.0, 0.1, 3.0, 0.05, 0.05
 #: Beginnings of words that are features besides words, in characters, and the words remembered by a worker at most.
 SHORTEST, LONGEST, REMEMBERED = 4, 8, 1_000_000
 #: Lower case; ASCII punctuation separates tokens.
@@ -134,11 +134,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _odds(clean: str, toxic: str, n0: int, n1: int) -> tuple[Column, Column]:
+def _odds(clean: str, toxic: str, n0: int, n1: int, pseudo: float) -> tuple[Column, Column]:
     """Log-odds of a feature under the prior, and their z-score. Features of one text may overlap, so counts may exceed n."""
     y0, y1 = F.col(clean), F.col(toxic)
-    prior = PRIOR * (y1 + y0) / (n1 + n0)
-    rest0, rest1 = F.greatest(n0 + PRIOR - y0 - prior, F.lit(1.0)), F.greatest(n1 + PRIOR - y1 - prior, F.lit(1.0))
+    prior = pseudo * (y1 + y0) / F.greatest(F.lit(1), F.lit(n1 + n0))
+    rest0, rest1 = F.greatest(n0 + pseudo - y0 - prior, F.lit(1.0)), F.greatest(n1 + pseudo - y1 - prior, F.lit(1.0))
     odds = F.log((y1 + prior) / rest1) - F.log((y0 + prior) / rest0)
     return odds, odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     starts = [F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in range(SHORTEST, LONGEST + 1)]
     counts = words.select(F.explode(F.array_compact(F.array(word, *starts))).alias("feature"), "t0", "t1", "d0", "d1").groupBy("feature").agg(*[F.sum(c).cast("double").alias(c) for c in ("t0", "t1", "d0", "d1")])
     total = words.agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).first()
-    found = counts.select("feature", _odds("t0", "t1", total["t0"] or 0, total["t1"] or 0)[0].alias("odds"), _odds("d0", "d1", n0, n1)[1].alias("z"))
+    found = counts.select("feature", _odds("t0", "t1", total["t0"] or 0, total["t1"] or 0, PRIOR)[0].alias("odds"), _odds("d0", "d1", n0, n1, PRIOR_SHARE * (n0 + n1))[1].alias("z"))
     found = found.where((F.col("z") >= LEAST_Z) & (F.col("odds") > 0)).collect()
     weights = Weights({r["feature"]: r["odds"] for r in found})
     use = docs.sparkSession.sparkContext.broadcast(weights)
