@@ -547,3 +547,79 @@ SELECT o_orderkey, CAST(least(32000, greatest(0, round_even((v - lo) / slope, 0)
 def dicom_quantise(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("v"))
     return series.stored(rows, ["o_orderstatus"]).select("o_orderkey", "stored", F.round("slope", 9).alias("slope"), "intercept")
+
+
+# More of labels, starts and neighbourhoods
+
+
+@query("present_organs", f"WITH {VOXELS} SELECT DISTINCT volume_id, {ORGAN_SQL.format('label')} AS organ FROM vox WHERE label <> 0")
+def present_organs(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.present_organs(volumes(spark, d), organ_names(spark, d))
+
+
+@query("first_come_labels", f"""WITH {VOXELS}, m AS (SELECT volume_id, z, y, x, label AS l FROM vox WHERE label > 0 UNION ALL SELECT volume_id, z, y, x, label2 + 10 FROM vox WHERE label2 > 0)
+SELECT volume_id, label, count(*) AS n FROM (SELECT volume_id, z, y, x, min(l) AS label FROM m GROUP BY volume_id, z, y, x) GROUP BY volume_id, label""")
+def first_come_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = volumes(spark, d)
+    one = rows.where(F.col("label") > 0).select("volume_id", *INDEX, "label")
+    two = rows.where(F.col("label2") > 0).select("volume_id", *INDEX, (F.col("label2") + 10).alias("label"))
+    return overlap.first_come(one.unionByName(two)).groupBy("volume_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("organ_mask_union", f"WITH {VOXELS} SELECT volume_id, {SUMS} FROM vox WHERE label IN (1, 3) GROUP BY volume_id")
+def organ_mask_union(spark: SparkSession, d: str) -> DataFrame:
+    return marked(overlap.organ_mask(volumes(spark, d).select("volume_id", *INDEX, "label"), organ_names(spark, d), ["liver", "kidney_left"]))
+
+
+@query("organ_centroid_start", f"""WITH {VOXELS}, f AS (SELECT volume_id, label AS l, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM vox WHERE label > 0 GROUP BY volume_id, label), m AS (SELECT volume_id, label2 AS l, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM vox WHERE label2 > 0 GROUP BY volume_id, label2)
+SELECT f.volume_id AS case_id, count(*) AS n_organs, round(avg(m.x - f.x) * 2, 6) + 0 AS dx, round(avg(m.y - f.y) * 2, 6) + 0 AS dy, round(avg(m.z - f.z) * 2.5e0, 6) + 0 AS dz FROM f JOIN m ON f.volume_id = m.volume_id AND f.l = m.l GROUP BY f.volume_id""")
+def organ_centroid_start(spark: SparkSession, d: str) -> DataFrame:
+    rows = volumes(spark, d)
+
+    def side(c: str) -> DataFrame:
+        labels = rows.where(F.col(c) != 0).select("volume_id", *INDEX, F.col(c).alias("label"))
+        return overlap.organ_centroids(labels, GRID).select(F.col("volume_id").alias("case_id"), F.col("label").alias("organ"), "cx", "cy", "cz")
+
+    out = candidates.organ_centroid_start(side("label"), side("label2"))
+    return out.select("case_id", "n_organs", *[(F.round(c, 6) + 0.0).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("closing", f"""WITH {VOXELS}, mask AS (SELECT volume_id, z, y, x FROM vox WHERE label = 1 AND (x + y + z) % 3 > 0), {DILATED.replace(ball_sql(4.0), ball_sql(2.0))}, o2(oz, oy, ox) AS (VALUES {ball_sql(2.0)}),
+bad AS (SELECT DISTINCT m.volume_id, m.z, m.y, m.x FROM dil m, o2 WHERE m.z + oz BETWEEN 0 AND {Z - 1} AND m.y + oy BETWEEN 0 AND {Y - 1} AND m.x + ox BETWEEN 0 AND {X - 1} AND (m.volume_id, m.z + oz, m.y + oy, m.x + ox) NOT IN (SELECT volume_id, z, y, x FROM dil))
+SELECT volume_id, {SUMS} FROM dil WHERE (volume_id, z, y, x) NOT IN (SELECT volume_id, z, y, x FROM bad) GROUP BY volume_id""")
+def closing(spark: SparkSession, d: str) -> DataFrame:
+    rows = liver(spark, d).where((F.col("x") + F.col("y") + F.col("z")) % 3 > 0)
+    return marked(morphology.closed(rows, ["volume_id"], 2.0, GRID))
+
+
+@query("shift_edge", f"WITH {VOXELS} SELECT a.volume_id, a.z, a.y, a.x, b.v FROM vox a JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y AND b.x = greatest(0, a.x - 3)")
+def shift_edge(spark: SparkSession, d: str) -> DataFrame:
+    rows = volumes(spark, d)
+    return rows.select("volume_id", *INDEX, neighbourhood.shift(F.col("v"), ["volume_id"], "x", 3).alias("v"))
+
+
+@query("checkerboard", f"WITH {VOXELS} SELECT volume_id, CAST((z // 4 + y // 4 + x // 4) % 2 AS BIGINT) AS tile, round(avg(v), 6) AS v FROM vox GROUP BY volume_id, tile")
+def checkerboard(spark: SparkSession, d: str) -> DataFrame:
+    return volumes(spark, d).groupBy("volume_id", geometry.checkerboard(4).alias("tile")).agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+@query("world_field", f"""WITH {CASES} SELECT volume_id, round(sx * 0.1e0 * {(X - 1) / 2 * 2.0}e0, 9) + 0 AS dx, round(sy * 0.2e0 * {(Y - 1) / 2 * 2.0}e0, 9) + 0 AS dy, round(0.3e0 * {(Z - 1) / 2 * 2.5}e0, 9) AS dz FROM cases""")
+def world_field(spark: SparkSession, d: str) -> DataFrame:
+    rows = cases(spark, d).select("volume_id", (F.col("sx") * 0.1).alias("dx"), (F.col("sy") * 0.2).alias("dy"), F.lit(0.3).alias("dz"))
+    return resample.world_field(rows, GRID).select("volume_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("series_warnings", """WITH w AS (SELECT n_nationkey, n_nationkey % 2 = 0 AS irregular, n_nationkey % 6 AS m, n_nationkey % 5 AS t FROM nation)
+SELECT n_nationkey, array_to_string(list_filter([CASE WHEN irregular THEN 'irregular slice spacing' END, CASE WHEN m < 4 THEN 'fewer than 4 voxels along an axis' END, CASE WHEN m IN (2, 3) THEN 'PET values are not SUV' END, CASE WHEN m = 5 THEN 'unsupported modality' END,
+  CASE WHEN t > 0 THEN 'tilted gantry' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM w""")
+def series_warnings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    modality = F.element_at(F.array(*map(F.lit, ("CT", "MR", "PT", "PT", "US", "XX"))), 1 + k % 6)
+    rows = table(spark, d, "nation").select("n_nationkey", (k % 2 == 0).alias("irregular"), F.array(F.lit(9), F.lit(9), k % 6).alias("size"), modality.alias("modality"), F.lit("BQML").alias("units"), (k % 5).cast("double").alias("tilt_deg"))
+    return rows.select("n_nationkey", F.array_join(series.warnings(rows), "; ").alias("warnings"))
+
+
+@query("log_hints", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'fields of view hardly overlap: improve the starting point or lower the required ratio of valid samples' WHEN 1 THEN 'lower the resolution or crop to the region of interest' WHEN 2 THEN 'an input path does not exist' END AS hint FROM documents""")
+def log_hints(spark: SparkSession, d: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("ERROR: Too many samples map outside moving image", "Not enough memory", "No such file or directory", "all well"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", names.hint(said).alias("hint"))
