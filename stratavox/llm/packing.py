@@ -20,19 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import LOWER, load
 
 SEQUENCE, END, PER_GROUP = 4096, 2, 2000
 #: Words remembered by a worker at most, and the longest that is remembered.
-REMEMBERED, LONGEST = 600_000, 40
+REMEMBERED, LONGEST = 1_000_000, 40
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so ids of a text are those of its parts between ASCII white space
-    one after another; frequent parts are remembered.
+    The tokenizer lower-cases, drops white space and never joins across it, so ids of a text are those of its words one after
+    another, and frequent words are remembered. A word of letters and ASCII marks behind them is two pre-tokens. Words of
+    letters are one pre-token each, whose last id alone ends a word, so many of them are encoded as one text and cut at these.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,28 +41,63 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.translate(_SPACES).split(" ") if t else [] for t in texts]
-        missing = list({w for words in split for w in words} - self.seen.keys())
-        if len(self.seen) + len(missing) > REMEMBERED:
-            self.seen.clear()
-            missing = list({w for words in split for w in words})
-        seen = dict.fromkeys((), b"") if len(missing) > REMEMBERED else self.seen
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([seen[w] for w in words]) for words in split]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.seen: dict[bytes, bytes] = {}
+
+    def texts(self, raws: list[bytes | None]) -> list[bytes]:
+        split = [raw.translate(LOWER).split() if raw else [] for raw in raws]
+        found = [list(map(self.seen.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if len(self.seen) + 2 * len(missing) > REMEMBERED:
+            self.seen = {}
+            missing = set().union(*split)
+        self.learn(list(missing))
+        out = [b"".join(map(self.seen.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
         for w in missing:
             if len(w) > LONGEST:
-                seen.pop(w, None)
+                self.seen.pop(w, None)
         return out
 
-
-#: White space that the tokenizer drops and at which no Unicode composition crosses.
-_SPACES = {c: " " for c in range(9, 14)}
+    def learn(self, missing: list[bytes]) -> None:
+        if not missing:
+            return
+        texts = b"\n".join(missing).decode("utf-8", "replace").split("\n")
+        cores = [t.rstrip(MARKS) for t in texts]
+        plain, pairs, odd = {}, [], []
+        for w, t, c in zip(missing, texts, cores, strict=True):
+            if c.isalpha() and SPLITS not in c:
+                mark = len(t) - len(c)
+                if mark:
+                    pairs.append((w, w[:-mark], w[-mark:]))
+                    w = w[:-mark]
+                plain[w] = c
+            else:
+                odd.append(w)
+        odd += [m for m in {m for _, _, m in pairs} if m not in self.seen]
+        for i in range(0, len(odd), 2000):
+            for w, e in zip(odd[i : i + 2000], self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd[i : i + 2000]], add_special_tokens=False), strict=True):
+                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        cores = [c for c in plain if c not in self.seen]
+        for i in range(0, len(cores), 2000):
+            some = cores[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain[c] for c in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):  # never with this tokenizer; another one may cut words of letters
+                parts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([plain[c] for c in some], add_special_tokens=False)]
+            else:
+                raw = ids.tobytes()
+                parts = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+            self.seen.update(zip(some, parts, strict=True))
+        for w, core, mark in pairs:
+            self.seen[w] = self.seen[core] + self.seen[mark]
+
+
+#: ASCII marks that end a word of letters without changing how it is cut; an apostrophe may.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: The one letter whose lower case is not of letters alone.
+SPLITS = "\u0130"
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,13 +109,13 @@ def ids_column(text: Column, path: str, end: int = END) -> Column:
     """The document's ids and the end token, as bytes of 32-bit integers."""
     tail = np.array([end], "<u4").tobytes()
 
-    def coded(texts: pd.Series) -> pd.Series:
-        ids, texts, out = tokenizer(path), list(texts), []
-        for i in range(0, len(texts), 500):
-            out += [x + tail for x in ids.texts(texts[i : i + 500])]
+    def coded(raws: pd.Series) -> pd.Series:
+        ids, raws, out = tokenizer(path), list(raws), []
+        for i in range(0, len(raws), 500):
+            out += [x + tail for x in ids.texts(raws[i : i + 500])]
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(coded, "binary")(text)
+    return F.pandas_udf(coded, "binary")(text.cast("binary"))
 
 
 def first_fit_decreasing(sizes: list[int], room: int) -> list[list[int]]:
