@@ -18,6 +18,8 @@ from .common import WORD, load, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
+#: Sources up to which their thresholds, one row each, are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ROWS = 10_000
 #: Hexadecimal digits of the key and of each level of refinement.
 DIGITS, STEP = 9, 3
 
@@ -53,9 +55,9 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(docs: DataFrame, plan: DataFrame, few: bool = False) -> DataFrame:
     """plan (source, source_size, target) with passes, the whole times the source is taken, and below: documents with a smaller
-    key are taken once more. docs: source, size and key."""
+    key are taken once more. docs: source, size and key; few: whether the sources are few enough to be broadcast."""
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("passes", passes.cast("long")).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = plan.withColumn("low", F.lit(0).cast("long")).withColumn("reached", F.lit(0).cast("long"))
@@ -63,7 +65,7 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
         width = 16 ** (DIGITS - level * STEP)
         mine = plan.select(F.col("source").alias("s"), "low", "left", "reached")
         inside = F.col("source").eqNullSafe(F.col("s")) & (F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + width * 16**STEP)
-        sums = docs.join(mine, inside).groupBy("source", "left", "reached", F.floor(F.col("key") / width).alias("bucket")).agg(F.sum("size").alias("sum"))
+        sums = docs.join(F.broadcast(mine) if few else mine, inside).groupBy("source", "left", "reached", F.floor(F.col("key") / width).alias("bucket")).agg(F.sum("size").alias("sum"))
         upto = F.col("reached") + F.sum("sum").over(Window.partitionBy("source").orderBy("bucket"))
         ends = sums.withColumn("upto", upto).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("sum") <= F.col("left")) & (F.col("sum") > 0))
         ends = ends.select(F.col("source").alias("s"), "bucket", "upto", (F.col("upto") - F.col("sum")).alias("from"))
@@ -75,13 +77,20 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.select("source", "source_size", "target", "passes", F.col("low").alias("below"))
 
 
+def _plan(rows: DataFrame, weights: tuple[int, ...], limit: int) -> tuple[DataFrame, bool]:
+    """Thresholds by source, and whether they are few."""
+    by_source = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    few = by_source.count() <= BROADCAST_ROWS
+    return written(thresholds(rows, targets(by_source, weights, limit), few), "thresholds"), few
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """doc_id, size, source_size, target, times and taken = times * size of every document."""
     rows = written(sized(docs), "sized")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = written(thresholds(rows, targets(by_source, weights, limit)), "thresholds").withColumnRenamed("source", "s")
+    plan, few = _plan(rows, weights, limit)
+    plan = plan.withColumnRenamed("source", "s")
     times = F.col("passes") + F.when(F.col("key") < F.col("below"), 1).otherwise(0)
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    out = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
@@ -91,11 +100,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     The times come from thresholds by source, so documents keep their columns in place and only one row a source is joined.
     """
     rows = written(sized(docs), "sized")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = written(thresholds(rows, targets(by_source, weights, limit)), "thresholds")
+    plan, few = _plan(rows, weights, limit)
     plan = plan.select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("below").alias("_mix_below"))
     times = F.col("_mix_passes") + F.when(key_column(docs["doc_id"]) < F.col("_mix_below"), 1).otherwise(0)
-    out = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times.cast("int"))
+    out = docs.join(F.broadcast(plan) if few else plan, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times.cast("int"))
     out = out.where("_mix_times > 0").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return out.select(*[out[c] for c in docs.columns])
 
