@@ -30,7 +30,7 @@ SAMPLE = 50_000
 #: Prior pseudo-tokens, prior pseudo-documents as a share of the sample, least z-score of a word that scores, cost of any other token, chance count of a significant passage.
 PRIOR, PRIOR_SHARE, LEAST_Z, DRIFT, SIGNIFICANT = 1000.0, 0.1, 3.0, 0.05, 0.05
 #: Beginnings of words that are features besides words, in characters, and the words remembered by a worker at most.
-SHORTEST, LONGEST, REMEMBERED = 4, 8, 1_000_000
+SHORTEST, LONGEST, REMEMBERED = 4, 8, 200_000
 #: Lower case; ASCII punctuation separates tokens.
 TOKENS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in LOWER)
 
