@@ -20,6 +20,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts that a Python worker gets at a time, where the session sets no bound of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so Arrow batches are bounded by bytes rather than rows; a bound that the session has is kept."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also maps other alphabets)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

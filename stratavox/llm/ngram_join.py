@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import bound_batches, load, written
 from .components import components
 from .shingling import batch_shingles, distinct, fingerprint
 
@@ -149,6 +149,7 @@ def _with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, cid, n of every row; edges: a, b between classes whose components are those of all links)."""
+    bound_batches(docs.sparkSession)
     members = written(_sets(docs, ""), "members").drop("low")
     classes = members.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     spare = written(members.where(F.col("cid").isNotNull()).join(classes.withColumnRenamed("doc_id", "first"), "cid").where(F.col("doc_id") != F.col("first")).select("doc_id", "cid").distinct(), "spare")

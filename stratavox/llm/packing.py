@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, load
+from .common import LOWER, bound_batches, load
 
 SEQUENCE, END, PER_GROUP = 4096, 2, 2000
 #: Words remembered by a worker at most, and the longest that is remembered.
@@ -174,6 +174,7 @@ def _packed(group: pa.Table) -> pa.Table:
 
 def pack_documents(docs: DataFrame, path: str, per_group: int = PER_GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    bound_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // per_group))
     group = F.pmod(F.xxhash64(F.lit("pack"), F.col("doc_id"), F.col("text")), F.lit(groups)).alias("group")
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group, ids_column(F.col("text"), path).alias("ids"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, load
+from .common import LOWER, bound_batches, load
 
 #: Labelled rows to learn from, at most (in expectation).
 SAMPLE = 50_000
@@ -145,6 +145,7 @@ def _odds(clean: str, toxic: str, n0: int, n1: int, pseudo: float) -> tuple[Colu
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: word weights, lambda, K and the curve. labels: doc_id, toxic; rows for the hold-out are left out."""
+    bound_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = rows.count()
     rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, sample / max(total, 1)))))
