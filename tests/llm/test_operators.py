@@ -146,6 +146,38 @@ def test_substring_dedup_finds_shared_passages(spark, corpus):
     assert cut[203] == ""
 
 
+def brute_windows(x, y):
+    """The shingles of x that some shingle of y equals, of all windows of 50 words of x that are similar to one of y."""
+    known, out = set(y), set()
+    sides = [frozenset(y[j : j + 46]) for j in range(len(y) - 45)]
+    for i in range(len(x) - 45):
+        mine = frozenset(x[i : i + 46])
+        if any(10 * len(mine & s) >= 8 * len(mine | s) for s in sides):
+            out |= {k for k in range(i, i + 46) if x[k] in known}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_passages_inside_loosely_matching_stretches(seed):
+    """One word changed in 20 throughout, but for three stretches with one change, insertion or omission in the middle."""
+    r = random.Random(seed)
+    base = [f"v{r.randrange(10**6)}" for _ in range(420)]
+    calm = [(60, 60 + r.randint(50, 70)), (190, 190 + r.randint(50, 70)), (330, 330 + r.randint(50, 70))]
+    other = []
+    for i, w in enumerate(base):
+        inside = next(((a, b) for a, b in calm if a <= i < b), None)
+        if inside and i == (inside[0] + inside[1]) // 2:
+            other += [[f"x{i}"], [w, f"x{i}"], []][r.randrange(3)]
+        elif not inside and r.random() < 0.08 or inside and i in (inside[0], inside[1] - 1):
+            other.append(f"x{i}")
+        else:
+            other.append(w)
+    x, y = (substring_dedup.batch_shingles([" ".join(w).encode()])[0] for w in (base, other))
+    got = {k for a, b, _, _ in substring_dedup.passages(x, y, 0) for k in range(a, b)}
+    want = brute_windows(x.tolist(), y.tolist())
+    assert want and want == {k for k in got if x[k] in set(y.tolist())}
+
+
 def test_without_keeps_what_is_between():
     assert substring_dedup.without("a b  c\nd e", [{"start": 1, "end": 3}]) == "a\nd e"
     assert substring_dedup.without("a b", [{"start": 0, "end": 9}]) == ""
