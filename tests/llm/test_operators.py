@@ -146,6 +146,17 @@ def test_substring_dedup_finds_shared_passages(spark, corpus):
     assert cut[203] == ""
 
 
+def test_substring_dedup_when_the_first_has_only_the_phrase(spark):
+    """Every shingle of a passage stands alone in a document of smaller id, so no min-hash value's first window has the passage."""
+    passage = prose(7, 60).split()
+    rows = [(k, f"{prose(100 + k, 70)} {' '.join(passage[k : k + 5])} {prose(200 + k, 70)}") for k in range(56)]
+    edited_one = passage[:30] + ["changed"] + passage[31:]
+    whole = [(500 + k, f"{prose(300 + k, 60)} {' '.join(edited_one if k == 3 else passage)} {prose(400 + k, 60)}") for k in range(4)]
+    got = {r["doc_id"]: r for r in substring_dedup.report(docs(spark, rows + whole)).collect()}
+    assert all(got[i]["class_id"] == i and got[i]["repeated_words"] == 0 for i, _ in rows)
+    assert all(got[i]["class_id"] == 500 and 60 <= got[i]["repeated_words"] <= 62 for i, _ in whole)
+
+
 def brute_windows(x, y):
     """The shingles of x that some shingle of y equals, of all windows of 50 words of x that are similar to one of y."""
     known, out = set(y), set()
