@@ -1,30 +1,34 @@
 """Packing documents into sequences: first-fit decreasing in randomised groups.
 
-Documents are dealt to groups of about ``per_group`` documents by a hash. In a group every whole sequence's worth of a long
+Documents are dealt to groups of about ``per_group`` documents, or ``GROUP_BYTES`` of text where they are long, by a hash that
+takes in the row's place, so that repeated rows are spread. In a group every whole sequence's worth of a long
 document becomes a sequence; the rests are placed first-fit decreasing, where a tournament tree over the free room of all bins
 finds the first bin that is large enough in logarithmic time. The emptiest bins beyond the least possible number are then
 dissolved: their pieces are cut to fill the holes of the others, so a group pads less than one sequence.
 
 Defined results: null text is an empty document, which is the end token alone; rows with equal doc_id are packed separately;
-an empty table gives no sequences; extra columns are ignored. The tokenizer file must be readable on every executor.
+a null doc_id is packed like any other; an empty table gives no sequences; extra columns are ignored. Strings of special tokens
+in a text are ordinary text (``encode_special_tokens``). The tokenizer file must be readable on every executor.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bound_batches, load
+from .common import bound_batches, load
+from .shingling import buffers, word_hashes
 
-SEQUENCE, END, PER_GROUP = 4096, 2, 2000
-#: Words remembered by a worker at most, and the longest that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 40
+SEQUENCE, END, PER_GROUP, GROUP_BYTES = 4096, 2, 2000, 32_000_000
+#: Words and ids remembered by a worker, after which it starts anew, and the size of its table.
+REMEMBERED, MOST_IDS, TABLE = 2_000_000, 16_000_000, 1 << 22
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -32,8 +36,8 @@ class Ids:
     """Token ids of texts as little-endian 32-bit integers.
 
     The tokenizer lower-cases, drops white space and never joins across it, so ids of a text are those of its words one after
-    another, and frequent words are remembered. A word of letters and ASCII marks behind them is two pre-tokens. Words of
-    letters are one pre-token each, whose last id alone ends a word, so many of them are encoded as one text and cut at these.
+    another. Words are told apart by hashes of 64 bits, looked up together in an open table, and tokenized once. A word of letters
+    and ASCII marks behind them is two pre-tokens; a word of letters goes straight to the tokenizer's model.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,61 +45,103 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.seen: dict[bytes, bytes] = {}
-
-    def texts(self, raws: list[bytes | None]) -> list[bytes]:
-        split = [raw.translate(LOWER).split() if raw else [] for raw in raws]
-        found = [list(map(self.seen.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        if len(self.seen) + 2 * len(missing) > REMEMBERED:
-            self.seen = {}
-            missing = set().union(*split)
-        self.learn(list(missing))
-        out = [b"".join(map(self.seen.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
-        for w in missing:
-            if len(w) > LONGEST:
-                self.seen.pop(w, None)
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
+        self.marks: dict[bytes, list[int]] = {}
+        # The short way holds for byte-level tokenizers that keep words of letters whole; with any other, every word is encoded.
+        self.direct = True
+        tries = [b"probe", "\u00fcber\u00e9".encode(), "\u65e5\u672c".encode()]
+        self.direct = self.learn(tries) == [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in tries]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.numbers = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.int32)
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words by hash, -1 for those not remembered."""
+        out, left, slot = np.full(len(h), -1), np.arange(len(h)), h & np.uint64(TABLE - 1)
+        while len(left):
+            key = self.keys[slot]
+            same = key == h[left]
+            out[left[same]] = self.numbers[slot[same]]
+            go = ~same & (key != 0)
+            left, slot = left[go], (slot[go] + np.uint64(1)) & np.uint64(TABLE - 1)
         return out
 
-    def learn(self, missing: list[bytes]) -> None:
-        if not missing:
-            return
-        texts = b"\n".join(missing).decode("utf-8", "replace").split("\n")
-        cores = [t.rstrip(MARKS) for t in texts]
-        plain, pairs, odd = {}, [], []
-        for w, t, c in zip(missing, texts, cores, strict=True):
-            if c.isalpha() and SPLITS not in c:
-                mark = len(t) - len(c)
-                if mark:
-                    pairs.append((w, w[:-mark], w[-mark:]))
-                    w = w[:-mark]
-                plain[w] = c
+    def remember(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words, whose hashes are distinct."""
+        ids = self.learn(words)
+        numbers = np.arange(len(self.sizes), len(self.sizes) + len(h), dtype=np.int32)
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), "<u4")])
+        left, slot = np.arange(len(h)), h & np.uint64(TABLE - 1)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            mine = free & (self.keys[slot] == h[left])
+            self.numbers[slot[mine]] = numbers[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + np.uint64(1)) & np.uint64(TABLE - 1)
+        return numbers
+
+    def learn(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        odd, tokenize = [], self.model.tokenize
+        for i, w in enumerate(words):
+            core = w.rstrip(MARKS)
+            if not self.direct:
+                odd.append(i)
+                continue
+            if core.isalpha():
+                text = core.decode()
             else:
-                odd.append(w)
-        odd += [m for m in {m for _, _, m in pairs} if m not in self.seen]
-        for i in range(0, len(odd), 2000):
-            for w, e in zip(odd[i : i + 2000], self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd[i : i + 2000]], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        cores = [c for c in plain if c not in self.seen]
-        for i in range(0, len(cores), 2000):
-            some = cores[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain[c] for c in some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(some):  # never with this tokenizer; another one may cut words of letters
-                parts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([plain[c] for c in some], add_special_tokens=False)]
-            else:
-                raw = ids.tobytes()
-                parts = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-            self.seen.update(zip(some, parts, strict=True))
-        for w, core, mark in pairs:
-            self.seen[w] = self.seen[core] + self.seen[mark]
+                text = core.decode("utf-8", "replace")
+                if not text.isalpha() or SPLITS in text:
+                    odd.append(i)
+                    continue
+                text = self.normal.normalize_str(text).encode().decode("latin-1").translate(BYTES)
+            out[i] = [t.id for t in tokenize(text)]
+            if len(core) < len(w):
+                mark = w[len(core) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids
+                out[i] += self.marks[mark]
+        for at in range(0, len(odd), 2000):
+            some = odd[at : at + 2000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        if len(self.marks) > REMEMBERED:
+            self.marks.clear()
+        return out
+
+    def texts(self, raws: list[bytes | None], end: int = END) -> list[bytes]:
+        """The ids of texts (null: none), each with the end token behind them."""
+        out: list[bytes] = []
+        for buffer, some in buffers(raws):
+            if len(self.sizes) > REMEMBERED or len(self.flat) > MOST_IDS:
+                self.clear()
+            start, size, h = word_hashes(buffer)
+            h[h == 0] = 1
+            number = self.find(h)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                hashes, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+                at = new[first]
+                number[new] = self.remember(hashes, [buffer[a:b] for a, b in zip(start[at].tolist(), (start[at] + size[at]).tolist(), strict=True)])[back]
+            count = self.sizes[number]
+            behind = np.cumsum(count)
+            at = np.repeat(self.starts[number] - (behind - count), count) + np.arange(behind[-1] if len(behind) else 0)
+            raw, tail = self.flat[at].tobytes(), np.array([end], "<u4").tobytes()
+            words = np.searchsorted(start, 1 + np.cumsum([len(x) + 1 for x in some]))
+            edge = (4 * np.concatenate([[0], behind])[np.concatenate([[0], words])]).tolist()
+            out += [raw[a:b] + tail for a, b in zip(edge, edge[1:])]
+        return out
 
 
 #: ASCII marks that end a word of letters without changing how it is cut; an apostrophe may.
-MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Byte-level pieces write a byte that is no visible Latin-1 character as one from U+0100 on, in order.
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 #: The one letter whose lower case is not of letters alone.
 SPLITS = "\u0130"
 
@@ -105,17 +151,17 @@ def tokenizer(path: str) -> Ids:
     return Ids(path)
 
 
-def ids_column(text: Column, path: str, end: int = END) -> Column:
-    """The document's ids and the end token, as bytes of 32-bit integers."""
-    tail = np.array([end], "<u4").tobytes()
+def coded(rows: DataFrame, path: str, end: int = END) -> DataFrame:
+    """rows with raw (text as binary) replaced by ids: the document's ids and the end token, as bytes of 32-bit integers."""
 
-    def coded(raws: pd.Series) -> pd.Series:
-        ids, raws, out = tokenizer(path), list(raws), []
-        for i in range(0, len(raws), 500):
-            out += [x + tail for x in ids.texts(raws[i : i + 500])]
-        return pd.Series(out, dtype=object)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = tokenizer(path).texts(batch.column("raw").to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_names), pa.array(ids, pa.binary())], names=[*kept_names, "ids"])
 
-    return F.pandas_udf(coded, "binary")(text.cast("binary"))
+    kept_names = [c for c in rows.columns if c != "raw"]
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in kept_names), "ids binary"]))
 
 
 def first_fit_decreasing(sizes: list[int], room: int) -> list[list[int]]:
@@ -175,10 +221,11 @@ def _packed(group: pa.Table) -> pa.Table:
 def pack_documents(docs: DataFrame, path: str, per_group: int = PER_GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     bound_batches(docs.sparkSession)
-    groups = max(1, -(-docs.count() // per_group))
-    group = F.pmod(F.xxhash64(F.lit("pack"), F.col("doc_id"), F.col("text")), F.lit(groups)).alias("group")
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group, ids_column(F.col("text"), path).alias("ids"))
-    return coded.groupBy("group").applyInArrow(_packed, OUT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // per_group), -(-(size["bytes"] or 0) // GROUP_BYTES))
+    group = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", F.monotonically_increasing_id()), F.lit(groups)).alias("group")
+    return coded(rows.select("doc_id", group, "raw"), path).groupBy("group").applyInArrow(_packed, OUT)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ so nothing is done word by word in Python and no table of words is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -28,8 +30,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every word in a buffer (lower-cased, white space before and behind) and its hash."""
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every word in a buffer (lower-cased, white space before and behind), its bytes and its hash."""
     a = np.frombuffer(raw + bytes(16), np.uint8)
     space = _SPACE[a]
     space[len(raw) :] = True
@@ -50,12 +52,11 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         h[left] = mixed(h[left] ^ chunk)
         left = left[rest > 8]
         k += 1
-    return start, h
+    return start, size, h
 
 
-def batch_shingles(raws: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
-    """For each text, the hashes of its shingles in order; of a shorter text, one of the whole sequence."""
-    out: list[np.ndarray] = []
+def buffers(raws: list[bytes | None]) -> Iterator[tuple[bytes, list[bytes]]]:
+    """The texts, some together: a buffer of lower-cased texts with a line end before and behind each, and these texts."""
     at = 0
     while at < len(raws):
         some, total = [], 0
@@ -63,8 +64,14 @@ def batch_shingles(raws: list[bytes | None], width: int = WIDTH) -> list[np.ndar
             some.append(raws[at] or b"")
             total += len(some[-1]) + 1
             at += 1
-        buffer = b"\n" + b"\n".join(some).translate(LOWER) + b"\n"
-        start, h = _word_hashes(buffer)
+        yield b"\n" + b"\n".join(some).translate(LOWER) + b"\n", some
+
+
+def batch_shingles(raws: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text, the hashes of its shingles in order; of a shorter text, one of the whole sequence."""
+    out: list[np.ndarray] = []
+    for buffer, some in buffers(raws):
+        start, _, h = word_hashes(buffer)
         ends = np.searchsorted(start, 1 + np.cumsum([len(x) + 1 for x in some]))
         full = max(0, len(h) - width + 1)
         s = np.full(full, width, np.uint64)

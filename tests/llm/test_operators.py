@@ -421,6 +421,35 @@ def test_packing_is_gapless_and_exact(spark):
         assert at <= 4096
 
 
+def test_packing_of_repeated_rows_null_ids_and_no_rows(spark):
+    import public_tokenizers
+
+    path, t = public_tokenizers.path("word_bpe_49k.json"), prose(4, 700)
+    rows = packing.pack_documents(docs(spark, [(5, t), (5, t), (None, t), (6, None), (7, "x")]), path).collect()
+    whole = sum(p["length"] for p in rows if p["doc_id"] == 5)
+    assert whole == 2 * next(p["doc_tokens"] for p in rows if p["doc_id"] == 5) == 2 * sum(p["length"] for p in rows if p["doc_id"] is None)
+    assert sorted(p["doc_tokens"] for p in rows if p["doc_id"] in (6, 7)) == [1, 2]
+    assert packing.pack_documents(docs(spark, []), path).collect() == []
+
+
+def test_word_ids_are_the_tokenizer_s(monkeypatch):
+    """Words of all kinds, with a table so small that it starts anew again and again, and with the short way switched off."""
+    import public_tokenizers
+
+    r = random.Random(3)
+    letters = "abcXYZ éßÇñ日 \u0130\u00a0,.!?'-$%<|>1234\n"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))).encode() for _ in range(600)] + [None, b"", "don't THE'S <|endoftext|> a\u0301b".encode(), b"z" * 3000]
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.direct
+    for direct in (True, False):
+        ids.direct = direct
+        got = [x for k in range(0, len(texts), 50) for x in ids.texts(texts[k : k + 50])]
+        for t, g in zip(texts, got, strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == [*ids.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, 2], t
+        ids.clear()
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     r = random.Random(3)
     for _ in range(50):
