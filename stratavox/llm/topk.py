@@ -1,19 +1,23 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are dealt to blocks by a hash, and within a block grouped by length (norm). A query first meets a bounded set of
-seed candidates, whose k-th best product is a floor. Then, bucket by bucket from the longest, a query that cannot reach its
-floor with the bucket's largest length is skipped; the others have a local cosine threshold, and where it is high enough the
-candidates are pruned by a range of the query's largest coordinates, else only by their length. What is left is verified by
-whole products. All query blocks meet all candidate blocks, in a grid of bounded cells; each cell returns at most k a query.
-
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; only
-vectors of equal dimension meet. Candidates of a query are all rows with another id; repeated query rows count once, while a
-repeated candidate row is returned as often as it occurs. Ties go to the smaller id. Empty tables give an empty result.
+Candidates are grouped by length (norm): a bucket holds vectors whose lengths differ by a tenth at most, and large buckets are
+parted by a hash into blocks of bounded size. A query first meets a bounded set of seeds, the longest vectors, whose k-th best
+product is its floor. It is then sent only to buckets whose greatest length can reach that floor, and a block is copied only to
+those groups of queries of which one can reach it, so what lengths exclude is never shuffled. In a block the queries have a local
+cosine threshold: where it is high enough, candidates are pruned by ranges of the query's largest coordinates, else by length
+alone. What is left is verified by whole products; each cell of queries and candidates returns at most k a query.
+
+Components are integers kept as doubles, which are exact, and products are taken in doubles where these are exact and in Python
+integers elsewhere, so any finite vector takes part. Order is exact throughout; a score beyond 64 bits is returned as null.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; only vectors
+of equal dimension meet. Candidates of a query are all rows but its own: repeated rows are queries and candidates each for
+itself, and find each other. Ties go to the smaller id. Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,28 +27,54 @@ from pyspark.sql import functions as F
 from .common import load, written
 
 SCALE, K, EVERY = 256, 5, 50
-#: Vectors in a block of candidates, between these bounds for small and large tables; queries in a block; seeds.
-LEAST, MOST, QUERIES_IN_BLOCK, SEEDS = 512, 65_536, 4096, 1024
+#: Vectors in a block of candidates, between these bounds for small and large tables; queries in a group; seeds.
+LEAST, MOST, QUERIES_IN_GROUP, SEEDS = 512, 65_536, 4096, 1024
 #: Ratio of lengths within a bucket; cosine from which coordinates prune.
 RATIO, COSINE = 1.1, 0.3
+#: Pairs of a group of queries and a bucket, of four numbers each, up to which they are broadcast.
+BROADCAST_ROWS = 500_000
+FOUND = "query_id long, own long, vec_id long, score long, place binary"
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * component) as long; null for a vector that takes no part."""
+    """floor(scale * component), an integer as double; null for a vector that takes no part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(vector.isNotNull() & fine & (F.size(vector) > 0), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    made = F.transform(vector, lambda x: _floor(x.cast("double") * float(scale)))
+    return F.when(vector.isNotNull() & fine & (F.size(vector) > 0), made)
+
+
+def _floor(x: Column) -> Column:
+    """The floor as double: beyond 2**53 every double is an integer."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     """Components as doubles if products of them are exact in doubles, else as Python integers."""
-    m = np.stack([np.asarray(v, dtype=np.int64) for v in vectors])
-    most = int(max(m.max(), -m.min()))
-    return m.astype(np.float64) if most * most * m.shape[1] < 1 << 52 else m.astype(object)
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    if np.abs(m).max() ** 2 * m.shape[1] < 1 << 52:
+        return m
+    return np.array([[int(x) for x in row] for row in m], dtype=object)
+
+
+def lengths_of(m: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without leaving the doubles for large components."""
+    m = m.astype(np.float64)
+    top = np.maximum(np.abs(m).max(1), 1e-300)
+    return np.sqrt(((m / top[:, None]) ** 2).sum(1)) * top
+
 
+def place_of(score: int) -> bytes:
+    """Bytes that are in the order of the scores: sign, number of bytes, and magnitude."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = b"\x01" + size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return raw if score >= 0 else bytes(255 - x if i else 0 for i, x in enumerate(raw))
 
-def search(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(row of q, id, score) of the k best of v for every row of q, none below the row's floor."""
-    lengths, q_lengths = [np.sqrt((x.astype(np.float64) ** 2).sum(1)) for x in (v, q)]
+
+def search(q: np.ndarray, q_own: np.ndarray, floors: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(row of q, id, score) of the k best of v for every row of q but the row itself (equal own), none below the row's floor."""
+    if v.dtype != q.dtype or v.dtype != object and np.abs(v).max() * np.abs(q).max() * v.shape[1] >= 1 << 52:
+        v, q = (x if x.dtype == object else np.array([[int(y) for y in row] for row in x], dtype=object) for x in (v, q))
+    lengths, q_lengths = lengths_of(v), lengths_of(q)
     bucket = np.where(lengths > 0, np.floor(np.log(np.maximum(lengths, 1e-9)) / np.log(RATIO)), -1e9)
     best: list[list[tuple[int, int]]] = [[] for _ in q]
     floors = floors.astype(np.float64).copy()
@@ -58,7 +88,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray,
         plain = live[~(cosine >= COSINE)]
         products = (q[plain] @ part.T) if len(plain) else None
         for j, i in enumerate(plain):
-            _keep(best, floors, i, q_ids[i], np.arange(len(rows)), products[j], v_ids[rows], k)
+            _keep(best, floors, i, np.flatnonzero(v_own[rows] != q_own[i]), products[j], v_ids[rows], k)
         for i, c in zip(live[cosine >= COSINE], cosine[cosine >= COSINE], strict=True):
             if c > 1 + 1e-9:
                 continue
@@ -69,81 +99,115 @@ def search(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray,
                 x = unit[left, f]
                 left = left[(x >= unit_q[f] * c - wide) if unit_q[f] >= 0 else (x <= unit_q[f] * c + wide)]
             if len(left):
-                _keep(best, floors, i, q_ids[i], left, part[left] @ q[i], v_ids[rows], k)
+                products_left = np.full(len(rows), None, object) if part.dtype == object else np.empty(len(rows))
+                products_left[left] = part[left] @ q[i]
+                _keep(best, floors, i, left[v_own[rows][left] != q_own[i]], products_left, v_ids[rows], k)
     return [(i, vid, int(score)) for i, found in enumerate(best) for score, vid in found]
 
 
-def _keep(best: list, floors: np.ndarray, i: int, own: int, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
-    """Merge verified products into the k best of row i, and raise its floor."""
-    near = np.flatnonzero((scores >= floors[i]) & (ids[at] != own))
+def _keep(best: list, floors: np.ndarray, i: int, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Merge the verified products at these places into the k best of row i, and raise its floor."""
+    near = at[doubles(scores[at]) >= floors[i]]
     if len(near) > 4 * k and scores.dtype != object:
         least = np.partition(scores[near], len(near) - k)[len(near) - k]
         near = near[scores[near] >= least]
-    best[i] = sorted(best[i] + [(int(scores[j]), int(ids[at[j]])) for j in near], key=lambda x: (-x[0], x[1]))[:k]
+    best[i] = sorted(best[i] + [(int(scores[j]), int(ids[j])) for j in near], key=lambda x: (-x[0], x[1]))[:k]
     if len(best[i]) == k:
-        floors[i] = max(floors[i], best[i][-1][0])
+        floors[i] = max(floors[i], below(doubles(np.array([best[i][-1][0]], scores.dtype))[0]))
+
+
+def doubles(scores: np.ndarray) -> np.ndarray:
+    """Scores as doubles; those beyond them stay below what they are."""
+    if scores.dtype != object:
+        return scores
+    return np.array([float(x) if abs(x) < 10**300 else 1e300 if x > 0 else -np.inf for x in scores], np.float64)
+
+
+def below(x: float | np.ndarray) -> float | np.ndarray:
+    """A little less, for floors that are compared in doubles."""
+    return x - np.abs(x) * 1e-9 if np.isfinite(x).all() else np.where(np.isfinite(x), x - np.abs(np.nan_to_num(x)) * 1e-9, x)
 
 
 def _cell(k: int) -> Callable:
     def cell(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "same": [], "vec_id": [], "score": []})
-        ids, same = queries["query_id"].to_numpy(), queries["same"].to_numpy()
-        found = search(_matrix(queries["v"]), ids, queries["floor"].to_numpy(), _matrix(rows["v"]), rows["vec_id"].to_numpy(), k)
+        found = []
+        if len(queries) and len(rows):
+            found = search(_matrix(queries["v"]), queries["own"].to_numpy(), queries["floor"].to_numpy(), _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["own"].to_numpy(), k)
         at = [f[0] for f in found]
-        return pd.DataFrame({"query_id": ids[at], "same": same[at], "vec_id": [f[1] for f in found], "score": [f[2] for f in found]})
+        score = pd.array([f[2] if -(1 << 63) <= f[2] < 1 << 63 else None for f in found], "Int64")
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[at], "own": queries["own"].to_numpy()[at], "vec_id": [f[1] for f in found], "score": score, "place": [place_of(f[2]) for f in found]})
 
     return cell
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: vec_id, v (array of long); queries: query_id, v."""
-    spark = vectors.sparkSession
-    rows = written(vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", F.size("v").alias("dim")), "vectors")
-    asked = written(queries.where(F.col("query_id").isNotNull() & F.col("v").isNotNull()).select("query_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("same")).dropDuplicates(["query_id", "same"]), "queries")
-    n, m = rows.count(), asked.count()
-    columns, lines = max(1, -(-n // min(MOST, max(LEAST, n // 64)))), max(1, -(-m // QUERIES_IN_BLOCK))
-    # Seeds: a bounded number of the longest vectors; their k-th best product is a floor for the whole search, never a result.
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    seeds = rows.orderBy(length.desc(), "vec_id").limit(SEEDS).collect()
-    use = spark.sparkContext.broadcast([(r["vec_id"], list(r["v"])) for r in seeds])
-
-    def floored(batches):  # noqa: ANN001, ANN202
+def _floors(queries: DataFrame, seeds: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """queries with floor: the k-th best product with the seeds (own, v) but the query itself, -inf with fewer of its dimension."""
+    use = queries.sparkSession.sparkContext.broadcast(seeds)
+
+    def floored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             floor = np.full(len(batch), -np.inf)
             for dim, some in batch.groupby("dim"):
-                own = [(i, v) for i, v in use.value if len(v) == dim]
-                if len(own) > k:
-                    at = batch.index.get_indexer(some.index)
-                    products = _matrix(some["v"]).astype(np.float64) @ _matrix(pd.Series([v for _, v in own])).astype(np.float64).T
-                    products[some["query_id"].to_numpy()[:, None] == np.array([i for i, _ in own])[None, :]] = -np.inf
+                mine = [(i, v) for i, v in use.value if len(v) == dim]
+                if len(mine) > k:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        products = np.stack([np.asarray(v) for v in some["v"]]) @ np.array([v for _, v in mine]).T
+                    products[some["own"].to_numpy()[:, None] == np.array([i for i, _ in mine])[None, :]] = -np.inf
                     best = np.sort(products, axis=1)[:, -k]
-                    floor[at] = best - np.abs(best) * 1e-9
+                    floor[batch.index.get_indexer(some.index)] = np.where(np.abs(best) < 1e290, below(best), -np.inf)
             yield batch.assign(floor=floor)
 
-    asked = asked.mapInPandas(floored, "query_id long, v array<long>, dim int, same long, floor double")
-    asked = asked.withColumn("line", F.pmod(F.xxhash64(F.lit("line"), "query_id"), F.lit(lines))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("column", F.col("column").cast("long"))
-    rows = rows.withColumn("column", F.pmod(F.xxhash64(F.lit("column"), "vec_id", "v"), F.lit(columns))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1)))).withColumn("line", F.col("line").cast("long"))
-    keys = ("line", "column", "dim")
-    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_cell(k), "query_id long, same long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "same").orderBy(F.col("score").desc(), "vec_id"))
+    return queries.mapInPandas(floored, ", ".join(f"{c} {t}" for c, t in queries.dtypes) + ", floor double")
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score. vectors: vec_id, v (integers as doubles); asked says which rows are queries."""
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", F.coalesce(asked, F.lit(False)).alias("asked"), F.size("v").alias("dim"))
+    # The place of a row tells it from a repeated one; it is fixed by the written table.
+    rows = written(rows.withColumn("own", F.monotonically_increasing_id()).withColumn("length", _length(F.col("v"))), "vectors")
+    bucket = F.when(F.col("length") > 0, F.floor(F.log("length") / float(np.log(RATIO)))).otherwise(-(1 << 20)).cast("long")
+    rows = rows.withColumn("bucket", bucket)
+    # A double's length lies in one of at most some 15,000 buckets, so their sizes are a bounded table.
+    sizes = rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"), (F.max("length") * (1 + 1e-9)).alias("longest"))
+    block = min(MOST, max(LEAST, rows.count() // 64))
+    sizes = written(sizes.withColumn("parts", F.ceil(F.col("n") / block)), "buckets")
+    seeds = rows.orderBy(F.col("length").desc(), "vec_id", "own").limit(SEEDS).select("own", "v").collect()
+    queries = rows.where("asked").select(F.col("vec_id").alias("query_id"), "own", "v", "dim", "length")
+    queries = written(_floors(queries, [(r["own"], list(r["v"])) for r in seeds], k), "queries")
+    groups = max(1, -(-queries.count() // QUERIES_IN_GROUP))
+    queries = queries.withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "own"), F.lit(groups)))
+    reach = F.col("length") * F.col("longest") * (1 + 1e-9) >= F.col("floor")
+    sent = queries.join(F.broadcast(sizes.select("dim", "bucket", "longest", "parts")), "dim").where(reach)
+    met = written(sent.select("group", "dim", "bucket", "parts").distinct(), "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = rows.join(met, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "own"), F.col("parts")))
+    keys = ("group", "dim", "bucket", "part")
+    found = sent.select(*keys, "query_id", "own", "v", "floor").groupBy(*keys).cogroup(dealt.select(*keys, "vec_id", "own", "v").groupBy(*keys)).applyInPandas(_cell(k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.col("place").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _length(v: Column) -> Column:
+    top = F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(1e-300))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / top) * (x / top))) * top
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("v"))
-    return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "v"))
+    return top_k(rows, F.col("vec_id") % EVERY == 0)
 
 
 SQL = {
     "op10_top_k": """
 WITH ints AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.own <> q.own AND len(c.v) = len(q.v)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
 QUERIES = {"op10_top_k": op10_top_k}

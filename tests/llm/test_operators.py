@@ -532,19 +532,52 @@ def test_warc_segments_that_do_not_fit():
     assert warc.dechunked(b"5\r\nab") is None and warc.dechunked(b"zz\r\n") is None
 
 
-def test_top_k_is_exact(spark):
+def brute_top_k(rows, every=50):
+    """(query_id, rank, vec_id, score) of every query row against all rows but its own."""
+    ints = [(i, [int(np.floor(256 * x)) if abs(256 * x) < 2**53 else int(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, x) in enumerate(ints):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for k, (i, v) in enumerate(ints) if k != at and len(v) == len(x))
+            out += [(q, k, i, -s if -(2**63) <= -s < 2**63 else None) for k, (s, i) in enumerate(scores[:5], 1)]
+    return Counter(out)
+
+
+def vectors_of(spark, rows):
+    df = spark.createDataFrame([(i, v, -1, "x", 0.5) for i, v in rows], "vec_id long, embedding array<double>, own long, place string, length double")
+    return df.withColumn("v", topk.quantised(F.col("embedding")))
+
+
+@pytest.mark.parametrize("block", [None, 40])
+def test_top_k_is_exact(spark, monkeypatch, block):
+    """Ties, repeated rows of queries and candidates, null, short and odd vectors, columns of clashing names; small blocks."""
+    if block:
+        monkeypatch.setattr(topk, "MOST", block)
+        monkeypatch.setattr(topk, "QUERIES_IN_GROUP", 4)
+        monkeypatch.setattr(topk, "SEEDS", 20)
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 5])]) for i in range(700)]
-    rows += [(i, None) for i in (700, 750)] + [(800, [1.0, None] * 4), (850, [float("nan")] * 8), (851, [0.0] * 8), (852, [1.0, 2.0]), (900, [0.5, 0.5])] + [(950 + i, rows[3][1]) for i in range(6)] + [(None, rows[1][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
-    got = topk.top_k(df, df.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "v")).collect()
-    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in [i for i in ints if i % 50 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
-        want |= {(q, k, i, -s) for k, (s, i) in enumerate(scores[:5], 1)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
-    assert topk.top_k(df.limit(0), df.limit(0).select(F.col("vec_id").alias("query_id"), "v")).collect() == []
-    wide = topk.quantised(F.array(F.lit(1e14), F.lit(-3e14)))
-    one = spark.range(0, 101, 50).select(F.col("id").alias("vec_id"), wide.alias("v"))
-    assert topk.top_k(one, one.limit(1).select(F.col("vec_id").alias("query_id"), "v")).count() in (0, 2)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 5])]) for i in range(500)]
+    rows += [(i, None) for i in (700, 750)] + [(800, [1.0, None] * 4), (850, [float("nan")] * 8), (851, [0.0] * 8), (900, []), (852, [1.0, 2.0]), (900, [0.5, 0.5])] + [(950 + i, rows[3][1]) for i in range(6)] + [(None, rows[1][1])]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (100, rows[100][1]), (7, rows[3][1]), (7, rows[3][1])]
+    got = topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert Counter(map(tuple, got)) == brute_top_k(rows)
+
+
+def test_top_k_beyond_64_bits(spark):
+    """Scores of large vectors are exact in order, and null where 64 bits do not hold them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.choice([0, 7, 14, 100, 200])]) for i in range(200)] + [(300, [1e14, -3e14, 1.0, 2.0]), (300, [1e14, -3e14, 1.0, 2.0])]
+    got = topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert Counter(map(tuple, got)) == brute_top_k(rows) and any(r["score"] is None for r in got)
+
+
+def test_top_k_of_no_rows(spark):
+    df = vectors_of(spark, [])
+    assert topk.top_k(df, F.col("vec_id") % 50 == 0).collect() == []
+    assert topk.top_k(vectors_of(spark, [(1, [1.0])]), F.col("vec_id") % 50 == 0).collect() == []
+    assert topk.top_k(vectors_of(spark, [(50, [1.0])]), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_places_are_in_the_order_of_scores():
+    scores = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**2000, -(2**2000), 10**18]
+    assert sorted(scores, key=topk.place_of) == sorted(scores)
