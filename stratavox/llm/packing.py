@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, load
 from .shingling import buffers, word_hashes
+from .wordtable import WordTable
 
 SEQUENCE, END, PER_GROUP, GROUP_BYTES = 4096, 2, 2000, 32_000_000
-#: Words and ids remembered by a worker, after which it starts anew, and the size of its table.
-REMEMBERED, MOST_IDS, TABLE = 2_000_000, 16_000_000, 1 << 22
+#: Words and ids remembered by a worker, after which it starts anew.
+REMEMBERED, MOST_IDS = 2_000_000, 16_000_000
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -54,36 +55,9 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.numbers = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.int32)
+        self.table = WordTable()
         self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The numbers of words by hash, -1 for those not remembered."""
-        out, left, slot = np.full(len(h), -1), np.arange(len(h)), h & np.uint64(TABLE - 1)
-        while len(left):
-            key = self.keys[slot]
-            same = key == h[left]
-            out[left[same]] = self.numbers[slot[same]]
-            go = ~same & (key != 0)
-            left, slot = left[go], (slot[go] + np.uint64(1)) & np.uint64(TABLE - 1)
-        return out
-
-    def remember(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """The numbers of new words, whose hashes are distinct."""
-        ids = self.learn(words)
-        numbers = np.arange(len(self.sizes), len(self.sizes) + len(h), dtype=np.int32)
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), "<u4")])
-        left, slot = np.arange(len(h)), h & np.uint64(TABLE - 1)
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]
-            mine = free & (self.keys[slot] == h[left])
-            self.numbers[slot[mine]] = numbers[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + np.uint64(1)) & np.uint64(TABLE - 1)
-        return numbers
-
     def learn(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
         odd, tokenize = [], self.model.tokenize
@@ -121,19 +95,18 @@ class Ids:
             if len(self.sizes) > REMEMBERED or len(self.flat) > MOST_IDS:
                 self.clear()
             start, size, h = word_hashes(buffer)
-            h[h == 0] = 1
-            number = self.find(h)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                hashes, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-                at = new[first]
-                number[new] = self.remember(hashes, [buffer[a:b] for a, b in zip(start[at].tolist(), (start[at] + size[at]).tolist(), strict=True)])[back]
+            number, words = self.table.numbered(buffer, start, size, h)
+            if words:
+                ids = self.learn(words)
+                self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+                self.starts = np.cumsum(self.sizes) - self.sizes
+                self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), "<u4")])
             count = self.sizes[number]
             behind = np.cumsum(count)
             at = np.repeat(self.starts[number] - (behind - count), count) + np.arange(behind[-1] if len(behind) else 0)
             raw, tail = self.flat[at].tobytes(), np.array([end], "<u4").tobytes()
-            words = np.searchsorted(start, 1 + np.cumsum([len(x) + 1 for x in some]))
-            edge = (4 * np.concatenate([[0], behind])[np.concatenate([[0], words])]).tolist()
+            ends = np.searchsorted(start, 1 + np.cumsum([len(x) + 1 for x in some]))
+            edge = (4 * np.concatenate([[0], behind])[np.concatenate([[0], ends])]).tolist()
             out += [raw[a:b] + tail for a, b in zip(edge, edge[1:])]
         return out
 

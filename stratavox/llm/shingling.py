@@ -55,8 +55,8 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, size, h
 
 
-def buffers(raws: list[bytes | None]) -> Iterator[tuple[bytes, list[bytes]]]:
-    """The texts, some together: a buffer of lower-cased texts with a line end before and behind each, and these texts."""
+def buffers(raws: list[bytes | None], table: bytes = LOWER) -> Iterator[tuple[bytes, list[bytes]]]:
+    """The texts, some together: a buffer of texts with their bytes replaced by a table (lower-cased), with a line end before and behind each, and these texts."""
     at = 0
     while at < len(raws):
         some, total = [], 0
@@ -64,7 +64,7 @@ def buffers(raws: list[bytes | None]) -> Iterator[tuple[bytes, list[bytes]]]:
             some.append(raws[at] or b"")
             total += len(some[-1]) + 1
             at += 1
-        yield b"\n" + b"\n".join(some).translate(LOWER) + b"\n", some
+        yield b"\n" + b"\n".join(some).translate(table) + b"\n", some
 
 
 def batch_shingles(raws: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:

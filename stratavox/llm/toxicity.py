@@ -1,15 +1,20 @@
 """Toxicity by maximum-scoring passages.
 
-A token's score is the log-odds between toxic and clean texts, under an informative Dirichlet prior, of the word or of one of
-its beginnings, whichever is highest among the significant ones; any other token costs a fixed drift. One linear scan finds all maximal passages (Ruzzo and Tompa). A passage of
-score S in a text of n tokens is expected K n exp(-lambda S) times by chance (Karlin and Altschul), lambda and K coming from
-the clean training texts; a logistic curve over these figures, fitted on the training rows, gives the probability.
+A token's score is its log-odds between toxic and clean texts under an informative Dirichlet prior: of the word or of one of its
+beginnings, the highest of those whose sign is sure (``LEAST_Z`` standard errors), be it above or below zero. All other tokens
+are one class with log-odds of its own, which is below zero, as toxic texts have fewer of them. One linear scan finds all maximal
+passages (Ruzzo and Tompa). A passage of score S in a text of n tokens is expected K n exp(-lambda S) times by chance (Karlin and
+Altschul): lambda is the root of sum p(s) exp(lambda s) = 1 over the scores s of clean tokens, K the likeliest for the best
+passages of clean texts. A logistic curve over these figures, fitted on the training rows, gives the probability.
 
 Learning reads a bounded sample of labelled rows (``sample`` rows about, chosen by a hash of doc_id; all rows while there are
-fewer), so the weights that are broadcast are bounded by the words of that sample. Scoring reads every whole text.
+fewer), so the weights that are broadcast are bounded by the words of that sample, and what the driver gets of its texts is a
+histogram and three figures a row. Scoring reads every whole text.
 
-Defined results: null and empty texts hold no token and have the score of a text without any passage; unlabelled rows only
-get scores; without both kinds of label every score is the share of toxic rows (0 without any). Repeated rows get equal scores.
+Defined results: null and empty texts hold no token and have the score of a text without any passage; unlabelled rows and rows
+without id only get scores; without both kinds of label every score is the share of toxic rows (0 without any). Repeated rows
+get equal scores. Of passages with equal scores the first and shortest is the best. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bound_batches, load
+from .common import LOWER, bound_batches, load, written
+from .shingling import buffers, word_hashes
+from .wordtable import WordTable
 
 #: Labelled rows to learn from, at most (in expectation).
 SAMPLE = 50_000
-#: Prior pseudo-tokens, prior pseudo-documents as a share of the sample, least z-score of a word that scores, cost of any other token, chance count of a significant passage.
-PRIOR, PRIOR_SHARE, LEAST_Z, DRIFT, SIGNIFICANT = 1000.0, 0.1, 3.0, 0.05, 0.05
+#: Prior tokens; prior texts as a share of the sample; least z-score of a feature that has a score of its own; most that other tokens
+#: score; chance count of a significant passage.
+PRIOR, PRIOR_SHARE, LEAST_Z, OTHER, SIGNIFICANT = 1000.0, 0.1, 3.0, -0.01, 0.05
 #: Beginnings of words that are features besides words, in characters, and the words remembered by a worker at most.
-SHORTEST, LONGEST, REMEMBERED = 4, 8, 200_000
+SHORTEST, LONGEST, REMEMBERED = 4, 8, 1_000_000
 #: Lower case; ASCII punctuation separates tokens.
 TOKENS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in LOWER)
 
@@ -64,44 +72,59 @@ def passages(scores: list[tuple[int, int, float]]) -> list[tuple[float, int, int
     return [(b - a, int(s), int(e)) for a, b, s, e in kept]
 
 
-def scan(raw: bytes | None, weights: Weights, drift: float = DRIFT) -> tuple[int, list[tuple[float, int, int]]]:
-    """Number of tokens, and the passages as (score, first token, end token)."""
-    tokens = (raw or b"").translate(TOKENS).split()
-    runs, at = [], 0
-    for i, w in enumerate(map(weights.__getitem__, tokens)):
-        if w is not None:
-            if i > at:
-                runs.append((at, i, -drift * (i - at)))
-            runs.append((i, i + 1, w))
-            at = i + 1
-    return len(tokens), passages(runs) if runs else []
+class Scores:
+    """Scores of tokens by the weights of words and beginnings; remembers a bounded number of words."""
 
-
-def features(n: int, found: list[tuple[float, int, int]], lam: float, k: float) -> tuple[float, float, float]:
-    """Of the best passage the negative log of its chance count, of all the sum over significant ones, and their number (log)."""
-    level = math.log(k * (n + 1))
-    logs = [lam * s - level for s, _, _ in found]
-    sure = [x for x in logs if x > -math.log(SIGNIFICANT)]
-    return max(logs, default=-level), math.log1p(sum(sure)), math.log1p(len(sure))
-
-
-class Weights(dict):
-    """Weights of words by the significant features of the model, None for a word without; remembers a bounded number."""
-
-    def __init__(self, features: dict[str, float]) -> None:
-        super().__init__()
-        self.features = features
-
-    def __missing__(self, raw: bytes) -> float | None:
-        word = raw.decode("utf-8", "replace")
-        found = [x for x in map(self.features.get, features_of(word)) if x is not None]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[raw] = best = max(found, default=None)
-        return best
+    def __init__(self, weights: dict[str, float], other: float = OTHER) -> None:
+        self.weights, self.other, self.table, self.scores = weights, other, WordTable(), np.zeros(0)
 
     def __reduce__(self) -> tuple:
-        return Weights, (self.features,)
+        return Scores, (self.weights, self.other)
+
+    def of_word(self, word: str) -> float:
+        return max((self.weights[f] for f in features_of(word) if f in self.weights), default=self.other)
+
+    def of_texts(self, raws: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The scores of each text's tokens."""
+        for buffer, some in buffers(raws, TOKENS):
+            if self.table.size > REMEMBERED:
+                self.table, self.scores = WordTable(), np.zeros(0)
+            start, size, h = word_hashes(buffer)
+            number, words = self.table.numbered(buffer, start, size, h)
+            self.scores = np.concatenate([self.scores, [self.of_word(w.decode("utf-8", "replace")) for w in words]])
+            ends = np.searchsorted(start, 1 + np.cumsum([len(x) + 1 for x in some]))
+            yield from np.split(self.scores[number], ends[:-1])
+
+
+def best_passage(scores: np.ndarray) -> tuple[float, int, int]:
+    """(score, start, end) of the best passage, the first and shortest of equal ones; without a positive score (0, 0, 0)."""
+    if not len(scores) or scores.max() <= 0:
+        return 0.0, 0, 0
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    gain = sums[1:] - np.minimum.accumulate(sums)[:-1]
+    end = int(gain.argmax())
+    start = end - int(sums[end::-1].argmin())
+    return float(gain[end]), start, end + 1
+
+
+def all_passages(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal passages: the scan over runs of positive and other tokens."""
+    if not len(scores):
+        return []
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(scores > 0)) + 1, [len(scores)]])
+    sums = np.add.reduceat(scores, edge[:-1])
+    return passages(list(zip(edge[:-1].tolist(), edge[1:].tolist(), sums.tolist(), strict=True)))
+
+
+def figures(scores: np.ndarray, lam: float, k: float) -> tuple[float, float, float, int, int]:
+    """Of the best passage the negative log of its chance count, of all the sum over significant ones (log), their number, and the
+    best one's start and end. The scan for all runs only where the best one is significant."""
+    level, least = math.log(k * (len(scores) + 1)), -math.log(SIGNIFICANT)
+    score, start, end = best_passage(scores)
+    top, sure = lam * score - level, []
+    if top > least:
+        sure = [x for x in (lam * s - level for s, _, _ in all_passages(scores)) if x > least]
+    return top, math.log1p(sum(sure)), len(sure), start, end
 
 
 def features_of(word: str) -> list[str]:
@@ -143,45 +166,75 @@ def _odds(clean: str, toxic: str, n0: int, n1: int, pseudo: float) -> tuple[Colu
     return odds, odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
 
+def decay(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of sum share * exp(lambda * score) = 1; 1, that of exact log-odds, where the scores have none."""
+    share = share / max(share.sum(), 1e-12)
+    if not len(scores) or scores.max() <= 0 or (share * scores).sum() >= 0:
+        return 1.0
+    value = lambda x: float((share * np.exp(np.minimum(x * scores, 700.0))).sum()) - 1
+    low, high = 0.0, 1.0
+    while value(high) < 0 and high < 1e3:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) < 0 else (low, middle)
+    return high
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model: word weights, lambda, K and the curve. labels: doc_id, toxic; rows for the hold-out are left out."""
+    """The model: token scores, lambda, K and the curve. labels: doc_id, toxic; rows for the hold-out are left out."""
     bound_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = rows.count()
     rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, sample / max(total, 1)))))
-    # The sample is bounded by its parameter, so it may be broadcast; texts stay where they are.
+    # The sample is bounded by its parameter, so its ids may be broadcast, and its texts are written once for the passes below.
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(rows), "doc_id").select("raw", "toxic")
+    texts = written(texts, "sample")
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n1 or not n0:
-        return {"weights": Weights({}), "lam": 1.0, "k": 1.0, "curve": None, "share": n1 / (n0 + n1) if n0 + n1 else 0.0}
+        return {"scores": Scores({}), "lam": 1.0, "k": 1.0, "curve": None, "share": n1 / (n0 + n1) if n0 + n1 else 0.0}
     words = texts.mapInPandas(_word_counts, "raw binary, t0 long, t1 long, d0 long, d1 long").groupBy("raw").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "d0", "d1")])
+    words = written(words, "words")
     word = F.col("raw").cast("string")
     starts = [F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in range(SHORTEST, LONGEST + 1)]
     counts = words.select(F.explode(F.array_compact(F.array(word, *starts))).alias("feature"), "t0", "t1", "d0", "d1").groupBy("feature").agg(*[F.sum(c).cast("double").alias(c) for c in ("t0", "t1", "d0", "d1")])
     total = words.agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).first()
-    found = counts.select("feature", _odds("t0", "t1", total["t0"] or 0, total["t1"] or 0, PRIOR)[0].alias("odds"), _odds("d0", "d1", n0, n1, PRIOR_SHARE * (n0 + n1))[1].alias("z"))
-    found = found.where((F.col("z") >= LEAST_Z) & (F.col("odds") > 0)).collect()
-    weights = Weights({r["feature"]: r["odds"] for r in found})
-    use = docs.sparkSession.sparkContext.broadcast(weights)
+    # Tokens are counted for the odds, and texts for their errors, as tokens of one text depend on each other.
+    odds, z = _odds("t0", "t1", total["t0"] or 0, total["t1"] or 0, PRIOR)[0], _odds("d0", "d1", n0, n1, PRIOR_SHARE * (n0 + n1))[1]
+    found = counts.select("feature", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.signum("z") == F.signum("odds"))).collect()
+    weights = {r["feature"]: r["odds"] for r in found}
+    use = docs.sparkSession.sparkContext.broadcast(Scores(weights, math.nan))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"score": [round(use.value.of_word(bytes(w).decode("utf-8", "replace")), 3) for w in batch["raw"]], "t0": batch["t0"], "t1": batch["t1"]})
+
+    # The tokens by rounded score: a histogram of some thousand rows however many words there are; NaN has the other tokens.
+    found = words.select("raw", "t0", "t1").mapInPandas(scored, "score double, t0 long, t1 long").groupBy(F.coalesce("score", F.lit(math.nan)).alias("score")).agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).collect()
+    rest = next(((r["t0"], r["t1"]) for r in found if math.isnan(r["score"])), (0, 0))
+    share = [(n + PRIOR * sum(rest) / max(total["t0"] + total["t1"], 1)) / (whole + PRIOR) for n, whole in zip(rest, (total["t0"], total["t1"]), strict=True)]
+    other = min(math.log(share[1] / share[0]) if min(share) > 0 else OTHER, OTHER)
+    lam = decay(np.array([other if math.isnan(r["score"]) else r["score"] for r in found]), np.array([r["t0"] for r in found], float))
+    scores = Scores(weights, other)
+    use = docs.sparkSession.sparkContext.broadcast(scores)
+
+    def chance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"x": [(len(s) + 1) * math.exp(-lam * best_passage(s)[0]) for s in use.value.of_texts(list(batch["raw"]))]})
+
+    # P(best passage <= x) = exp(-K n exp(-lambda x)): the likeliest K is a quotient of sums.
+    fit = texts.where("toxic = 0").select("raw").mapInPandas(chance, "x double").agg(F.count("*").alias("n"), F.sum("x").alias("x")).first()
+    k = fit["n"] / max(fit["x"] or 0.0, 1e-9)
 
-    def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for raw, toxic in zip(batch["raw"], batch["toxic"], strict=True):
-                n, got = scan(raw, use.value)
-                out.append((toxic, n, [x[0] for x in got]))
-            yield pd.DataFrame(out, columns=["toxic", "n", "scores"])
-
-    rows = texts.mapInPandas(figures, "toxic int, n long, scores array<double>").collect()
-    clean = [r for r in rows if not r["toxic"]]
-    tokens = sum(r["n"] for r in clean) + 1
-    scores = np.array([s for r in clean for s in r["scores"]])
-    # The tail of passage scores in clean texts falls as exp(-lambda s): its mean gives lambda, its height K.
-    lam = 1 / max(scores.mean(), 1e-3) if len(scores) else 1.0
-    k = max(len(scores), 1) / tokens
-    x = np.array([features(r["n"], [(s, 0, 0) for s in r["scores"]], lam, k) for r in rows])
-    return {"weights": weights, "lam": lam, "k": k, "curve": _logistic(x, np.array([r["toxic"] for r in rows], float)), "share": n1 / (n0 + n1)}
+            out = [figures(s, lam, k)[:3] for s in use.value.of_texts(list(batch["raw"]))]
+            yield pd.DataFrame(out, columns=["top", "sure", "n"]).assign(toxic=batch["toxic"].to_numpy())
+
+    rows = texts.mapInPandas(measured, "top double, sure double, n double, toxic int").collect()
+    x = np.array([[r["top"], r["sure"], math.log1p(r["n"])] for r in rows])
+    return {"scores": scores, "lam": lam, "k": k, "curve": _logistic(x, np.array([r["toxic"] for r in rows], float)), "share": n1 / (n0 + n1)}
 
 
 def score_column(spark: SparkSession, text: Column, model: dict) -> Column:
@@ -190,12 +243,11 @@ def score_column(spark: SparkSession, text: Column, model: dict) -> Column:
 
     def scored(raws: pd.Series) -> pd.DataFrame:
         m, out = use.value, []
-        for raw in raws:
-            n, found = scan(raw, m["weights"])
-            f = features(n, found, m["lam"], m["k"])
-            p = m["share"] if m["curve"] is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, m["curve"][0] + float(np.dot(m["curve"][1:], f))))))
-            best = max(found, default=None)
-            out.append((p, sum(m["lam"] * s - math.log(m["k"] * (n + 1)) > -math.log(SIGNIFICANT) for s, _, _ in found), best and best[1], best and best[2]))
+        for scores in m["scores"].of_texts(list(raws)):
+            top, sure, n, start, end = figures(scores, m["lam"], m["k"])
+            z = 0.0 if m["curve"] is None else float(np.dot(m["curve"], (1.0, top, sure, math.log1p(n))))
+            p = m["share"] if m["curve"] is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            out.append((p, n, start if end else None, end or None))
         return pd.DataFrame(out, columns=["score", "passages", "start", "end"]).astype({"passages": "int64", "start": "Int64", "end": "Int64"})
 
     return F.pandas_udf(scored, "score double, passages long, start long, end long")(text.cast("binary"))

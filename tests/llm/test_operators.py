@@ -348,10 +348,88 @@ def test_maximal_passages_against_brute_force():
             if top[0] <= 0:
                 return []
             a, b = -top[2], top[3]
-            return [*best(lo, a), (top[0], a, b), *best(b, hi)]
+            return [*best(lo, a, scores), (top[0], a, b), *best(b, hi, scores)]
 
+        want = best(0, len(scores))
         got = toxicity.passages([(i, i + 1, s) for i, s in enumerate(scores)])
-        assert sorted(x[0] for x in got) == sorted(x[0] for x in best(0, len(scores)))
+        assert sorted(x[0] for x in got) == sorted(x[0] for x in want)
+        exact = np.array(scores) + np.array([r.random() / 1000 for _ in scores])  # no ties: places are certain
+        want = best(0, len(exact), exact.tolist())
+        assert [x[1:] for x in sorted(want, key=lambda x: x[1])] == [x[1:] for x in toxicity.all_passages(exact)]
+        assert toxicity.best_passage(exact)[1:] == (max(want)[1:] if want else (0, 0))
+    assert toxicity.best_passage(np.array([-1.0, 2, -2, 2, 1, -1, 1])) == (3.0, 3, 5) and toxicity.best_passage(np.zeros(3)) == (0.0, 0, 0)
+
+
+def test_decay_is_the_root_of_the_score_equation():
+    p1, p0 = np.array([0.2, 0.3, 0.5]), np.array([0.05, 0.35, 0.6])
+    assert abs(toxicity.decay(np.log(p1 / p0), p0) - 1) < 1e-6  # exact log-odds
+    assert abs(toxicity.decay(np.array([1.0, -1.0]), np.array([0.2, 0.8])) - np.log(4)) < 1e-6
+    assert toxicity.decay(np.array([1.0]), np.array([1.0])) == toxicity.decay(np.zeros(0), np.zeros(0)) == 1.0
+
+
+def test_toxicity_scores_against_a_plain_count(spark):
+    """Weights, best passage and score of every text, from counts by hand."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        w = [r.choice(WORDS[:60]) for _ in range(r.randint(5, 60))]
+        if i % 4 == 0:
+            at = r.randrange(len(w))
+            w[at:at] = [r.choice(["Vile,", "nasty", "vileness"]) for _ in range(3)]
+        else:
+            w += ["gentle"] * 3
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    df, lab = docs(spark, rows + ODD), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(df, lab)
+    mine = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    tokens = {i: [w.decode() for w in (t or "").encode().translate(toxicity.TOKENS).split()] for i, t in rows + ODD}
+    t, d = [Counter(), Counter()], [Counter(), Counter()]
+    for i, y in mine:
+        t[y].update(f for w in tokens[i] for f in toxicity.features_of(w))
+        d[y].update(f for w in set(tokens[i]) for f in toxicity.features_of(w))
+    n, m = [sum(len(tokens[i]) for i, y in mine if y == k) for k in (0, 1)], [sum(y == k for _, y in mine) for k in (0, 1)]
+
+    def odds(y, n, pseudo):
+        prior = pseudo * sum(y) / sum(n)
+        a, b = (np.log((y[k] + prior) / max(n[k] + pseudo - y[k] - prior, 1.0)) for k in (1, 0))
+        return a - b, (a - b) / np.sqrt(1 / (y[1] + prior) + 1 / (y[0] + prior))
+
+    want = {}
+    for f in t[0] | t[1]:
+        x, z = odds([t[0][f], t[1][f]], n, 1000.0)[0], odds([d[0][f], d[1][f]], m, 0.1 * sum(m))[1]
+        if abs(z) >= 3 and x * z > 0:
+            want[f] = x
+    best = lambda w: max((want[f] for f in toxicity.features_of(w) if f in want), default=None)
+    rest = [sum(best(w) is None for i, y in mine if y == k for w in tokens[i]) for k in (0, 1)]
+    share = [(rest[k] + 1000.0 * sum(rest) / sum(n)) / (n[k] + 1000.0) for k in (0, 1)]
+    other = min(np.log(share[1] / share[0]), -0.01)
+    assert abs(model["scores"].other - other) < 1e-9
+    assert model["scores"].weights.keys() == want.keys() and all(abs(model["scores"].weights[f] - want[f]) < 1e-9 for f in want)
+    assert any(x < 0 for x in want.values()) and want["vile*"] > 0
+    out = df.select("doc_id", toxicity.score_column(spark, F.col("text"), model).alias("t")).select("doc_id", "t.*").collect()
+    for row in out:
+        s = [other if best(w) is None else best(w) for w in tokens[row["doc_id"]]]
+        top = max([(sum(s[a:b]), -b, a) for b in range(len(s) + 1) for a in range(b)] if len(s) < 100 else [(0.0, 0, 0)], default=(0.0, 0, 0))
+        if top[0] > 1e-9:
+            assert abs(sum(s[row["start"] : row["end"]]) - top[0]) < 1e-9 and row["end"] == -top[1]
+        else:
+            assert row["start"] is None and row["end"] is None and row["passages"] == 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, prose(i, 40) + (" vileword vileword" if i % 3 == 0 else "")) for i in range(90)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    long = " ".join(prose(k, 20_000) for k in range(3)) + " vileword" * 30
+    df = docs(spark, [*rows, (1, rows[1][1]), (None, rows[3][1]), (500, long), (501, None)])
+    model = toxicity.learn(df, lab)
+    got = df.select("doc_id", toxicity.score_column(spark, F.col("text"), model).alias("t")).select("doc_id", "t.*").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert len(got) == 94 and by[1][0] == by[1][1] and by[None] == by[3] and by[501][0][0] < 0.5
+    assert by[500][0][0] >= 0.5 and by[500][0][2] == 60_000 and by[500][0][3] == 60_030
+    assert toxicity.keep_clean(docs(spark, []), lab).collect() == []
 
 
 def test_toxicity_learns_and_keeps_clean(spark):
