@@ -10,13 +10,21 @@ Spaces are written as U+2581, one of which starts a text. No piece holds U+2581
 the vocabulary is loaded; otherwise texts are scored whole), so the best path is a chain of best paths of the parts before
 each such mark, and counts of parts are remembered in a bounded table. Long parts are never remembered, and never cut.
 
-Defined results: null and empty texts have 0 tokens; repeated rows get equal counts. The vocabulary file must be readable on
+The vocabulary: a unigram tokenizer file (``.json``) is taken with its scores. The public vocabulary at hand is a BPE one, whose
+stored scores are merge ranks and no probabilities, so its pieces get those of Zipf's law by rank, log of 1 / (rank + 2.7) over
+their sum: no score is trained. Counts are those of the unigram tokenizer with these pieces and scores, not of the BPE tokenizer.
+Only ordinary pieces match text; names of control, unknown and byte pieces in a text are text.
+
+Defined results: null and empty texts have 0 tokens; repeated rows get equal counts; rows without id are counted too; extra
+columns are ignored; an empty table gives an empty result. The vocabulary file must be readable on
 every executor; its path is a parameter.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +35,14 @@ from .common import load
 MARK, PENALTY = "▁", 10.0
 #: Parts remembered by a worker at most, and the longest that is remembered.
 REMEMBERED, LONGEST = 1_000_000, 40
+#: Zipf's law: the probability of rank r falls as 1 / (r + SHIFT).
+SHIFT = 2.7
 
 
 class Counter:
-    """Counts the pieces of texts under one vocabulary of (piece, score)."""
+    """Counts the pieces of texts under one vocabulary of ordinary pieces (piece, score), with byte pieces for other characters or not."""
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], byte_pieces: bool) -> None:
         import ahocorasick
 
         self.find = ahocorasick.Automaton()
@@ -42,7 +52,7 @@ class Counter:
         self.find.make_automaton()
         names = {p for p, _ in pieces}
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
-        self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
+        self.bytes = byte_pieces
         self.parts = not any(MARK in p.lstrip(MARK) for p in names)
         self.lines = self.bytes and self.parts and not any("\n" in p for p in names)
         self.seen: dict[str, int] = {}
@@ -97,17 +107,35 @@ class Counter:
         return total
 
 
-def sentencepiece_pieces(path: str) -> list[tuple[str, float]]:
+def zipf(ordered: list[str]) -> list[tuple[str, float]]:
+    """Pieces in order of rank with the log-probabilities of Zipf's law."""
+    total = sum(1 / (rank + SHIFT) for rank in range(len(ordered)))
+    return [(piece, -math.log((rank + SHIFT) * total)) for rank, piece in enumerate(ordered)]
+
+
+def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """Ordinary pieces with scores of a vocabulary file, and whether it has all byte pieces."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "Unigram":
+            raise ValueError(f"{path} is no unigram tokenizer but {model['type']}")
+        names = [f"<0x{b:02X}>" for b in range(256)]
+        whole = bool(model.get("byte_fallback")) and {p for p, _ in model["vocab"]}.issuperset(names)
+        return [(p, s) for i, (p, s) in enumerate(model["vocab"]) if i != model.get("unk_id") and p not in set(names)], whole
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    plain.sort(key=lambda i: (-model.get_score(i), i))
+    return zipf([model.id_to_piece(i) for i in plain]), sum(map(model.is_byte, ids)) == 256
 
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One counter for each worker process and vocabulary."""
-    return Counter(sentencepiece_pieces(path))
+    return Counter(*vocabulary(path))
 
 
 def count_column(text: Column, path: str) -> Column:

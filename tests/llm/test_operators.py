@@ -309,7 +309,8 @@ def test_token_counts_match_the_tokenizer():
     from tokenizers import Tokenizer, models
 
     r = random.Random(5)
-    pieces = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", -50.0) for b in range(256)] + [("▁", -3.0), ("▁▁", -4.0)]
+    special = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", -2.0) for b in range(256)]
+    pieces = [("▁", -3.0), ("▁▁", -4.0)]
     seen = {p for p, _ in pieces}
     for _ in range(150):
         p = "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
@@ -319,21 +320,34 @@ def test_token_counts_match_the_tokenizer():
             pieces.append((p, -float(r.randint(1, 4))))
     texts = ["", " ", "  a", "é\n\nb", "▁a"] + ["".join(r.choice("abc  é\n▁日") for _ in range(r.randint(0, 40))) for _ in range(500)]
     for bytes_too in (True, False):
-        use = pieces if bytes_too else [p for p in pieces if not p[0].startswith("<0x")]
-        whole = Tokenizer(models.Unigram(use, unk_id=0, byte_fallback=bytes_too))
-        count = token_counts.Counter(use)
+        whole = Tokenizer(models.Unigram([*(special if bytes_too else special[:1]), *pieces], unk_id=0, byte_fallback=bytes_too))
+        count = token_counts.Counter(pieces, bytes_too)
         for t in texts:
             want = len(whole.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0
             assert count.text(t) == want, (t, bytes_too)
 
 
-def test_token_counts_of_a_table(spark):
+def test_token_counts_of_a_table(spark, tmp_path):
+    """The query's column over its own vocabulary against the unigram tokenizer with the same pieces and scores, and from its file."""
     import public_tokenizers
+    from tokenizers import Tokenizer, models
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs(spark, ODD).select("doc_id", token_counts.count_column(F.col("text"), path).alias("n")).collect()
-    got = {r["doc_id"]: r["n"] for r in rows}
-    assert got[900] == got[901] == 0 and got[903] == got[904] > 0 and got[907] >= 3000
+    pieces, whole = token_counts.vocabulary(path)
+    assert whole and abs(sum(np.exp(s) for _, s in pieces) - 1) < 1e-9 and not any(p.startswith("<0x") for p, _ in pieces)
+    least = min(s for _, s in pieces)
+    tokenizer = Tokenizer(models.Unigram([("<unk>", least), *((f"<0x{b:02X}>", least) for b in range(256)), *pieces], unk_id=0, byte_fallback=True))
+    r = random.Random(8)
+    texts = [(i, t) for i, t in ODD] + [(i, " ".join("".join(r.choice("etaoinshrdluéß") for _ in range(r.randint(1, 12))) for _ in range(80))) for i in range(40)]
+    texts += [(50, "The  quick brown fox,\n\njumps over; 12.5% of <s> and\tlazy dogs ☃"), (51, " ".join(r.choice(["house", "of", "cards"]) for _ in range(30_000))), (50, None), (None, "twice")]
+    df = docs(spark, texts).withColumn("n_tokens", F.lit("clash"))
+    want = Counter((i, len(tokenizer.encode("▁" + t.replace(" ", "▁")).ids) if t else 0) for i, t in texts)
+    tokenizer.save(str(tmp_path / "unigram.json"))
+    for file in (path, str(tmp_path / "unigram.json")):
+        assert Counter(map(tuple, df.select("doc_id", token_counts.count_column(F.col("text"), file).alias("n")).collect())) == want
+    assert docs(spark, []).select(token_counts.count_column(F.col("text"), path)).collect() == []
+    with pytest.raises(ValueError, match="no unigram"):
+        token_counts.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_maximal_passages_against_brute_force():
