@@ -92,43 +92,61 @@ def distance(counts: Column, reference: Column) -> Column:
     return let(total(counts), lambda n: let(total(reference), lambda r: F.when((n > 0) & (r > 0), divergence(n, r))))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """lang, class_sums, common words and their counts, one row a language, from all documents.
+def common_words(docs: DataFrame) -> DataFrame:
+    """l (lang), common: words in order that make up COMMON of all words of the language, and word_sums: their counts and that of all
+    others. One row a language with words.
 
     Words are summed in the map tasks before the shuffle, so a language that most documents have is no hot key.
     """
-    sums = docs.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("class_sums"))
-    words = written(docs.select("lang", F.explode(words_column(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).where(F.col("n") > 1), "words")
-    totals = written(docs.groupBy("lang").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).cast("double").alias("total")), "totals").withColumnRenamed("lang", "l")
-    common = words.join(totals, F.col("lang").eqNullSafe(F.col("l"))).where(F.col("n") >= F.greatest(F.col("total") * COMMON, F.lit(2.0)))
-    common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("common"), F.first("total").alias("total")).withColumnRenamed("lang", "l")
-    common = common.select("l", F.col("common.word").alias("common"), F.concat("common.n", F.array(F.col("total") - F.aggregate("common.n", F.lit(0.0), lambda a, x: a + x))).alias("word_sums"))
-    out = sums.join(common, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    return out.withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).withColumn("word_sums", F.coalesce("word_sums", F.array(F.lit(1.0))))
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base figures, both distances and kept, for every document."""
-    found = written(references(docs), "references").withColumnRenamed("lang", "l")
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    rows = docs.select("doc_id", "lang", "text").join(found, F.col("lang").eqNullSafe(F.col("l")))
-    text, n_words = F.col("text"), F.col("x.n_words")
-
-    def figures(words: Column) -> Column:
+    counts = docs.select("lang", F.explode(words_column(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("n"))
+    # Words that occur once are never common: only their number is kept.
+    counts = counts.groupBy("lang", F.when(F.col("n") > 1, F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    counts = written(counts, "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "l")
+    found = counts.join(totals, F.col("lang").eqNullSafe(F.col("l"))).drop("lang")
+    # At most 1 / COMMON words of a language reach the share, so the list is bounded.
+    is_common = F.col("word").isNotNull() & (F.col("n") >= F.greatest(F.col("total") * COMMON, F.lit(2.0)))
+    found = found.groupBy("l", "total").agg(F.sort_array(F.collect_list(F.when(is_common, F.struct("word", "n")))).alias("common"))
+    return found.select("l", F.col("common.word").alias("common"), F.concat("common.n", F.array(F.col("total") - F.aggregate("common.n", F.lit(0.0), lambda a, x: a + x))).alias("word_sums"))
+
+
+def figures(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the base figures, the counts of classes (null below LEAST_CHARS characters) and of common words (null below
+    LEAST_JUDGED words) of every document, and the class counts that go into the references; words are taken from the text once."""
+    found = _small(written(common_words(docs), "common"))
+    rows = docs.select("doc_id", "lang", "text").join(found, F.col("lang").eqNullSafe(F.col("l")), "left")
+    text, common = F.col("text"), F.coalesce("common", F.array().cast("array<string>"))
+
+    def of_words(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
             repeated_words(words).alias("n_repeat_words"),
-            F.when(F.size(words) >= LEAST_JUDGED, distance_of_words(words)).alias("word_distance"),
+            F.when(F.size(words) >= LEAST_JUDGED, word_counts(words, common)).alias("word_counts"),
         )
 
-    def distance_of_words(words: Column) -> Column:
-        return let(word_counts(words, F.col("common")), lambda c: distance(c, F.col("word_sums")))
+    symbols = F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "lang", let(words_column(text), of_words).alias("x"), symbols.alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), class_counts(text).alias("class_counts"), F.coalesce("word_sums", F.array(F.lit(1.0))).alias("word_sums"))
+    return rows.select("doc_id", "lang", "x.*", "n_symbols", "n_dup_lines", "chars", "class_counts", "word_sums")
 
-    rows = rows.select("doc_id", let(words_column(text), figures).alias("x"), F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"), F.when(F.length(text) >= LEAST_CHARS, let(class_counts(text), lambda c: distance(c, F.col("class_sums")))).alias("class_distance"))
-    failed = (n_words < LEAST_WORDS) | (100 * F.col("x.n_repeat_words") > MOST_REPEATED * n_words)
-    strange = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MOST_CLASS) | (F.coalesce(F.col("x.word_distance"), F.lit(0.0)) > MOST_WORD)
-    return rows.select("doc_id", n_words.alias("n_words"), F.col("x.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("x.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~strange).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("x.word_distance", 6).alias("word_distance"))
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base figures, both distances and kept, for every document. Texts are read twice: for the common words of the
+    languages, and for the figures, from whose table the class references are summed and documents are judged."""
+    rows = written(figures(docs), "figures")
+    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.get("class_counts", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("class_sums"))
+    sums = _small(written(sums.withColumnRenamed("lang", "l"), "sums"))
+    rows = rows.join(sums, F.col("lang").eqNullSafe(F.col("l")))
+    n_words = F.col("n_words")
+    rows = rows.withColumn("class_distance", F.when(F.col("chars") >= LEAST_CHARS, distance(F.col("class_counts"), F.col("class_sums"))))
+    rows = rows.withColumn("word_distance", F.when(F.col("word_counts").isNotNull(), distance(F.col("word_counts"), F.col("word_sums"))))
+    failed = (n_words < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n_words)
+    strange = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MOST_CLASS) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MOST_WORD)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
