@@ -36,14 +36,15 @@ from .shingling import batch_shingles, distinct, fingerprint
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-#: Share of the hash range whose tokens are counted; rows up to which a table of ids is broadcast.
-SHARE, BROADCAST_ROWS = 0.26, 1_000_000
+#: Share of the hash range whose tokens are counted; rows (two numbers each) up to which a table is broadcast.
+SHARE, BROADCAST_ROWS = 0.26, 500_000
 #: Star rounds, pairs for each index entry at which the full comparison starts at once, members of a block.
 ROUNDS, FEW, BLOCK = 4, 4, 128
 
 
 def _sets(docs: DataFrame, what: str) -> DataFrame:
-    """doc_id, cid (null for the empty set), n, and of the tokens: nothing, the first ones (low and as many as the prefix), or all."""
+    """doc_id, text_hash, cid (null for the empty set), n, low, and of the tokens: nothing, the first ones (low and as many as the
+    prefix), or all."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edge = np.uint64(int(SHARE * 2**64))
@@ -52,20 +53,20 @@ def _sets(docs: DataFrame, what: str) -> DataFrame:
                 some = batch.iloc[at : at + 500]
                 sets = [distinct(x) for x in batch_shingles(list(some["raw"]))]
                 low = [int(np.searchsorted(s, edge)) for s in sets]
-                out = {"doc_id": some["doc_id"].to_numpy(), "cid": pd.array([fingerprint(s) for s in sets], "Int64"), "n": [len(s) for s in sets], "low": low}
+                out = {"doc_id": some["doc_id"].to_numpy(), "text_hash": some["text_hash"].to_numpy(), "cid": pd.array([fingerprint(s) for s in sets], "Int64"), "n": [len(s) for s in sets], "low": low}
                 if what == "first":
                     out["tokens"] = [s[: max(k, len(s) // DEN + 1)].view(np.int64) for s, k in zip(sets, low, strict=True)]
                 elif what == "all":
                     out["tokens"] = [s.view(np.int64) for s in sets]
                 yield pd.DataFrame(out)
 
-    names = "doc_id long, cid long, n int, low int" + (", tokens array<long>" if what else "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    names = "doc_id long, text_hash long, cid long, n int, low int" + (", tokens array<long>" if what else "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
     return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(made, names)
 
 
-#: Stands for a null doc_id within tasks, where integers have no null.
-NO_ID = -(1 << 63)
+#: Stands for a null doc_id within tasks, where integers have no null; and where rows without id come last.
+NO_ID, LAST_ID = -(1 << 63), (1 << 63) - 1
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -75,8 +76,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _counted(sets: DataFrame) -> DataFrame:
     """token, cid, n, low, high, df: the entries of tokens that two sets or more hold. high: the place of a token that is not low."""
     rows = sets.select("cid", "n", "low", F.posexplode("tokens").alias("at", "token"))
-    rows = rows.select("token", "cid", "n", "low", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("high"))
-    return rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where(F.col("df") > 1)
+    rows = rows.select("token", "cid", "n", "low", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("high")).repartition("token")
+    # One shuffle serves the counts and the rows, which are only read past a hash table of the counts. A set has a token once, so
+    # however many sets share one, it holds a small part of all rows.
+    return rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").hint("shuffle_hash"), "token")
 
 
 def may_have_links(sets: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def _with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, cid, n of every row; edges: a, b between classes whose components are those of all links)."""
+    """(members: doc_id, text_hash, cid, n of every row; edges: a, b between classes whose components are those of all links)."""
     bound_batches(docs.sparkSession)
     members = written(_sets(docs, ""), "members").drop("low")
     classes = members.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
@@ -172,12 +175,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, known.unionByName(rest).where("link").select("a", "b")
 
 
-def join_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _with_comp(docs: DataFrame) -> DataFrame:
+    """members with comp, the least class id of a row's component; null for the empty set."""
     members, edges = links(docs)
     found = written(components(edges), "components").withColumnRenamed("id", "cid")
-    rows = members.join(found, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return members.join(found, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+
+
+def join_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows = _with_comp(docs).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     # The smallest id is aggregated before the shuffle; a hot component meets one row in the join.
     least = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "comp", "left")
@@ -185,10 +192,21 @@ def join_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose doc_id is the smallest of its component; rows without id stay."""
-    gone = join_groups(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    gone = written(gone, "gone")
-    return docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with all their columns, one row of each component: that of smallest doc_id (rows without id are last), and
+    of several rows with this id one. A row is judged by its id and text, so other rows of its id do not go with it."""
+    rows = written(_with_comp(docs).where(F.col("comp").isNotNull()).withColumn("rank", F.when(F.col("doc_id") == NO_ID, LAST_ID).otherwise(F.col("doc_id"))), "ranked")
+    least = rows.groupBy("comp").agg(F.min("rank").alias("least"))
+    best = rows.join(least, "comp").where(F.col("rank") == F.col("least")).groupBy("comp", "least").agg(F.min("text_hash").alias("kept"))
+    rows = rows.join(best, "comp").withColumn("go", (F.col("rank") != F.col("least")) | (F.col("text_hash") != F.col("kept")))
+    gone = written(rows.where("go").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    again = written(rows.where("not go").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count"), "again")
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(docs["text"]).alias("_hash")]
+    left = docs.select("*", *key).join(_small(gone, gone.count()), ["_id", "_hash"], "left_anti")
+    several = again.count()
+    if several:  # equal rows, of which one stays
+        once = left.join(_small(again, several), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        left = left.join(_small(again, several), ["_id", "_hash"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert mixing.mix(df).count() == 5 and substring_dedup.report(df).count() == 5 and ngram_join.join_groups(df).count() == 5
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one id with different texts, equal rows, copies without id, and empty texts."""
+    t, u, v = prose(1), prose(2), prose(3)
+    df = docs(spark, [(5, t), (5, t), (5, u), (4, edited(t, 1, 9)), (9, u), (None, u), (None, v), (None, v), (8, None), (8, ""), (None, " ")])
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect())
+    assert kept == Counter([(4, edited(t, 1, 9)), (5, u), (None, v), (8, None), (8, ""), (None, " ")])
+    assert ngram_join.keep_one(docs(spark, [])).collect() == []
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
