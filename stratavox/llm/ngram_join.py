@@ -76,10 +76,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _counted(sets: DataFrame) -> DataFrame:
     """token, cid, n, low, high, df: the entries of tokens that two sets or more hold. high: the place of a token that is not low."""
     rows = sets.select("cid", "n", "low", F.posexplode("tokens").alias("at", "token"))
-    rows = rows.select("token", "cid", "n", "low", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("high")).repartition("token")
-    # One shuffle serves the counts and the rows, which are only read past a hash table of the counts. A set has a token once, so
-    # however many sets share one, it holds a small part of all rows.
-    return rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").hint("shuffle_hash"), "token")
+    rows = rows.select("token", "cid", "n", "low", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("high"))
+    # A set has a token once, so however many sets share one, it holds a small part of all rows, which a window reads in a stream.
+    return rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where(F.col("df") > 1)
 
 
 def may_have_links(sets: DataFrame) -> DataFrame:
