@@ -168,7 +168,7 @@ def demons(f: np.ndarray, m: np.ndarray, iterations: int = 40, sigma: float = 1.
     return u
 
 
-def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: Grid, moving_grid: Grid, kinds: tuple[str, ...] = ("rigid", "affine"), metric: str = "ncc", iterations: int = 60, samples: int = 4096, seed: int = 20250101) -> DataFrame:
+def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: Grid, moving_grid: Grid, kinds: tuple[str, ...] = ("rigid", "affine"), metric: str | tuple[str, ...] = "ncc", iterations: int = 60, samples: int = 4096, seed: int = 20250101) -> DataFrame:
     """case_id, matrix, metric, score, n_samples: the stages one after another from each case's start.
 
     fixed and moving: case_id, z, y, x, v (fixed may have a boolean mask column); starts: case_id, matrix. The start travels with
@@ -183,9 +183,10 @@ def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: G
         f, m = dense(a, fixed_grid), dense(b, moving_grid)
         mask = dense(a.assign(mask=a["mask"].astype(float)), fixed_grid, "mask") > 0.5 if masked else None
         t, score, n = np.array(a["matrix"].iloc[0], float).reshape(4, 4), 0.0, 0
-        for kind in kinds:
-            t, score, n = fit(f, m, fixed_grid, moving_grid, kind, t, metric, iterations=iterations, samples=samples, mask=mask, seed=seed)
-        return pd.DataFrame({"case_id": [a["case_id"].iloc[0]], "matrix": [t.ravel().tolist()], "metric": [metric], "score": [float(score)], "n_samples": [n]})
+        each = (metric,) * len(kinds) if isinstance(metric, str) else metric
+        for kind, metric_of_stage in zip(kinds, each, strict=True):
+            t, score, n = fit(f, m, fixed_grid, moving_grid, kind, t, metric_of_stage, iterations=iterations, samples=samples, mask=mask, seed=seed)
+        return pd.DataFrame({"case_id": [a["case_id"].iloc[0]], "matrix": [t.ravel().tolist()], "metric": [each[-1]], "score": [float(score)], "n_samples": [n]})
 
     return rows.groupBy("case_id").cogroup(moving.select("case_id", "z", "y", "x", "v").groupBy("case_id")).applyInPandas(one, FITTED)
 

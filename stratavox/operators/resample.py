@@ -36,8 +36,9 @@ def source_index(cases: DataFrame, by: Sequence[str], target: Grid, source: Grid
     return rows.select(*by, *INDEX, *[c.alias(n) for c, n in zip(i, ("sx", "sy", "sz"), strict=True)])
 
 
-def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid, source: Grid, matrix: str | None = None, interpolation: str = "linear", default: float = 0.0, value: str = "v", on: Sequence[str] | None = None) -> DataFrame:
-    """by, z, y, x, value on the target grid for every case. Positions outside of the source take the default.
+def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid, source: Grid, matrix: str | None = None, interpolation: str = "linear", default: float | None = 0.0, value: str = "v", on: Sequence[str] | None = None) -> DataFrame:
+    """by, z, y, x, value on the target grid for every case. Positions outside of the source take the default, or the least value of
+    the source volume where the default is None, which is background whatever the modality.
 
     ``on`` are the key columns that voxels and cases share, if one volume serves several cases. Nearest takes one source voxel,
     linear up to eight with a weight above 0; both are one equi-join on the source index.
@@ -61,12 +62,16 @@ def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Gr
         found = rows.join(there, [*on, *[f"k{c}" for c in INDEX]]).groupBy(*by, *INDEX).agg(F.sum(F.col("_w") * F.col("_v")).alias(value))
     else:
         raise ValueError(f"unknown interpolation {interpolation!r}")
-    grid = grid_voxels(cases, by, target)
-    return grid.join(found, [*by, *INDEX], "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    out = grid_voxels(cases, by, target).join(found, [*by, *INDEX], "left")
+    if default is not None:
+        return out.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    least = voxels.groupBy(*on).agg(F.min(value).alias("_least"))  # one row a volume
+    return out.join(least, on, "left").withColumn(value, F.coalesce(value, "_least")).drop("_least")
 
 
-def to_spacing(voxels: DataFrame, by: Sequence[str], grid: Grid, spacing: tuple[float, float, float], interpolation: str = "linear", default: float = 0.0) -> tuple[DataFrame, Grid]:
-    """Volume and grid at another spacing over the same extent; unchanged if it has that spacing."""
+def to_spacing(voxels: DataFrame, by: Sequence[str], grid: Grid, spacing: tuple[float, float, float], interpolation: str = "linear", default: float | None = None) -> tuple[DataFrame, Grid]:
+    """Volume and grid at another spacing over the same extent; unchanged if it has that spacing. What the last voxels of the new grid
+    reach beyond the old one takes the default, the volume's least value if None."""
     target = grid.resampled(spacing)
     if target is grid:
         return voxels, grid

@@ -63,11 +63,17 @@ def _product(matrix, m: np.ndarray):  # noqa: ANN001, ANN202
     return F.array(*[sum((at(r, k) * float(m[k, c]) for k in range(4)), F.lit(0.0)) for r in range(4) for c in range(4)])
 
 
-def run_batch(fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, moving_grid: Grid, plan: Plan, fixed_labels: DataFrame | None = None, moving_labels: DataFrame | None = None, coarse_mm: float = 6.0) -> Result:
+def run_batch(fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, moving_grid: Grid, plan: Plan, fixed_labels: DataFrame | None = None, moving_labels: DataFrame | None = None, coarse_mm: float = 6.0, linear_only: bool = False) -> Result:
     """fixed and moving: case_id, z, y, x, v; labels: case_id, z, y, x, organ.
 
-    Moved volumes keep the moving side's own values: preparation only serves the fit.
+    Moved volumes keep the moving side's own values: preparation only serves the fit; what lies outside of the moving grid takes the
+    moving volume's least value. Linear stages are run, each with its own metric. A plan with a deformable stage, a region to
+    crop to, a mask around targets or required features is refused, as it would be judged by work that was not done; with ``linear_only``
+    its linear stages are run on whole volumes and judged as such. Overlap is measured for ``qc_labels``, or all organs without.
     """
+    left_out = [name for name, there in (("deformable stages", any(s.kind not in optimise.LENGTHS for s in plan.stages)), ("a region to crop to", plan.roi_crop), ("a mask around targets", bool(plan.targets)), ("features", plan.features is True)) if there]
+    if left_out and not linear_only:
+        raise ValueError(f"the batch run does not execute {' or '.join(left_out)} of a plan; linear_only=True runs the linear stages alone")
     by = ["case_id"]
     prep = lambda df, p, m: intensity.prepared(df.select("case_id", *INDEX, "v"), by, modality=m, clip=p.clip, window=p.window, percentiles=p.percentiles, normalize=p.normalize)
     f, m = prep(fixed, plan.fixed, plan.fixed_modality), prep(moving, plan.moving, plan.moving_modality)
@@ -80,12 +86,12 @@ def run_batch(fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, moving_grid
         f_coarse, grid = resample.to_spacing(f_work, by, f_grid, (coarse_mm,) * 3)
         start = candidates.ranked(candidates.scored(start, f_coarse, m_work, grid, m_grid)).where(F.col("rank") == 1)
     linear = [s for s in plan.stages if s.kind in optimise.LENGTHS]
-    metric = metric_of(linear[0], plan)
-    fitted = optimise.fitted(f_work, m_work, start, f_grid, m_grid, tuple(s.kind for s in linear), "mi" if metric == "mi" else "ncc", samples=linear[0].n_samples)
+    metrics = tuple("mi" if metric_of(s, plan) == "mi" else "ncc" for s in linear)
+    fitted = optimise.fitted(f_work, m_work, start, f_grid, m_grid, tuple(s.kind for s in linear), metrics, samples=linear[0].n_samples)
     fitted = written(fitted, "transforms")
-    moved = written(resample.resampled(moving, fitted, by, fixed_grid, moving_grid, "matrix"), "moved")
+    moved = written(resample.resampled(moving, fitted, by, fixed_grid, moving_grid, "matrix", default=None), "moved")
     identity = fitted.withColumn("matrix", F.array(*[F.lit(float(v)) for v in np.eye(4).ravel()]))
-    before = resample.resampled(moving, identity, by, fixed_grid, moving_grid, "matrix").withColumnRenamed("v", "before")
+    before = resample.resampled(moving, identity, by, fixed_grid, moving_grid, "matrix", default=None).withColumnRenamed("v", "before")
     pairs = fixed.select(*by, *INDEX, "v").join(before, [*by, *INDEX]).join(moved.withColumnRenamed("v", "after"), [*by, *INDEX])
     metrics = statistics.similarity_report(pairs, by, "v", "before", "after").join(fitted.select("case_id", F.col("score").alias("final_metric"), "matrix"), by)
     metrics = metrics.withColumns(linear_figures("matrix")).drop("matrix")
@@ -93,16 +99,16 @@ def run_batch(fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, moving_grid
     dice = F.create_map().cast("map<string,double>")
     if fixed_labels is not None and moving_labels is not None:
         organs = moving_labels.select("case_id", *INDEX, "organ")
-        names = organs.select("organ").distinct()
         # One label volume an organ: nearest neighbours never mix names.
         wanted = fitted.select("case_id", "matrix").join(organs.select("case_id", "organ").distinct(), "case_id")
         masks = organs.withColumn("label", F.lit(1))
         labels = resample.warped_labels(masks, wanted, ["case_id", "organ"], fixed_grid, moving_grid, "matrix")
         shared = overlap.overlap(fixed_labels, labels, by)
+        if plan.qc_labels:
+            shared = shared.where(F.col("organ").isin(*plan.qc_labels))
         metrics = metrics.join(shared.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("organ", "dice"))).alias("dice")), by, "left")
         dice = F.coalesce("dice", dice)
-        del names
-    metrics = metrics.withColumn("dice", dice).withColumn("tre_mm", F.lit(None).cast("double")).withColumn("deformable", F.lit(any(s.kind == "bspline" for s in plan.stages)))
+    metrics = metrics.withColumn("dice", dice).withColumn("tre_mm", F.lit(None).cast("double")).withColumn("deformable", F.lit(False))
     metrics = written(metrics, "metrics")
     checks = gates.checks(metrics, plan.gates, by)
     return Result(fitted, moved, labels, metrics, checks, gates.verdicts(checks, by))
