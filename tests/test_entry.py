@@ -12,7 +12,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("stratavox.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 """
 
