@@ -17,8 +17,9 @@ from .intensity import finite
 LEAST_NCC, LEAST_NMI, BINS, BINS_COARSE = 64, 256, 64, 48
 
 
-def describe(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
-    """by, n, n_nonfinite, min, max (4 digits), p1, p99 (1 digit) of each volume."""
+def describe(df: DataFrame, by: Sequence[str], value: str = "v", mask: Column | None = None) -> DataFrame:
+    """by, n, n_nonfinite, min, max (4 digits), p1, p99 (1 digit) of each volume, of the voxels for which the mask holds if there is one."""
+    df = df if mask is None else df.where(mask)
     ok = finite(F.col(value))
     v = F.when(ok, F.col(value))
     out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(~ok, 1)).alias("n_nonfinite"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
@@ -64,8 +65,10 @@ def nmi(df: DataFrame, by: Sequence[str], a: str, b: str, bins: int = BINS, leas
     return counts.groupBy(*by).agg(F.when((F.max("_n") >= least) & (total > 1e-12), (pick("a") + pick("b")) / total).alias("nmi"))
 
 
-def similarity_report(df: DataFrame, by: Sequence[str], fixed: str, before: str, after: str) -> DataFrame:
-    """by, ncc and nmi before and after (4 digits), their gains (differences of the rounded figures) and the number of voxels."""
+def similarity_report(df: DataFrame, by: Sequence[str], fixed: str, before: str, after: str, mask: Column | None = None) -> DataFrame:
+    """by, ncc and nmi before and after (4 digits), their gains (differences of the rounded figures) and the number of voxels, of the
+    voxels for which the mask holds if there is one."""
+    df = df if mask is None else df.where(mask)
     flat = df.groupBy(*by).agg(F.count("*").alias("n_voxels_evaluated"), F.round(ncc(fixed, before), 4).alias("ncc_before"), F.round(ncc(fixed, after), 4).alias("ncc_after"))
     sides = F.array(*[F.struct(F.lit(n).alias("_s"), F.col(c).alias("_m")) for n, c in (("before", before), ("after", after))])
     both = nmi(df.select(*by, F.col(fixed).alias("_f"), F.inline(sides)), [*by, "_s"], "_f", "_m")

@@ -57,6 +57,9 @@ p AS (SELECT *, {part_sql()} AS part, {part_sql("z", "y - sy", "x - sx")} AS par
 vox AS (SELECT *, CASE WHEN part = 100 THEN 0 ELSE part END AS label, CASE WHEN part2 = 100 THEN 0 ELSE part2 END AS label2,
         {value_sql("part")} + ({TEXTURE}) AS v, {value_sql("part2")} + ({TEXTURE.replace("volume_id * 3", "volume_id * 5")}) AS v2 FROM p)"""
 
+#: The same with voxels computed once, for queries that join them with each other.
+KEPT = VOXELS.replace("\ng AS (", "\ng AS MATERIALIZED (").replace("\nvox AS (", "\nvox AS MATERIALIZED (")
+
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
@@ -84,9 +87,9 @@ ORGAN_SQL = "CASE {} WHEN 1 THEN 'liver' WHEN 2 THEN 'spleen' WHEN 3 THEN 'kidne
 
 
 @query("masked_describe", """SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS n_nonfinite, round(min(l_extendedprice), 4) AS min, round(max(l_extendedprice), 4) AS max,
-  round(quantile_cont(l_extendedprice, 0.01), 1) AS p1, round(quantile_cont(l_extendedprice, 0.99), 1) AS p99 FROM lineitem GROUP BY l_returnflag""")
+  round(quantile_cont(l_extendedprice, 0.01), 1) AS p1, round(quantile_cont(l_extendedprice, 0.99), 1) AS p99 FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag""")
 def masked_describe(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.describe(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return statistics.describe(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", F.col("l_quantity") > 10)
 
 
 @query("ncc_by_group", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS ncc FROM lineitem GROUP BY l_returnflag")
@@ -184,11 +187,10 @@ def voxel_l2_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(ch, F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
 
 
-@query("gram_matrix", """WITH u AS (SELECT label, vec_id, unnest(range(0, 8)) AS i, embedding FROM embeddings), w AS (SELECT label, vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS a, embedding FROM u),
-t AS (SELECT label, i, a, unnest(range(0, 8)) AS j, embedding FROM w)
-SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, count(*) AS n, round(covar_pop(a, CAST(embedding[j + 1] AS DOUBLE)), 7) AS cov FROM t WHERE j >= i GROUP BY label, i, j""")
+@query("gram_matrix", """WITH t AS (SELECT label, i, j, CAST(embedding[i + 1] AS DOUBLE) AS a, CAST(embedding[j + 1] AS DOUBLE) AS b FROM embeddings, range(64) u(i), range(64) w(j) WHERE j >= i)
+SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, count(*) AS n, round(covar_pop(a, b), 7) AS cov FROM t GROUP BY label, i, j""")
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 8).alias("ch"))
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding").alias("ch"))
     return neighbourhood.gram(rows, ["label"]).select("label", "i", "j", "n", F.round("cov", 7).alias("cov"))
 
 
@@ -421,14 +423,14 @@ def matrices(spark: SparkSession, d: str, step: float) -> DataFrame:
     return cases(spark, d).select("volume_id", F.array(*[cell.get(i, F.lit(v)).cast("double") for i, v in enumerate(m)]).alias("matrix"))
 
 
-@query("resample_nearest", f"""WITH {VOXELS} SELECT a.volume_id, a.z, a.y, a.x, coalesce(b.v, -1000) AS v FROM vox a LEFT JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y + a.sy AND b.x = a.x + a.sx""")
+@query("resample_nearest", f"""WITH {KEPT} SELECT a.volume_id, a.z, a.y, a.x, coalesce(b.v, -1000) AS v FROM vox a LEFT JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y + a.sy AND b.x = a.x + a.sx""")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     return resample.resampled(volumes(spark, d), matrices(spark, d, 2.0), ["volume_id"], GRID, GRID, "matrix", "nearest", -1000.0)
 
 
 def _linear_sql() -> str:
     corners = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j" for i in (0, 1) for j in (0, 1))
-    return f"""WITH {VOXELS}, k AS ({corners}), t AS (SELECT volume_id, z, y, x, y + sy * 0.5e0 AS qy, x + sx * 0.5e0 AS qx FROM g),
+    return f"""WITH {KEPT}, k AS ({corners}), t AS (SELECT volume_id, z, y, x, y + sy * 0.5e0 AS qy, x + sx * 0.5e0 AS qx FROM g),
 c AS (SELECT t.volume_id, z, y, x, CAST(floor(qy) + j AS INT) AS ky, CAST(floor(qx) + i AS INT) AS kx, (CASE WHEN j = 1 THEN qy - floor(qy) ELSE 1 - (qy - floor(qy)) END) * (CASE WHEN i = 1 THEN qx - floor(qx) ELSE 1 - (qx - floor(qx)) END) AS w
   FROM t, k WHERE qy BETWEEN 0 AND {Y - 1} AND qx BETWEEN 0 AND {X - 1}),
 r AS (SELECT c.volume_id, c.z, c.y, c.x, sum(w * v) AS v FROM c JOIN vox ON vox.volume_id = c.volume_id AND vox.z = c.z AND vox.y = c.ky AND vox.x = c.kx WHERE w > 0 GROUP BY ALL)
@@ -592,7 +594,7 @@ def closing(spark: SparkSession, d: str) -> DataFrame:
     return marked(morphology.closed(rows, ["volume_id"], 2.0, GRID))
 
 
-@query("shift_edge", f"WITH {VOXELS} SELECT a.volume_id, a.z, a.y, a.x, b.v FROM vox a JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y AND b.x = greatest(0, a.x - 3)")
+@query("shift_edge", f"WITH {KEPT} SELECT a.volume_id, a.z, a.y, a.x, b.v FROM vox a JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y AND b.x = greatest(0, a.x - 3)")
 def shift_edge(spark: SparkSession, d: str) -> DataFrame:
     rows = volumes(spark, d)
     return rows.select("volume_id", *INDEX, neighbourhood.shift(F.col("v"), ["volume_id"], "x", 3).alias("v"))
