@@ -1,9 +1,11 @@
 """URL filter: rules on host and path, then empirical-Bayes host reputation.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (the last two labels of the host) and suffix (the
-last label). Every level is shrunk towards the level above it by a beta-binomial prior whose strength is fitted by moments:
-suffixes towards the whole, domains towards their suffix, hosts towards their domain. A host is blocked if the lower bound of
-its posterior bad rate exceeds a limit, so hosts with few labels follow their domain and are not blocked on thin evidence.
+Labelled page outcomes (bad or not) are counted by host, registered domain (one label more than the suffix) and suffix (the last
+label, or two labels that SUFFIXES names). A port does not count. A numeric address is its own domain, below a suffix that all of
+them share; a host that is itself a suffix is its own domain. Every level is shrunk towards the level above it by a beta-binomial
+prior whose strength is fitted by moments: suffixes towards the whole, domains towards their suffix, hosts towards their domain;
+no prior is stronger than the pages it rests on. A host is blocked if the lower bound of its posterior bad rate exceeds a limit,
+so hosts with few labels follow their domain and are not blocked on thin evidence.
 
 Defined results: a null url or one without ``://`` has empty host and path and fits no rule; a host without labelled pages has
 its prior; without any label nothing is blocked; repeated pages count as often as they occur; outcomes of a page that occurs
@@ -18,6 +20,16 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, load
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+# Suffixes of two labels under which strangers register names; an argument where others are wanted.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.ph", "com.pk",
+    "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gob.mx", "gov.au", "gov.br", "gov.cn",
+    "gov.in", "gov.uk", "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr",
+    "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "blogspot.com", "github.io", "gitlab.io", "wordpress.com",
+)
+#: The suffix of numeric addresses; no host holds this character.
+NUMERIC = "#"
 #: Block hosts whose bad rate is above LIMIT with the confidence that Z standard deviations give.
 LIMIT, Z = 0.5, 1.645
 #: Range of the fitted prior strengths, in labelled pages.
@@ -47,6 +59,16 @@ def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
+def domain_columns(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    labels = F.split(name, r"\.")
+    last = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n))
+    numeric = name.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+    long = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(numeric, name).when(long, last(3)).otherwise(last(2)), F.when(numeric, F.lit(NUMERIC)).when(long, last(2)).otherwise(last(1))
+
+
 def _strength(children: DataFrame) -> Column:
     """Prior strength by moments from n, bad and mean (the parent's rate) of the children: one row of sums."""
     spread = F.sum(F.when(F.col("n") > 0, F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), 2) / F.greatest(F.col("mean") * (1 - F.col("mean")), F.lit(1e-9))))
@@ -57,34 +79,38 @@ def _strength(children: DataFrame) -> Column:
     return F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.try_divide(F.lit(1.0), F.greatest(rho, F.lit(1e-9))) - 1))
 
 
-def _shrunk(level: DataFrame, strength: float) -> Column:
-    return (F.col("bad") + strength * F.col("mean")) / (F.col("n") + strength)
+def _fitted(level: DataFrame) -> DataFrame:
+    """level with k, the prior's strength: the fitted one, but no more than the weight of the level above, so that a prior from few
+    pages is not taken for sure. One figure comes to the driver."""
+    return level.withColumn("k", F.least(F.lit(level.agg(_strength(level).alias("k")).first()["k"]), F.col("weight")))
+
+
+def _shrunk() -> list[Column]:
+    """Posterior mean and weight, which are the prior of the level below."""
+    return [((F.col("bad") + F.col("k") * F.col("mean")) / (F.col("n") + F.col("k"))).alias("mean"), (F.col("n") + F.col("k")).alias("weight")]
 
 
-def reputations(hosts: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def reputations(hosts: DataFrame, limit: float = LIMIT, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, rate, lower and blocked from host, n labelled and bad pages (one row a host).
 
-    The three strengths are single rows of sums and the only figures that come to the driver.
+    The whole's sums and the three strengths are the only figures that come to the driver.
     """
-    labels = F.split("host", r"\.")
-    hosts = hosts.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)))
+    domain, suffix = domain_columns(F.col("host"), suffixes)
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    whole = ends.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (whole["bad"] or 0) / whole["n"] if whole["n"] else 0.0
-    suffixes = suffixes.withColumn("mean", F.lit(mean))
-    suffixes = suffixes.withColumn("up", _shrunk(suffixes, suffixes.agg(_strength(suffixes).alias("k")).first()["k"]))
-    domains = domains.join(suffixes.select("suffix", F.col("up").alias("mean")), "suffix")
-    domains = domains.withColumn("up", _shrunk(domains, domains.agg(_strength(domains).alias("k")).first()["k"]))
-    hosts = hosts.join(domains.select("domain", F.col("up").alias("mean")), "domain")
-    strength = hosts.agg(_strength(hosts).alias("k")).first()["k"]
-    a, b = F.col("bad") + strength * F.col("mean"), F.col("n") - F.col("bad") + strength * (1 - F.col("mean"))
+    ends = _fitted(ends.withColumn("mean", F.lit(mean)).withColumn("weight", F.lit(max(WEAKEST, float(whole["n"] or 0)))))
+    domains = _fitted(domains.join(ends.select("suffix", *_shrunk()), "suffix"))
+    hosts = _fitted(hosts.join(domains.select("domain", *_shrunk()), "domain"))
+    a, b = F.col("bad") + F.col("k") * F.col("mean"), F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("mean"))
     rate = a / (a + b)
     lower = rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1))
     return hosts.select("host", "n", "bad", rate.alias("rate"), lower.alias("lower"), (F.lit(bool(whole["n"])) & (lower > limit)).alias("blocked"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES, limit: float = LIMIT, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. outcomes: page_id and bad (0 to 1).
 
     A host with a third of all pages meets one verdict row in the last join, which Spark splits when it is skewed; before that,
@@ -93,7 +119,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
     parsed = pages.select("page_id", host_column(F.col("url")).alias("host"), path_column(F.col("url")).alias("path"))
     once = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.avg("bad").alias("bad"))
     hosts = parsed.select("page_id", "host").join(once, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
-    verdicts = reputations(hosts, limit, z).select("host", F.when(F.col("blocked"), "block").otherwise("allow").alias("by_host"))
+    verdicts = reputations(hosts, limit, z, suffixes).select("host", F.when(F.col("blocked"), "block").otherwise("allow").alias("by_host"))
     rule = rule_column(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else F.create_map().cast("map<string,string>")
     out = parsed.join(verdicts, "host", "left").withColumn("rule", rule)
@@ -124,16 +150,21 @@ parsed AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGH
            regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 once AS (SELECT doc_id AS page_id, avg(CASE WHEN toxic = 1 OR quality = 0 THEN 1.0 ELSE 0.0 END) AS bad FROM labels
          WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
-h0 AS (SELECT host, CAST(count(o.bad) AS DOUBLE) AS n, coalesce(sum(o.bad), 0) AS bad, string_split(host, '.') AS ls
+h0 AS (SELECT host, CAST(count(o.bad) AS DOUBLE) AS n, coalesce(sum(o.bad), 0) AS bad, regexp_replace(host, ':[0-9]*$', '') AS name,
+              string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS ls, regexp_full_match(regexp_replace(host, ':[0-9]*$', ''), '[0-9]+(\.[0-9]+){{3}}|\[.*\]') AS numeric
        FROM parsed p LEFT JOIN once o ON p.page_id = o.page_id GROUP BY host),
-h AS (SELECT host, n, bad, ls[-1] AS suffix, CASE WHEN len(ls) > 1 THEN ls[-2] || '.' || ls[-1] ELSE ls[-1] END AS domain FROM h0),
+h1 AS (SELECT *, CASE WHEN numeric THEN 0 WHEN array_to_string(ls[-2:], '.') IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) THEN 2 ELSE 1 END AS deep FROM h0),
+h AS (SELECT host, n, bad, CASE deep WHEN 0 THEN '#' WHEN 1 THEN ls[-1] ELSE array_to_string(ls[-2:], '.') END AS suffix,
+             CASE deep WHEN 0 THEN name WHEN 1 THEN array_to_string(ls[-2:], '.') ELSE array_to_string(ls[-3:], '.') END AS domain FROM h1),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM d0), 0) AS mean FROM d0 GROUP BY suffix),
-s2 AS (SELECT suffix, (bad + {_strength_sql("s")} * mean) / (n + {_strength_sql("s")}) AS up FROM s),
-d AS (SELECT d0.*, s2.up AS mean FROM d0 JOIN s2 ON d0.suffix = s2.suffix),
-d2 AS (SELECT domain, (bad + {_strength_sql("d")} * mean) / (n + {_strength_sql("d")}) AS up FROM d),
-hh AS (SELECT h.*, d2.up AS mean FROM h JOIN d2 ON h.domain = d2.domain),
-ab AS (SELECT host, bad + {_strength_sql("hh")} * mean AS a, n - bad + {_strength_sql("hh")} * (1 - mean) AS b FROM hh),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM d0), 0) AS mean,
+             greatest(2.0, (SELECT sum(n) FROM d0)) AS weight FROM d0 GROUP BY suffix),
+s2 AS (SELECT *, least({_strength_sql("s")}, weight) AS k FROM s),
+d AS (SELECT d0.*, (s2.bad + s2.k * s2.mean) / (s2.n + s2.k) AS mean, s2.n + s2.k AS weight FROM d0 JOIN s2 ON d0.suffix = s2.suffix),
+d2 AS (SELECT *, least({_strength_sql("d")}, weight) AS k FROM d),
+hh AS (SELECT h.*, (d2.bad + d2.k * d2.mean) / (d2.n + d2.k) AS mean, d2.n + d2.k AS weight FROM h JOIN d2 ON h.domain = d2.domain),
+hk AS (SELECT *, least({_strength_sql("hh")}, weight) AS k FROM hh),
+ab AS (SELECT host, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM hk),
 v AS (SELECT host, CASE WHEN (SELECT sum(n) FROM h) > 0 AND a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS by_host FROM ab),
 ruled AS (SELECT page_id, host, path, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'

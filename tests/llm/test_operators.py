@@ -601,6 +601,22 @@ def test_url_rules_and_reputation(spark):
     assert {r["verdict"] for r in url_reputation.judge(pages, outcomes.limit(0)).where(F.col("rule").isNull()).collect()} == {"allow"}
 
 
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.example.com": ("example.com", "com"), "news.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "me.github.io": ("me.github.io", "github.io"), "10.0.0.7": ("10.0.0.7", "#"), "10.0.0.7:80": ("10.0.0.7", "#"),
+        "[::1]:8080": ("[::1]", "#"), "www.example.com:443": ("example.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = url_reputation.domain_columns(df["host"])
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", domain, suffix).collect()} == hosts
+    # The bad outcomes of one stranger under co.uk leave another one alone, while its own hosts follow it.
+    rows = [(f"s{k}.bad.co.uk", 40, 39.0) for k in range(3)] + [("new.bad.co.uk", 0, 0.0)] + [(f"s{k}.good{k}.co.uk", 40, 0.0) for k in range(5)] + [("thin.other.co.uk", 1, 1.0)]
+    out = {r["host"]: r for r in url_reputation.reputations(spark.createDataFrame(rows, "host string, n long, bad double")).collect()}
+    assert out["s0.bad.co.uk"]["blocked"] and not out["s1.good1.co.uk"]["blocked"] and not out["thin.other.co.uk"]["blocked"]
+    assert out["new.bad.co.uk"]["rate"] > 0.5 > out["s1.good1.co.uk"]["rate"]
+
+
 def test_warc_round_trip(spark):
     big = "é<p>\r\n\r\n" * 20_000
     rows = [(1, "http://a/", "x"), (2, "http://b/\r\nEvil: 1", "x"), (3, None, None), (4, "u", ""), (5, "u", big), (6, "u", big), (7, "u", "y"), (7, "u", "y"), (None, "u", "x"), (None, "u", "z")]
