@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Grid
+from ..operators.neighbourhood import gaussian
+
 # Bounds in Hounsfield units.
 HU_WINDOWS = {
     "ct_full": (-1024.0, 3071.0),
@@ -105,12 +108,16 @@ def feature_normalised(df: DataFrame, by: Sequence[str], value: str = "v", modal
     return rows.join(stats, list(by), "left").withColumn(value, F.when(range_ < FLAT, 0.0).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
 
 
-def prepared(df: DataFrame, by: Sequence[str], value: str = "v", *, modality: str | None = None, clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | str | None = "auto", normalize: str = "none") -> DataFrame:
-    """The preparation chain: repair, clip (bounds measured on the repaired values), normalise."""
+def prepared(df: DataFrame, by: Sequence[str], value: str = "v", *, modality: str | None = None, clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | str | None = "auto", smooth_mm: float | None = None, grid: Grid | None = None, normalize: str = "none") -> DataFrame:
+    """The preparation chain: repair, clip (bounds measured on the repaired values), smooth (a dense volume, by its grid), normalise."""
     if percentiles == "auto":
         percentiles = None if clip or window else percentiles_for(modality)
     rows = repaired(df, by, value)
     rows = clipped(rows, clip_bounds(rows, by, value, clip, window, percentiles), by, value)
+    if smooth_mm:
+        if grid is None:
+            raise ValueError("smoothing needs the grid")
+        rows = gaussian(rows, by, [value], smooth_mm, grid)
     return {"none": lambda x: x, "minmax": lambda x: min_max(x, by, value), "zscore": lambda x: z_score(x, by, value)}[normalize](rows)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUS = ("PASS", "WARN", "FAIL")
+CHECKS = "array<struct<name: string, status: string, measured: double, threshold: double>>"
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,8 @@ class Gates:
     max_scale_deviation: float | None = 0.35
 
 
-def _check(name: str, status: Column, measured: Column, threshold: float | None, when: Column | None = None) -> Column:
-    row = F.struct(F.lit(name).alias("name"), status.alias("status"), measured.cast("double").alias("measured"), F.lit(threshold).cast("double").alias("threshold"))
+def _check(name: str | Column, status: Column, measured: Column, threshold: float | None, when: Column | None = None) -> Column:
+    row = F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), status.alias("status"), measured.cast("double").alias("measured"), F.lit(threshold).cast("double").alias("threshold"))
     return row if when is None else F.when(when, row)
 
 
@@ -37,6 +38,7 @@ def _bad(c: Column) -> Column:
 def checks(runs: DataFrame, gates: Gates, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """by, name, status, measured, threshold: one row for each check of a run.
 
+    With an array ``stages`` of structs with stage and final_metric, every stage has a check of its own instead of the run's.
     runs has ncc_gain, nmi_gain, final_metric, det_min, det_max, folding_fraction, deformable, translation_mm, scale_deviation,
     determinant, tre_mm and a map dice by organ; any of them may be NULL. A run without any check gets a warning.
     """
@@ -47,10 +49,14 @@ def checks(runs: DataFrame, gates: Gates, by: Sequence[str] = ("run_id",)) -> Da
             v = F.col(name)
             status = F.when(_bad(v) | ((v == 0) & F.lit(limit == 0)), "WARN").when(v < limit, "FAIL").otherwise("PASS")
             out.append(_check(name, status, v, limit))
+    stages = None
     if gates.min_abs_final_metric is not None:
-        v = F.col("final_metric")
-        status = F.when(_bad(v) | (F.abs(v) == float("inf")), "WARN").when(F.abs(v) < gates.min_abs_final_metric, "FAIL").otherwise("PASS")
-        out.append(_check("final_metric", status, v, gates.min_abs_final_metric))
+        metric = lambda name, v: _check(name, F.when(_bad(v) | (F.abs(v) == float("inf")), "WARN").when(F.abs(v) < gates.min_abs_final_metric, "FAIL").otherwise("PASS"), v, gates.min_abs_final_metric)
+        if "stages" in runs.columns:
+            named = lambda s: metric(F.concat(F.lit("final_metric["), s["stage"], F.lit("]")), s["final_metric"])
+            stages = F.transform("stages", named)
+        else:
+            out.append(metric("final_metric", F.col("final_metric")))
     for organ, limit in gates.min_dice.items():
         v = F.try_element_at("dice", F.lit(organ))
         out.append(_check(f"dice[{organ}]", F.when(_bad(v), "WARN").when(v < limit, "FAIL").otherwise("PASS"), v, limit))
@@ -69,6 +75,8 @@ def checks(runs: DataFrame, gates: Gates, by: Sequence[str] = ("run_id",)) -> Da
         out.append(_check("tre_mm", F.when(_bad(v), "WARN").when(v > gates.max_tre_mm, "FAIL").otherwise("PASS"), v, gates.max_tre_mm))
     nothing = F.array(_check("configuration", F.lit("WARN"), F.lit(None), None))
     found = F.filter(F.array(*out), lambda x: x.isNotNull())
+    if stages is not None:
+        found = F.concat(found, F.when(F.col("stages").isNull(), F.array().cast(CHECKS)).otherwise(stages))
     rows = runs.select(*by, F.explode(F.when(F.size(found) > 0, found).otherwise(nothing)).alias("c"))
     return rows.select(*by, "c.*")
 

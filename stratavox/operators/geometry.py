@@ -108,6 +108,25 @@ def reoriented(voxels: DataFrame, grid: Grid, code: str = "LPS") -> tuple[DataFr
     return voxels.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in voxels.columns]), new
 
 
+def padded(voxels: DataFrame, grid: Grid, multiple: int) -> tuple[DataFrame, Grid]:
+    """Voxels and grid grown on both sides to sizes that are multiples, by repeating the edges. No shuffle: edge voxels are copied."""
+    size = tuple(-(-n // multiple) * multiple for n in grid.size)
+    low = tuple((t - n) // 2 for t, n in zip(size, grid.size, strict=True))
+    for axis, n, t, before in zip("xyz", grid.size, size, low, strict=True):
+        at = F.col(axis) + before
+        first, last = F.when(F.col(axis) == 0, 0).otherwise(at), F.when(F.col(axis) == n - 1, t - 1).otherwise(at)
+        voxels = voxels.withColumn(axis, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return voxels, grid.cropped(tuple(-v for v in low), size)
+
+
+def unpadded(voxels: DataFrame, grid: Grid, multiple: int) -> DataFrame:
+    """The voxels of a padded volume that the grid had before."""
+    for axis, n in zip("xyz", grid.size, strict=True):
+        before = (-(-n // multiple) * multiple - n) // 2
+        voxels = voxels.where(F.col(axis).between(before, before + n - 1)).withColumn(axis, (F.col(axis) - before).cast("int"))
+    return voxels
+
+
 def moved_points(points: DataFrame, matrix: np.ndarray, columns: Sequence[str], into: Sequence[str]) -> DataFrame:
     """points with the images of three columns under a 4 by 4 matrix."""
     out = affine(matrix, *[F.col(c) for c in columns])

@@ -50,6 +50,19 @@ def box_mean(df: DataFrame, by: Sequence[str], columns: Sequence[str], radius: i
     return df
 
 
+def gaussian(df: DataFrame, by: Sequence[str], columns: Sequence[str], sigma_mm: float, grid: Grid) -> DataFrame:
+    """Gaussian smoothing along each axis in turn, cut off at three deviations, edges repeated."""
+    for k, axis in enumerate(INDEX):
+        n, sigma = grid.size[2 - k], sigma_mm / grid.spacing[2 - k]
+        if sigma <= 0 or n == 1:
+            continue
+        reach = max(1, int(np.ceil(3 * sigma)))
+        weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+        weights = (weights / weights.sum()).tolist()
+        df = df.withColumns({c: sum((shift(F.col(c), by, axis, i - reach) * w for i, w in enumerate(weights)), F.lit(0.0)) for c in columns})
+    return df
+
+
 def jacobian(field: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
     """by, z, y, x, det of the identity plus the displacement's gradient, by central differences (edges repeated)."""
     u = ("dx", "dy", "dz")

@@ -16,7 +16,7 @@ from .transforms import from_parameters
 
 #: Voxels of a working grid at most; a larger volume has to be resampled or cropped first.
 MOST_VOXELS = 4_000_000
-FITTED = "case_id long, matrix array<double>, metric string, score double, n_samples long"
+FITTED = "case_id long, matrix array<double>, metric string, score double, n_samples long, stages array<struct<stage: string, final_metric: double, matrix: array<double>>>"
 LENGTHS = {"translation": 3, "rigid": 6, "similarity": 7, "affine": 12}
 
 
@@ -169,7 +169,7 @@ def demons(f: np.ndarray, m: np.ndarray, iterations: int = 40, sigma: float = 1.
 
 
 def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: Grid, moving_grid: Grid, kinds: tuple[str, ...] = ("rigid", "affine"), metric: str | tuple[str, ...] = "ncc", iterations: int = 60, samples: int = 4096, seed: int = 20250101) -> DataFrame:
-    """case_id, matrix, metric, score, n_samples: the stages one after another from each case's start.
+    """case_id, matrix, metric, score, n_samples, stages (each with its figure and the transform up to it): the stages one after another from each case's start.
 
     fixed and moving: case_id, z, y, x, v (fixed may have a boolean mask column); starts: case_id, matrix. The start travels with
     the fixed voxels' group; a case without voxels on either side gets no row.
@@ -179,14 +179,15 @@ def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: G
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"case_id": [], "matrix": [], "metric": [], "score": [], "n_samples": []})
+            return pd.DataFrame({"case_id": [], "matrix": [], "metric": [], "score": [], "n_samples": [], "stages": []})
         f, m = dense(a, fixed_grid), dense(b, moving_grid)
         mask = dense(a.assign(mask=a["mask"].astype(float)), fixed_grid, "mask") > 0.5 if masked else None
-        t, score, n = np.array(a["matrix"].iloc[0], float).reshape(4, 4), 0.0, 0
+        t, score, n, stages = np.array(a["matrix"].iloc[0], float).reshape(4, 4), 0.0, 0, []
         each = (metric,) * len(kinds) if isinstance(metric, str) else metric
         for kind, metric_of_stage in zip(kinds, each, strict=True):
             t, score, n = fit(f, m, fixed_grid, moving_grid, kind, t, metric_of_stage, iterations=iterations, samples=samples, mask=mask, seed=seed)
-        return pd.DataFrame({"case_id": [a["case_id"].iloc[0]], "matrix": [t.ravel().tolist()], "metric": [each[-1]], "score": [float(score)], "n_samples": [n]})
+            stages.append({"stage": kind, "final_metric": float(score), "matrix": t.ravel().tolist()})
+        return pd.DataFrame({"case_id": [a["case_id"].iloc[0]], "matrix": [t.ravel().tolist()], "metric": [each[-1]], "score": [float(score)], "n_samples": [n], "stages": [stages]})
 
     return rows.groupBy("case_id").cogroup(moving.select("case_id", "z", "y", "x", "v").groupBy("case_id")).applyInPandas(one, FITTED)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intensity, statistics
 from ..model import INDEX, Grid
-from ..operators import candidates, gates, geometry, optimise, overlap, resample
+from ..operators import candidates, gates, geometry, optimise, overlap, regions, resample
 from ..operators.transforms import decomposed
 from ..shared import written
 from .presets import Plan, metric_of
@@ -48,13 +48,20 @@ def _starts(plan: Plan, fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, m
         else:
             rows = cases.withColumn("d", F.array(*[F.lit(float(v)) for v in np.array(moving_grid.centre) - np.array(fixed_grid.centre)]))
         at = [F.get("d", F.lit(i)) for i in range(3)]
-        found.append(rows.select("case_id", F.lit(k * 100).alias("ordinal"), F.lit(mode).alias("name"), eye(at).alias("matrix")))
+        found.append(rows.select("case_id", F.lit(k).alias("ordinal"), F.lit(mode).alias("name"), eye(at).alias("matrix")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     turns = [candidates.probes(np.eye(4), [r], fixed_grid.centre)[0] for r in plan.rotations_deg]
     product = [_product(F.col("matrix"), t) for t in turns]
-    return out.select("case_id", "ordinal", "name", F.posexplode(F.array(*product)).alias("turn", "matrix")).select("case_id", (F.col("ordinal") + F.col("turn")).cast("int").alias("ordinal"), "name", "matrix")
+    names = [F.lit("") if not any(r) else F.lit(f"+rot({','.join(str(int(a)) for a in r)})") for r in plan.rotations_deg]
+    if plan.flip_check:  # every start once more, half a turn about z further
+        half = candidates.probes(np.eye(4), [(0.0, 0.0, 180.0)], fixed_grid.centre)[0]
+        product += [_product(p, half) for p in product]
+        names += [F.concat(n, F.lit("+flip180z")) for n in names]
+    turned = F.array(*[F.struct(F.lit(k).alias("turn"), n.alias("how"), p.alias("matrix")) for k, (n, p) in enumerate(zip(names, product, strict=True))])
+    out = out.select("case_id", "ordinal", "name", F.inline(turned))
+    return out.select("case_id", (F.col("ordinal") * len(product) + F.col("turn")).cast("int").alias("ordinal"), F.concat("name", "how").alias("name"), "matrix")
 
 
 def _product(matrix, m: np.ndarray):  # noqa: ANN001, ANN202
@@ -63,37 +70,56 @@ def _product(matrix, m: np.ndarray):  # noqa: ANN001, ANN202
     return F.array(*[sum((at(r, k) * float(m[k, c]) for k in range(4)), F.lit(0.0)) for r in range(4) for c in range(4)])
 
 
+def _masked(work: DataFrame, organs: DataFrame | None, grid: Grid, full: Grid, plan: Plan) -> DataFrame:
+    """work with a column mask: around the targets, or the organs or the body where there is none; everywhere if that is too small."""
+    by = ["case_id"]
+    if organs is None:
+        small = regions.combined_mask(work.limit(0).select(*by, *INDEX, F.lit("").alias("organ")), by, grid, voxels=work, modality=plan.fixed_modality)
+    else:
+        mask = regions.combined_mask(organs, by, full, plan.targets, plan.mask_dilate_mm)
+        cases = work.select(*by).distinct()
+        small = resample.resampled(mask.withColumn("mask", F.lit(1)), cases, by, grid, full, None, "nearest", 0, "mask").where("mask = 1").select(*by, *INDEX)
+    small = written(regions.working_mask(small, by), "mask")
+    out = work.join(small.withColumn("mask", F.lit(True)), [*by, *INDEX], "left")
+    return out.join(small.select(*by).distinct().withColumn("_any", F.lit(True)), by, "left").withColumn("mask", F.coalesce("mask", F.col("_any").isNull())).drop("_any")
+
+
 def run_batch(fixed: DataFrame, moving: DataFrame, fixed_grid: Grid, moving_grid: Grid, plan: Plan, fixed_labels: DataFrame | None = None, moving_labels: DataFrame | None = None, coarse_mm: float = 6.0, linear_only: bool = False) -> Result:
     """fixed and moving: case_id, z, y, x, v; labels: case_id, z, y, x, organ.
 
     Moved volumes keep the moving side's own values: preparation only serves the fit; what lies outside of the moving grid takes the
-    moving volume's least value. Linear stages are run, each with its own metric. A plan with a deformable stage, a region to
-    crop to, a mask around targets or required features is refused, as it would be judged by work that was not done; with ``linear_only``
-    its linear stages are run on whole volumes and judged as such. Overlap is measured for ``qc_labels``, or all organs without.
+    moving volume's least value. Linear stages are run and judged, each with its own metric; a plan with targets fits within the mask
+    around them. A plan with a deformable stage, a region to crop to or required features is refused, as it would be judged by work
+    that was not done; with ``linear_only`` its linear stages are run on whole volumes and judged as such. Overlap is measured for ``qc_labels``, or all organs without.
     """
-    left_out = [name for name, there in (("deformable stages", any(s.kind not in optimise.LENGTHS for s in plan.stages)), ("a region to crop to", plan.roi_crop), ("a mask around targets", bool(plan.targets)), ("features", plan.features is True)) if there]
+    left_out = [name for name, there in (("deformable stages", any(s.kind not in optimise.LENGTHS for s in plan.stages)), ("a region to crop to", plan.roi_crop), ("features", plan.features is True)) if there]
     if left_out and not linear_only:
         raise ValueError(f"the batch run does not execute {' or '.join(left_out)} of a plan; linear_only=True runs the linear stages alone")
     by = ["case_id"]
-    prep = lambda df, p, m: intensity.prepared(df.select("case_id", *INDEX, "v"), by, modality=m, clip=p.clip, window=p.window, percentiles=p.percentiles, normalize=p.normalize)
-    f, m = prep(fixed, plan.fixed, plan.fixed_modality), prep(moving, plan.moving, plan.moving_modality)
+    prep = lambda df, p, m, g: intensity.prepared(df.select("case_id", *INDEX, "v"), by, modality=m, clip=p.clip, window=p.window, percentiles=p.percentiles, smooth_mm=p.smooth_mm, grid=g, normalize=p.normalize)
+    f, m = prep(fixed, plan.fixed, plan.fixed_modality, fixed_grid), prep(moving, plan.moving, plan.moving_modality, moving_grid)
     space = (plan.spacing_mm,) * 3
     f_work, f_grid = resample.to_spacing(f, by, fixed_grid, space)
     m_work, m_grid = resample.to_spacing(m, by, moving_grid, space)
     f_work, m_work = written(f_work, "fixed"), written(m_work, "moving")
     start = written(_starts(plan, f_work, m_work, f_grid, m_grid, fixed_labels, moving_labels), "starts")
-    if len(plan.init) * len(plan.rotations_deg) > 1:
+    if len(plan.init) * len(plan.rotations_deg) > 1 or plan.flip_check:
         f_coarse, grid = resample.to_spacing(f_work, by, f_grid, (coarse_mm,) * 3)
         start = candidates.ranked(candidates.scored(start, f_coarse, m_work, grid, m_grid)).where(F.col("rank") == 1)
     linear = [s for s in plan.stages if s.kind in optimise.LENGTHS]
     metrics = tuple("mi" if metric_of(s, plan) == "mi" else "ncc" for s in linear)
+    if plan.targets:
+        # The body is told from air by values that are not prepared.
+        bare = f_work if fixed_labels is not None else resample.to_spacing(fixed.select("case_id", *INDEX, "v"), by, fixed_grid, space)[0]
+        mask = _masked(bare, fixed_labels, f_grid, fixed_grid, plan).select(*by, *INDEX, "mask")
+        f_work = f_work.join(mask, [*by, *INDEX])
     fitted = optimise.fitted(f_work, m_work, start, f_grid, m_grid, tuple(s.kind for s in linear), metrics, samples=linear[0].n_samples)
     fitted = written(fitted, "transforms")
     moved = written(resample.resampled(moving, fitted, by, fixed_grid, moving_grid, "matrix", default=None), "moved")
     identity = fitted.withColumn("matrix", F.array(*[F.lit(float(v)) for v in np.eye(4).ravel()]))
     before = resample.resampled(moving, identity, by, fixed_grid, moving_grid, "matrix", default=None).withColumnRenamed("v", "before")
     pairs = fixed.select(*by, *INDEX, "v").join(before, [*by, *INDEX]).join(moved.withColumnRenamed("v", "after"), [*by, *INDEX])
-    metrics = statistics.similarity_report(pairs, by, "v", "before", "after").join(fitted.select("case_id", F.col("score").alias("final_metric"), "matrix"), by)
+    metrics = statistics.similarity_report(pairs, by, "v", "before", "after").join(fitted.select("case_id", F.col("score").alias("final_metric"), F.transform("stages", lambda s: F.struct(s["stage"].alias("stage"), s["final_metric"].alias("final_metric"))).alias("stages"), "matrix"), by)
     metrics = metrics.withColumns(linear_figures("matrix")).drop("matrix")
     labels = None
     dice = F.create_map().cast("map<string,double>")

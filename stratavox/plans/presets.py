@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+import json
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 from ..operators.gates import Gates
@@ -14,6 +15,7 @@ class Prep:
     clip: tuple[float, float] | None = None
     percentiles: tuple[float, float] | str | None = "auto"
     normalize: str = "none"
+    smooth_mm: float | None = None
 
     def __post_init__(self) -> None:
         for pair in (self.clip, self.percentiles if isinstance(self.percentiles, tuple) else None):
@@ -47,6 +49,7 @@ class Plan:
     roi_crop: bool = False
     roi_margin_mm: float = 20.0
     init: tuple[str, ...] = ("geometry",)
+    flip_check: bool = False
     rotations_deg: tuple[tuple[float, float, float], ...] = ((0.0, 0.0, 0.0),)
     stages: tuple[Stage, ...] = (Stage("rigid"), Stage("affine", n_resolutions=3))
     gates: Gates = field(default_factory=Gates)
@@ -87,6 +90,56 @@ def preset(name: str, **overrides: Any) -> Plan:
     return replace(PRESETS[name], **overrides)
 
 
+def merged(base: dict[str, Any], updates: dict[str, Any]) -> dict[str, Any]:
+    """base with updates: dictionaries are merged, everything else is replaced, None leaves what is there."""
+    out = dict(base)
+    for key, value in updates.items():
+        if value is not None:
+            out[key] = merged(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
+def from_settings(values: dict[str, Any]) -> Plan:
+    """A plan from nested dictionaries and lists, as ``dataclasses.asdict`` or a parsed file has them; unknown names are errors."""
+
+    def made(kind: type, given: dict[str, Any]) -> Any:
+        if wrong := given.keys() - {f.name for f in fields(kind)}:
+            raise ValueError(f"unknown settings of {kind.__name__}: {sorted(wrong)}")
+        return kind(**{k: _tuples(v) for k, v in given.items()})
+
+    parts = {"fixed": Prep, "moving": Prep, "gates": Gates}
+    values = {k: made(parts[k], v) if k in parts and isinstance(v, dict) else v for k, v in values.items()}
+    if "stages" in values:
+        values["stages"] = tuple(made(Stage, s) if isinstance(s, dict) else s for s in values["stages"])
+    return made(Plan, values)
+
+
+def _tuples(v: Any) -> Any:
+    return tuple(map(_tuples, v)) if isinstance(v, list | tuple) else v
+
+
+def overridden(plan: Plan, assignments: list[str]) -> Plan:
+    """The plan with ``dotted.path=value`` settings: numbers in a path are positions in a list, values are JSON, or text if they are not."""
+    data = json.loads(json.dumps(asdict(plan)))
+    for item in assignments:
+        path, equals, raw = item.partition("=")
+        if not equals:
+            raise ValueError(f"not a setting of the form path=value: {item!r}")
+        try:
+            value = json.loads(raw)
+        except ValueError:
+            value = raw
+        *above, last = path.strip().split(".")
+        node = data
+        try:
+            for part in above:
+                node = node[int(part)] if isinstance(node, list) else node[part]
+            node[int(last) if isinstance(node, list) else last] = value
+        except (KeyError, IndexError, TypeError, ValueError):
+            raise ValueError(f"no such setting: {path!r}") from None
+    return from_settings(data)
+
+
 def metric_of(stage: Stage, plan: Plan, with_features: bool = False) -> str:
     """The metric of a stage: as it says, else features if there are any, correlation within one modality family, or mutual
     information."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intensity, names, statistics
 from ..model import INDEX, Grid
-from ..operators import candidates, gates, geometry, morphology, neighbourhood, overlap, resample, surface
+from ..operators import candidates, gates, geometry, morphology, neighbourhood, overlap, regions, resample, surface
 from ..sources import phantom, series
 
 QUERIES: dict = {}
@@ -625,3 +625,136 @@ def series_warnings(spark: SparkSession, d: str) -> DataFrame:
 def log_hints(spark: SparkSession, d: str) -> DataFrame:
     said = F.element_at(F.array(*map(F.lit, ("ERROR: Too many samples map outside moving image", "Not enough memory", "No such file or directory", "all well"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", names.hint(said).alias("hint"))
+
+
+# Regions, reports and settings of a run
+
+NAMED = f"(SELECT volume_id, z, y, x, {ORGAN_SQL.format('{0}')} AS organ FROM vox WHERE {{0}} <> 0)"
+#: Volumes without labels, and without the target, so that each way of choosing a mask occurs.
+SOME_SQL = f"org AS (SELECT * FROM {NAMED.format('label')} WHERE volume_id % 4 <> 3 AND NOT (volume_id % 4 = 2 AND organ = 'spleen')), org2 AS (SELECT * FROM {NAMED.format('label2')} WHERE volume_id % 5 <> 4)"
+
+
+def organs(spark: SparkSession, d: str, label: str) -> DataFrame:
+    rows = volumes(spark, d).where(F.col(label) != 0).select("volume_id", *INDEX, F.col(label).alias("label"))
+    return overlap.named(rows, organ_names(spark, d)).drop("label")
+
+
+def some_organs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("volume_id") % 4
+    return organs(spark, d, "label").where((k != 3) & ~((k == 2) & (F.col("organ") == "spleen")))
+
+
+@query("combined_mask", f"""WITH {VOXELS}, {SOME_SQL}, has AS (SELECT DISTINCT volume_id FROM org WHERE organ = 'spleen'),
+mask AS (SELECT DISTINCT volume_id, z, y, x FROM org WHERE organ = 'spleen' OR volume_id NOT IN (SELECT volume_id FROM has)), {DILATED}
+SELECT volume_id, {SUMS} FROM dil GROUP BY volume_id""")
+def combined_mask(spark: SparkSession, d: str) -> DataFrame:
+    return marked(regions.combined_mask(some_organs(spark, d), ["volume_id"], GRID, ["spleen"], 4.0))
+
+
+def _roi_sql() -> str:
+    ends = ", ".join(f"greatest(0, min({c}) - {m}) AS {c}_low, least({n - 1}, max({c}) + {m}) AS {c}_high" for c, n, m in (("z", Z, 2), ("y", Y, 3), ("x", X, 3)))
+    pick = lambda s, c, n: f"CASE WHEN applied THEN coalesce({s}.{c}_low, 0) ELSE 0 END AS {s}_{c}_low, CASE WHEN applied THEN coalesce({s}.{c}_high, {n - 1}) ELSE {n - 1} END AS {s}_{c}_high"
+    size = lambda s: " * ".join(f"({s}_{c}_high - {s}_{c}_low + 1)" for c in INDEX)
+    sides = ", ".join(pick(s, c, n) for s in ("fixed", "moving") for c, n in zip(INDEX, (Z, Y, X), strict=True))
+    return f"""WITH {VOXELS}, {SOME_SQL}, fixed AS (SELECT volume_id, {ends} FROM org WHERE organ IN ('spleen', 'pancreas') GROUP BY volume_id),
+moving AS (SELECT volume_id, {ends} FROM org2 WHERE organ IN ('spleen', 'pancreas') GROUP BY volume_id),
+j AS (SELECT volume_id, volume_id IN (SELECT volume_id FROM org) AND volume_id IN (SELECT volume_id FROM org2) AS applied FROM cases),
+k AS (SELECT j.volume_id, applied, CASE WHEN NOT applied THEN 'missing segmentation' END AS reason, {sides} FROM j LEFT JOIN fixed ON fixed.volume_id = j.volume_id LEFT JOIN moving ON moving.volume_id = j.volume_id),
+t AS (SELECT *, CAST({size('fixed')} AS BIGINT) AS fixed_voxels, CAST({size('moving')} AS BIGINT) AS moving_voxels FROM k)
+SELECT *, round({2 * Z * Y * X}e0 / (fixed_voxels + moving_voxels), 1) AS speedup FROM t"""
+
+
+@query("roi_plan", _roi_sql())
+def roi_plan(spark: SparkSession, d: str) -> DataFrame:
+    moving = organs(spark, d, "label2").where(F.col("volume_id") % 5 != 4)
+    return regions.roi_plan(cases(spark, d), some_organs(spark, d), moving, ["volume_id"], GRID, GRID, ["spleen", "pancreas"], 6.0)
+
+
+def _surface_sql(a: str, b: str, side: int) -> str:
+    return f"SELECT {a}.volume_id, {a}.organ, {side} AS s, {a}.z, {a}.y, {a}.x, min(sqrt(pow((ca.x - cb.x) * 2, 2) + pow((ca.y - cb.y) * 2, 2) + pow((ca.z - cb.z) * 2.5e0, 2))) AS d FROM ca JOIN cb ON ca.volume_id = cb.volume_id AND ca.organ = cb.organ GROUP BY ALL"
+
+
+EDGE = "SELECT m.volume_id, m.organ, m.z, m.y, m.x FROM {0} m LEFT JOIN {0} n ON n.volume_id = m.volume_id AND n.organ = m.organ AND abs(n.z - m.z) + abs(n.y - m.y) + abs(n.x - m.x) = 1 GROUP BY ALL HAVING count(n.volume_id) < 6"
+
+
+@query("organ_report", f"""WITH {KEPT}, {SOME_SQL}, ca AS ({EDGE.format('org')}), cb AS ({EDGE.format('org2')}), d AS ({_surface_sql('ca', 'cb', 0)} UNION ALL {_surface_sql('cb', 'ca', 1)}),
+q AS (SELECT volume_id, organ, s, quantile_cont(d, 0.95) AS p, avg(d) AS m FROM d GROUP BY ALL), u AS (SELECT volume_id, organ, round(max(p), 2) AS hd95_mm, round(sum(m) / 2, 2) AS msd_mm FROM q GROUP BY ALL),
+na AS (SELECT volume_id, organ, count(*) AS n FROM org GROUP BY ALL), nb AS (SELECT volume_id, organ, count(*) AS n FROM org2 GROUP BY ALL),
+nc AS (SELECT a.volume_id, a.organ, count(*) AS n FROM org a JOIN org2 b ON b.volume_id = a.volume_id AND b.organ = a.organ AND b.z = a.z AND b.y = a.y AND b.x = a.x GROUP BY ALL)
+SELECT na.volume_id, na.organ, round(2e0 * coalesce(nc.n, 0) / (na.n + nb.n), 4) AS dice, hd95_mm, msd_mm, round(na.n * 0.01e0, 2) AS fixed_ml, round(nb.n * 0.01e0, 2) AS moving_ml
+FROM na JOIN nb ON nb.volume_id = na.volume_id AND nb.organ = na.organ LEFT JOIN nc ON nc.volume_id = na.volume_id AND nc.organ = na.organ JOIN u ON u.volume_id = na.volume_id AND u.organ = na.organ""")
+def organ_report(spark: SparkSession, d: str) -> DataFrame:
+    moving = organs(spark, d, "label2").where(F.col("volume_id") % 5 != 4)
+    return regions.organ_report(some_organs(spark, d), moving, ["volume_id"], GRID)
+
+
+@query("qc_label_agreement", """WITH f AS (SELECT CAST(s_suppkey AS BIGINT) AS volume_id, CAST(l AS INT) AS label, ['liver', 'spleen', 'pancreas'][l] AS organ FROM supplier, range(1, 4) t(l)),
+m AS (SELECT CAST(s_suppkey AS BIGINT) AS volume_id, CAST(l AS INT) AS label, ['liver', 'spleen', 'pancreas'][1 + (l - 1 + CASE WHEN l > 1 AND s_suppkey % 2 = 0 THEN 1 ELSE 0 END) % 3] AS organ FROM supplier, range(1, 4) t(l))
+SELECT f.volume_id, f.label, f.organ, m.organ = f.organ AS agrees FROM f JOIN m ON m.volume_id = f.volume_id AND m.label = f.label""")
+def qc_label_agreement(spark: SparkSession, d: str) -> DataFrame:
+    known = F.array(*map(F.lit, ("liver", "spleen", "pancreas")))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("volume_id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("label"))
+    moved = F.when((F.col("label") > 1) & (F.col("volume_id") % 2 == 0), 1).otherwise(0)
+    side = lambda at: rows.withColumn("organ", F.element_at(known, (1 + (F.col("label") - 1 + at) % 3).cast("int")))
+    return regions.agreed_labels(side(F.lit(0)), side(moved))
+
+
+@query("stage_checks", """WITH s AS (SELECT c_custkey AS run_id, CAST(k AS INT) AS k, CASE WHEN c_custkey % 7 = k THEN NULL WHEN c_custkey % 5 = k THEN 0 ELSE c_acctbal / 1000 END AS m FROM customer, range(2) t(k))
+SELECT run_id, 'final_metric[' || ['rigid', 'affine'][k + 1] || ']' AS name, CASE WHEN m IS NULL THEN 'WARN' WHEN abs(m) < 1e-6 THEN 'FAIL' ELSE 'PASS' END AS status, m AS measured, 1e-6 AS threshold FROM s""")
+def stage_checks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    each = [F.struct(F.lit(n).alias("stage"), F.when(k % 7 == i, None).when(k % 5 == i, 0.0).otherwise(F.col("c_acctbal") / 1000).alias("final_metric")) for i, n in enumerate(("rigid", "affine"))]
+    rows = table(spark, d, "customer").select(k.alias("run_id"), F.array(*each).alias("stages"), F.lit(1.0).alias("determinant"))
+    bare = gates.Gates(max_folding_fraction=None, max_translation_mm=None, max_scale_deviation=None)
+    return gates.checks(rows, bare)
+
+
+def _gaussian_sql(sigma: float) -> str:
+    """One weighted join along each axis."""
+    parts, before = [KEPT], "vox"
+    for axis, n, spacing in zip(INDEX, (Z, Y, X), reversed(GRID.spacing), strict=True):
+        s = sigma / spacing
+        reach = -int(-3 * s // 1)
+        parts.append(f"w{axis} AS (SELECT CAST(k AS INT) AS k, exp(-0.5e0 * pow(k / {s!r}e0, 2)) AS w FROM range(-{reach}, {reach + 1}) t(k))")
+        at = ", ".join(f"t.{c}" for c in INDEX)
+        on = " AND ".join(f"s.{c} = " + (f"greatest(0, least({n - 1}, t.{c} + k))" if c == axis else f"t.{c}") for c in INDEX)
+        parts.append(f"g{axis} AS MATERIALIZED (SELECT t.volume_id, {at}, sum(w * s.v) / sum(w) AS v FROM {before} t CROSS JOIN w{axis} JOIN {before} s ON s.volume_id = t.volume_id AND {on} GROUP BY ALL)")
+        before = f"g{axis}"
+    return f"WITH {', '.join(parts)} SELECT volume_id, z, y, x, round(v, 5) AS v FROM {before}"
+
+
+@query("gaussian_smooth", _gaussian_sql(2.0))
+def gaussian_smooth(spark: SparkSession, d: str) -> DataFrame:
+    rows = neighbourhood.gaussian(volumes(spark, d).select("volume_id", *INDEX, "v"), ["volume_id"], ["v"], 2.0, GRID)
+    return rows.withColumn("v", F.round("v", 5))
+
+
+@query("pad_edges", f"""WITH {KEPT}, t AS (SELECT volume_id, CAST(a AS INT) AS z, CAST(b AS INT) AS y, CAST(c AS INT) AS x FROM cases, range(15) q(a), range(20) r(b), range(20) s(c))
+SELECT t.volume_id, t.z, t.y, t.x, v.v FROM t JOIN vox v ON v.volume_id = t.volume_id AND v.z = least({Z - 1}, t.z) AND v.y = greatest(0, least({Y - 1}, t.y - 2)) AND v.x = greatest(0, least({X - 1}, t.x - 1))""")
+def pad_edges(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.padded(volumes(spark, d).select("volume_id", *INDEX, "v"), GRID, 5)[0]
+
+
+@query("coarse_spacing", f"WITH {VOXELS} SELECT volume_id, CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, v FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")
+def coarse_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return resample.to_spacing(volumes(spark, d).select("volume_id", *INDEX, "v"), ["volume_id"], GRID, (4.0, 4.0, 5.0))[0]
+
+
+@query("transform_field", f"""WITH {VOXELS}, pos AS (SELECT volume_id, z, y, x, x * 2e0 - 40 AS px, y * 2e0 - 60 AS py, z * 2.5e0 + 30 AS pz, 1 + (volume_id % 5) / 10e0 AS s FROM g)
+SELECT volume_id, z, y, x, round(s * px + volume_id - px, 6) AS dx, round(0.5e0 * pz - 3, 6) AS dy, round(pz * s - pz, 6) AS dz FROM pos""")
+def transform_field(spark: SparkSession, d: str) -> DataFrame:
+    s = 1 + F.col("volume_id") % 5 / 10
+    m = [s, 0, 0, F.col("volume_id"), 0, 1, 0.5, -3, 0, 0, s, 0, 0, 0, 0, 1]
+    rows = cases(spark, d).select("volume_id", F.array(*[(c if hasattr(c, "alias") else F.lit(float(c))).cast("double") for c in m]).alias("matrix"))
+    field = resample.displacement_field(rows, ["volume_id"], GRID, "matrix")
+    return field.select("volume_id", *INDEX, *[F.round(c, 6).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("principal_lengths", f"""WITH {MASK_SQL}, pos AS (SELECT volume_id, x * 2e0 - 40 AS px, y * 2e0 - 60 AS py, z * 2.5e0 + 30 AS pz FROM mask),
+c AS (SELECT volume_id, count(*) AS n, covar_samp(px, px) AS a, covar_samp(px, py) AS b, covar_samp(px, pz) AS c, covar_samp(py, py) AS d, covar_samp(py, pz) AS e, covar_samp(pz, pz) AS f FROM pos GROUP BY volume_id)
+SELECT volume_id, n, round(a + d + f, 5) AS trace, round(a * d + a * f + d * f - b * b - c * c - e * e, 4) AS minors, round(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d), 3) AS det FROM c""")
+def principal_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The principal lengths by their elementary symmetric functions, which SQL has without eigenvalues."""
+    rows = geometry.principal_axes(liver(spark, d), ["volume_id"], GRID)
+    a, b, c = (F.pow(F.get("lengths", F.lit(i)), 2) for i in range(3))
+    return rows.select("volume_id", "n", F.round(a + b + c, 5).alias("trace"), F.round(a * b + a * c + b * c, 4).alias("minors"), F.round(a * b * c, 3).alias("det"))

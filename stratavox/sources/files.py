@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import canonical
 from ..model import Grid
+from ..operators.overlap import first_come
+from ..operators.resample import resampled
 
 HEADER = "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>"
 VOLUME = "path string, z int, y int, x int, v double"
@@ -206,6 +209,48 @@ def label_names(text: str) -> dict[int, str]:
         return {int(a[0]): a[1].strip() for a in pairs if len(a) == 2 and a[0].isdigit()}
 
 
+def external_labels(spark: SparkSession, volume_id: int, labelmap: str | None = None, mask: str | None = None, directory: str | None = None, label_names_: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels, names) of one volume from a label map, else a mask, else a directory with a mask for each organ.
+
+    A label map takes its names from the argument, else from ``<file>.labels.json`` beside it, else they are label_N, as numbers
+    mean nothing by themselves. A mask is every value above 0, named target. In a directory the file names are the organs, in their
+    order, and the first file has a voxel; masks on another grid than the first file's are resampled to it by nearest neighbour.
+    """
+    if not (labelmap or mask or directory):
+        raise ValueError("a label map, a mask or a directory is needed")
+    keep = [F.lit(volume_id).cast("long").alias("volume_id"), "z", "y", "x", "label"]
+    if labelmap:
+        labels = read_nifti(spark, labelmap)[1].where("v <> 0").withColumn("label", F.col("v").cast("int")).select(*keep)
+        if label_names_ is None:
+            folder, _, name = labelmap.rpartition("/")
+            beside = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}.labels.json").load(folder or ".").select("content").first()
+            label_names_ = label_names(bytes(beside["content"]).decode("utf-8")) if beside else None
+        if label_names_ is None:
+            found = labels.select("volume_id", "label").distinct()
+            return labels, found.withColumn("organ", F.concat(F.lit("label_"), F.col("label").cast("string")))
+    elif mask:
+        labels = read_nifti(spark, mask)[1].where("v > 0").withColumn("label", F.lit(1)).select(*keep)
+        label_names_ = label_names_ or {1: "target"}
+    else:
+        headers, voxels = read_nifti(spark, directory)
+        heads = sorted(headers.collect(), key=lambda r: r["path"])  # one small row an organ
+        if not heads:
+            raise ValueError(f"no masks in {directory}")
+        grids = {r["path"]: Grid(*[tuple(r[c]) for c in ("size", "spacing", "origin", "direction")]) for r in heads}
+        first = grids[heads[0]["path"]]
+        voxels = voxels.withColumn("v", (F.col("v") > 0).cast("double"))
+        odd = [p for p, g in grids.items() if not g.same_as(first)]
+        parts = voxels.where(~F.col("path").isin(*odd)) if odd else voxels
+        for p in odd:
+            own = voxels.where(F.col("path") == p)
+            parts = parts.unionByName(resampled(own, spark.createDataFrame([(p,)], "path string"), ["path"], first, grids[p], None, "nearest", 0.0))
+        numbers = spark.createDataFrame([(r["path"], k) for k, r in enumerate(heads, 1)], "path string, label int")
+        labels = first_come(parts.where("v > 0").join(F.broadcast(numbers), "path").select(*keep))
+        named = numbers.select("label", canonical(F.element_at(F.split("path", "/"), -1)).alias("organ"))
+        return labels, named.select(F.lit(volume_id).cast("long").alias("volume_id"), "label", "organ")
+    return labels, spark.createDataFrame([(volume_id, k, v) for k, v in sorted(label_names_.items())], "volume_id long, label int, organ string")
+
+
 def parse_parameters(text: str) -> dict[str, tuple[str, ...]]:
     """A parameter file of lines ``(Key value ...)``; ``//`` starts a comment, quotes keep spaces."""
     import shlex

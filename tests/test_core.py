@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import intensity, names, statistics
 from stratavox.model import Grid
-from stratavox.operators import candidates, gates, geometry, morphology, neighbourhood, optimise, overlap, resample, surface
+from stratavox.operators import candidates, gates, geometry, morphology, neighbourhood, optimise, overlap, regions, resample, surface
 from stratavox.operators import transforms as tf
 from stratavox.plans import batch, presets, queries, report
 from stratavox.sources import files, phantom, series
@@ -389,3 +389,94 @@ def test_streamed_jobs(spark, tmp_path):
     rows = jobs.requests(spark, str(tmp_path / "in"))
     jobs.run_stream(rows, lambda df: df.withColumn("status", F.lit("done")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("job_id", "status").collect()] == [("1", "done")]
+
+
+def test_padding_and_smoothing(spark):
+    a = np.random.default_rng(21).normal(size=(5, 6, 7))
+    grid = Grid((7, 6, 5), (1.0, 2.0, 2.5), (3.0, 4.0, 5.0))
+    more, wide = geometry.padded(voxels(spark, a), grid, 4)
+    assert wide.size == (8, 8, 8) and np.allclose(array(more, (8, 8, 8)), np.pad(a, ((1, 2), (1, 1), (0, 1)), mode="edge"))
+    assert wide.origin == (3.0, 2.0, 2.5)
+    back = geometry.unpadded(more, grid, 4)
+    assert back.count() == a.size and np.allclose(array(back, a.shape), a)
+    want = a
+    for axis, spacing in enumerate((2.5, 2.0, 1.0)):
+        sigma = 1.5 / spacing
+        r = int(np.ceil(3 * sigma))
+        w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+        index = np.arange(want.shape[axis])
+        want = sum(k * want.take(np.clip(index + o, 0, len(index) - 1), axis) for k, o in zip(w / w.sum(), range(-r, r + 1), strict=True))
+    assert np.allclose(array(intensity.prepared(voxels(spark, a), ["volume_id"], percentiles=None, smooth_mm=1.5, grid=grid), a.shape), want)
+    with pytest.raises(ValueError, match="grid"):
+        intensity.prepared(voxels(spark, a), ["volume_id"], smooth_mm=1.5)
+
+
+def test_combined_mask_falls_back(spark):
+    grid = Grid((10, 10, 10), (2.0, 2.0, 2.0))
+    body = np.full((10, 10, 10), -1000.0)
+    body[2:8, 2:8, 2:8] = 40.0
+    df = voxels(spark, body, 1).unionByName(voxels(spark, body, 2)).unionByName(voxels(spark, body, 3))
+    organs = spark.createDataFrame([(1, 5, 5, 5, "liver"), (1, 3, 3, 3, "spleen"), (2, 3, 3, 3, "spleen")], "volume_id long, z int, y int, x int, organ string")
+    mask = regions.combined_mask(organs, ["volume_id"], grid, ["liver"], 2.0, df, "CT")
+    got = {k: {(r["z"], r["y"], r["x"]) for r in mask.where(F.col("volume_id") == k).collect()} for k in (1, 2, 3)}
+    ball = lambda z, y, x: {(z, y, x), (z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)}
+    assert got[1] == ball(5, 5, 5) and got[2] == ball(3, 3, 3)
+    assert got[3] >= set(map(tuple, np.argwhere(body > 0).tolist())) and len(got[3]) < 600
+    assert regions.combined_mask(organs, ["volume_id"], grid, ["liver"], 2.0).where("volume_id = 3").count() == 0
+    assert {r["volume_id"] for r in regions.working_mask(mask, ["volume_id"], 8).collect()} == {3}
+    plan = {r["volume_id"]: r for r in regions.roi_plan(df, organs, organs.where("organ = 'liver'"), ["volume_id"], grid, grid, ["liver"], 4.0).collect()}
+    assert plan[1]["applied"] and plan[1]["fixed_voxels"] == 125 and plan[1]["speedup"] == 8.0
+    assert plan[2]["reason"] == "missing segmentation" and plan[3]["fixed_voxels"] == 1000
+    assert {r["reason"] for r in regions.roi_plan(df, organs, organs, ["volume_id"], grid, grid, [], 4.0).collect()} == {"no target"}
+
+
+def test_external_labels(spark, tmp_path):
+    grid, fine = Grid((6, 5, 4), (2.0, 2.0, 2.0)), Grid((12, 10, 8), (1.0, 1.0, 1.0))
+    a, b, c = np.zeros((4, 5, 6)), np.zeros((4, 5, 6)), np.zeros((8, 10, 12))
+    a[0, 0, :3], b[0, 0, 2:5], c[2, 2, 2] = 1, 1, 1
+    (tmp_path / "organs").mkdir()
+    for name, values, g in (("Left-Kidney", a, grid), ("liver", b, grid), ("spleen", c, fine)):
+        (tmp_path / f"organs/{name}.nii.gz").write_bytes(files.encode_nifti(values.astype(np.float32), g))
+    labels, names_ = files.external_labels(spark, 7, directory=str(tmp_path / "organs"))
+    assert {(r["label"], r["organ"]) for r in names_.collect()} == {(1, "kidney_left"), (2, "liver"), (3, "spleen")}
+    assert {(r["volume_id"], r["z"], r["y"], r["x"], r["label"]) for r in labels.collect()} == {(7, 0, 0, 0, 1), (7, 0, 0, 1, 1), (7, 0, 0, 2, 1), (7, 0, 0, 3, 2), (7, 0, 0, 4, 2), (7, 1, 1, 1, 3)}
+    (tmp_path / "m.nii.gz").write_bytes(files.encode_nifti((a * 5).astype(np.float32), grid))
+    assert [tuple(r) for r in files.external_labels(spark, 7, labelmap=str(tmp_path / "m.nii.gz"))[1].collect()] == [(7, 5, "label_5")]
+    assert [tuple(r) for r in files.external_labels(spark, 7, mask=str(tmp_path / "m.nii.gz"))[1].collect()] == [(7, 1, "target")]
+    (tmp_path / "m.nii.gz.labels.json").write_text('{"5": "liver"}')
+    assert [tuple(r) for r in files.external_labels(spark, 7, labelmap=str(tmp_path / "m.nii.gz"))[1].collect()] == [(7, 5, "liver")]
+    with pytest.raises(ValueError):
+        files.external_labels(spark, 7)
+
+
+def test_settings_by_path():
+    plan = presets.overridden(presets.preset("ct_mr_abdomen"), ["stages.0.metric=ncc", "gates.min_dice.spleen=0.5", "targets=[\"spleen\"]", "fixed.window=ct_liver", "flip_check=true"])
+    assert plan.stages[0].metric == "ncc" and plan.stages[1] == presets.preset("ct_mr_abdomen").stages[1] and plan.targets == ("spleen",) and plan.flip_check
+    assert plan.gates.min_dice == {"liver": 0.85, "spleen": 0.5} and plan.fixed.window == "ct_liver"
+    for wrong in ("nothing", "stages.9.metric=ncc", "gates.none.x=1", "wrong=1", "fixed.wrong=1"):
+        with pytest.raises(ValueError):
+            presets.overridden(plan, [wrong])
+    assert presets.merged({"a": {"b": 1, "c": [1, 2]}, "d": 4}, {"a": {"b": 2, "c": [3]}, "d": None}) == {"a": {"b": 2, "c": [3]}, "d": 4}
+
+
+def test_checks_of_stages(spark):
+    cols = "run_id long, stages array<struct<stage: string, final_metric: double>>, determinant double"
+    rows = [(1, [("rigid", -0.5), ("affine", 0.0)], 1.0), (2, [("rigid", None)], 1.0), (3, [], -1.0), (4, None, 1.0)]
+    bare = gates.Gates(max_folding_fraction=None, max_translation_mm=None, max_scale_deviation=None)
+    got = {(r["run_id"], r["name"]): r["status"] for r in gates.checks(spark.createDataFrame(rows, cols), bare).collect()}
+    assert got == {(1, "final_metric[rigid]"): "PASS", (1, "final_metric[affine]"): "FAIL", (2, "final_metric[rigid]"): "WARN", (3, "determinant"): "FAIL", (4, "configuration"): "WARN"}
+
+
+def test_batch_fits_within_the_mask_of_targets(spark):
+    grid = Grid((24, 24, 20), (4.0, 4.0, 5.0), (-40.0, -60.0, 30.0))
+    df = phantom.phantom(spark.range(2).select(F.col("id").alias("case_id")), ["case_id"], grid)
+    organs = df.where("label > 0").select("case_id", "z", "y", "x", F.element_at(F.create_map(*[F.lit(v) for p in phantom.ORGANS.items() for v in p]), F.col("label")).alias("organ"))
+    plan = presets.preset("base", fixed_modality="CT", moving_modality="CT", spacing_mm=4.0, targets=("liver",), flip_check=True, stages=(presets.Stage("rigid", "ncc"), presets.Stage("affine", "ncc")))
+    for labels in (organs.where("case_id = 0"), None):  # case 1 has no organ there: its mask is empty, so its whole volume serves
+        out = batch.run_batch(df, df, grid, grid, plan, labels, labels)
+        rows = out.transforms.collect()
+        assert {r["case_id"] for r in rows} == {0, 1}
+        for r in rows:
+            assert np.abs(np.array(r["matrix"]).reshape(4, 4) - np.eye(4))[:3, :3].max() < 0.02 and [s["stage"] for s in r["stages"]] == ["rigid", "affine"]
+            assert list(r["stages"][-1]["matrix"]) == list(r["matrix"])
+        assert {r["name"] for r in out.checks.collect()} >= {"final_metric[rigid]", "final_metric[affine]"}
