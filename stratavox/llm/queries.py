@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_reputation", "substring_dedup", "token_counts", "toxicity", "mixing", "packing", "ngram_join", "quality_divergence", "warc", "topk")
+MODULES = ("url_reputation", "substring_dedup", "token_counts", "toxicity", "mixing", "packing", "ngram_join", "quality_divergence", "warc", "topk", "hardneg", "fingerprints", "periodic")
 
 
 def _gathered(name: str) -> dict:
