@@ -71,8 +71,12 @@ def packed(texts: list[bytes | None]) -> np.ndarray:
     return np.concatenate([low[:, 0::2] << BITS | low[:, 1::2], some[:, None].astype(np.uint8)], 1)
 
 
+def raw_of(rows: np.ndarray) -> list[bytes]:
+    return [bytes(r[:-1]) if r[-1] else b"" for r in rows]
+
+
 def text_of(rows: np.ndarray) -> list[str]:
-    return [bytes(r[:-1]).hex() if r[-1] else "" for r in rows]
+    return [r.hex() for r in raw_of(rows)]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,7 +103,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.pandas_udf(judged, "double")(a, b)
 
 
-FIGURES = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and fingerprints are bytes until the result, which has them as hexadecimal text.
+FIGURES = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: str, other: str) -> str:
@@ -111,7 +116,7 @@ def edited(text: str, other: str) -> str:
 def _figures(ids: list, texts: list[str], own: np.ndarray, others: list[str], theirs: np.ndarray) -> pd.DataFrame:
     raws = [edited(t, o).encode("utf-8", "surrogatepass") for t, o in zip(texts, others, strict=True)]
     made = packed(raws)
-    values = {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(r).hexdigest() for r in raws], "fingerprint": text_of(own), "edited_fingerprint": text_of(made), "near_edited": alike(own, made), "near_next": alike(own, theirs)}
+    values = {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(r).digest() for r in raws], "fingerprint": raw_of(own), "edited_fingerprint": raw_of(made), "near_edited": alike(own, made), "near_next": alike(own, theirs)}
     return pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | values)
 
 
@@ -143,7 +148,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _aligned(frames: Iterator[pd.DataFrame], schema: str) -> Iterator[pd.DataFrame]:
     columns = [c.split() for c in schema.split(", ")]
     for frame in frames:
-        yield pd.DataFrame({name: frame[name].astype(object if kind == "string" else frame[name].dtype) if name in frame else pd.Series([None] * len(frame), dtype=object) for name, kind in columns})
+        yield pd.DataFrame({name: frame[name].astype(object if kind in ("string", "binary") else frame[name].dtype) if name in frame else pd.Series([None] * len(frame), dtype=object) for name, kind in columns})
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +174,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     after = firsts.select("part", following.alias("next"))
     lasts = out.where(F.col("end") == "last").select("part", "doc_id", "text").join(after, "part")
     met = lasts.join(firsts.select(F.col("part").alias("next"), F.col("text").alias("other")), "next")
-    return done.unionByName(met.select("doc_id", "text", "other").mapInPandas(_pairs, FIGURES))
+    rows = done.unionByName(met.select("doc_id", "text", "other").mapInPandas(_pairs, FIGURES))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
