@@ -50,26 +50,32 @@ def held_out(doc_id: Column) -> Column:
 def passages(scores: list[tuple[int, int, float]]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, start, end) of runs (start, end, score) in order, in linear time.
 
-    Kept segments hold the sums before and after them; a new positive run is merged with the kept ones as long as the nearest
-    kept segment that starts lower also ends lower.
+    Kept segments hold the sums before and after them and the place of the nearest one before that starts lower, so a search goes
+    from link to link and never passes a segment twice. A new positive run is merged with the kept ones as long as the nearest one
+    that starts lower also ends lower. Where none starts lower, no later run can reach the kept ones, and they are done.
     """
-    kept: list[list[float]] = []
+    done: list[tuple[float, float, int, int, int]] = []
+    kept: list[tuple[float, float, int, int, int]] = []
     total = 0.0
     for start, end, score in scores:
         before, total = total, total + score
         if score <= 0:
             continue
-        now = [before, total, start, end]
+        low, first, j = before, start, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= now[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= now[1]:
-                kept.append(now)
+            while j >= 0 and kept[j][0] >= low:
+                j = kept[j][4]
+            if j < 0:
+                done += kept
+                kept = [(low, total, first, end, -1)]
                 break
-            now = [kept[j][0], now[1], kept[j][2], now[3]]
+            if kept[j][1] >= total:
+                kept.append((low, total, first, end, j))
+                break
+            low, first, link = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-    return [(b - a, int(s), int(e)) for a, b, s, e in kept]
+            j = link
+    return [(b - a, int(s), int(e)) for a, b, s, e, _ in done + kept]
 
 
 class Scores:
