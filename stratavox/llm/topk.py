@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import load, written
 
 SCALE, K, EVERY = 256, 5, 50
-#: Vectors in a block of candidates, between these bounds for small and large tables; queries in a group; seeds.
-LEAST, MOST, QUERIES_IN_GROUP, SEEDS = 512, 65_536, 4096, 1024
+#: Vectors in a block of candidates, between these bounds for small and large tables; queries in a group; seeds; queries whose
+#: products with a block are held at a time.
+LEAST, MOST, QUERIES_IN_GROUP, SEEDS, TOGETHER = 512, 65_536, 4096, 1024, 256
 #: Ratio of lengths within a bucket; cosine from which coordinates prune.
 RATIO, COSINE = 1.1, 0.3
 #: Pairs of a group of queries and a bucket, of four numbers each, up to which they are broadcast.
@@ -86,9 +87,9 @@ def search(q: np.ndarray, q_own: np.ndarray, floors: np.ndarray, v: np.ndarray,
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(q_lengths[live] > 0, floors[live] / (q_lengths[live] * longest), -np.inf)
         plain = live[~(cosine >= COSINE)]
-        products = (q[plain] @ part.T) if len(plain) else None
-        for j, i in enumerate(plain):
-            _keep(best, floors, i, np.flatnonzero(v_own[rows] != q_own[i]), products[j], v_ids[rows], k)
+        for at in range(0, len(plain), TOGETHER):
+            for i, products in zip(plain[at : at + TOGETHER], q[plain[at : at + TOGETHER]] @ part.T, strict=True):
+                _keep(best, floors, i, np.flatnonzero(v_own[rows] != q_own[i]), products, v_ids[rows], k)
         for i, c in zip(live[cosine >= COSINE], cosine[cosine >= COSINE], strict=True):
             if c > 1 + 1e-9:
                 continue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratavox.llm import mixing, ngram_join, packing, quality_divergence, substring_dedup, token_counts, topk, toxicity, url_reputation, warc
+from stratavox.llm import mixing, ngram_join, packing, quality_divergence, substring_dedup, token_counts, topk, toxicity, url_reputation, warc, wordtable
 from stratavox.llm.common import words_of
 from stratavox.llm.components import components
 
@@ -698,3 +699,51 @@ def test_top_k_of_no_rows(spark):
 def test_places_are_in_the_order_of_scores():
     scores = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**2000, -(2**2000), 10**18]
     assert sorted(scores, key=topk.place_of) == sorted(scores)
+
+
+def test_substring_dedup_of_repeated_ids_keeps_unique_text(spark):
+    """Spans of one text of an id are not cut out of another text of it, and a copy does not hide another text of its id."""
+    p, c, unique, other = prose(1, 80), prose(2, 100), prose(3, 120), prose(4, 160)
+    rows = [(1, f"{prose(5, 40)} {p}"), (5, p), (5, unique), (2, c), (6, c), (6, other), (6, other)]
+    df = docs(spark, rows)
+    cut = Counter((r["doc_id"], r["text"]) for r in substring_dedup.cut_repeats(df).collect())
+    assert cut == Counter([rows[0], (5, ""), (5, unique), (2, c), (6, ""), (6, other), (6, other)])
+    got = Counter((r["doc_id"], r["class_id"], r["repeated_words"]) for r in substring_dedup.report(df).collect())
+    assert got == Counter([(1, 1, 80), (5, 1, 80), (5, 5, 0), (2, 2, 100), (6, 2, 100), (6, 6, 0), (6, 6, 0)])
+    assert substring_dedup.cut_repeats(df).columns == df.columns
+    # A passage that two texts of one id share is one that two documents have.
+    both = docs(spark, [(7, f"{prose(6, 60)} {p}"), (7, f"{p} {prose(7, 60)}")])
+    left = [len(r["text"].split()) for r in substring_dedup.cut_repeats(both).collect()]
+    assert sorted(left) == [60, 140] and {(r["class_id"], r["repeated_words"]) for r in substring_dedup.report(both).collect()} == {(7, 80)}
+
+
+def test_substring_dedup_of_rows_without_id(spark):
+    """They come last and name no class, but take part."""
+    p = prose(1, 80)
+    texts = [(2, f"{prose(2, 30)} {p}"), (6, f"{prose(3, 40)} {p}"), (7, f"{p} {prose(4, 50)}"), (None, f"{prose(5, 60)} {p}"), (None, prose(6, 90))]
+    df = docs(spark, texts)
+    got = Counter((r["doc_id"], r["class_id"], r["repeated_words"]) for r in substring_dedup.report(df).collect())
+    assert got == Counter([(2, 2, 80), (6, 2, 80), (7, 2, 80), (None, 2, 80), (None, None, 0)])
+    cut = {(r["doc_id"], len(r["text"].split())) for r in substring_dedup.cut_repeats(df).collect()}
+    assert cut == {(2, 110), (6, 40), (7, 50), (None, 60), (None, 90)}
+    none = docs(spark, [(None, f"{prose(2, 30)} {p}"), (None, f"{p} {prose(3, 30)}")])
+    assert {(r["class_id"], r["repeated_words"]) for r in substring_dedup.report(none).collect()} == {(None, 80)}
+    assert sorted(len(r["text"].split()) for r in substring_dedup.cut_repeats(none).collect()) == [30, 110]
+
+
+def test_word_table_grows():
+    table = wordtable.WordTable()
+    h = np.unique(np.random.default_rng(0).integers(1, 2**63, 5_000_000).astype(np.uint64))
+    half = len(h) // 2
+    assert (table.add(h[:half]) == np.arange(half)).all() and (table.find(h[half : half + 1000]) == -1).all()
+    table.add(h[half:])
+    assert table.size == len(h) > 4_500_000 and (table.find(h[::97]) == np.arange(len(h))[::97]).all() and 2 * table.size <= len(table.keys)
+
+
+def test_scan_of_many_scattered_runs_is_linear():
+    began = time.perf_counter()
+    runs = [(k, k + 1, 1.0 if k % 2 == 0 else -1.5) for k in range(400_000)]
+    assert len(toxicity.passages(runs)) == 200_000
+    rising = [(k, k + 1, 2.0 if k % 2 == 0 else -1.0) for k in range(400_000)]
+    assert toxicity.passages(rising) == [(200_001.0, 0, 399_999)]
+    assert time.perf_counter() - began < 5
