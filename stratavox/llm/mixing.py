@@ -1,11 +1,11 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a 36-bit key, a hash of its id. A source takes the documents whose key is below the source's threshold, so
+Each document has a 36-bit key, a hash of its id and text. A source takes the documents whose key is below the source's threshold, so
 the mix needs no sort and a larger budget always contains a smaller one. The threshold comes from histograms of size by source
 and key digit: the first gives the bucket in which the budget ends, and only that bucket is refined by the next digits.
 
-Defined results: null text has size 0; null source is a source of its own, last in order; rows with equal doc_id share a key
-and are taken together (a null doc_id counts as an empty id); an empty table gives an empty result; a source of size 0 has
+Defined results: null text has size 0; null source is a source of its own, last in order; rows with equal doc_id and
+text share a key and are taken together, and only these (a null doc_id counts as an empty id, null text as an empty one); an empty table gives an empty result; a source of size 0 has
 target 0. Extra columns are ignored. Sources are a dimension: one row for each is aggregated before any ordering of sources.
 """
 
@@ -24,14 +24,15 @@ BROADCAST_ROWS = 10_000
 DIGITS, STEP = 9, 3
 
 
-def key_column(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/mix")).cast("binary")), 1, DIGITS), 16, 10).cast("long")
+def key_column(doc_id: Column, text: Column) -> Column:
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/mix/"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, DIGITS), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and the key of each document."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), key_column(F.col("doc_id")).alias("key"))
+    return docs.select("doc_id", "source", size.alias("size"), key_column(F.col("doc_id"), F.col("text")).alias("key"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -102,7 +103,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     rows = written(sized(docs), "sized")
     plan, few = _plan(rows, weights, limit)
     plan = plan.select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("below").alias("_mix_below"))
-    times = F.col("_mix_passes") + F.when(key_column(docs["doc_id"]) < F.col("_mix_below"), 1).otherwise(0)
+    times = F.col("_mix_passes") + F.when(key_column(docs["doc_id"], docs["text"]) < F.col("_mix_below"), 1).otherwise(0)
     out = docs.join(F.broadcast(plan) if few else plan, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times.cast("int"))
     out = out.where("_mix_times > 0").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return out.select(*[out[c] for c in docs.columns])
@@ -116,7 +117,7 @@ SQL = {
     "op5_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/mix'), 1, 9) AS BIGINT) AS key
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/mix/' || md5(coalesce(text, ''))), 1, 9) AS BIGINT) AS key
   FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (

@@ -494,6 +494,18 @@ def test_mix_meets_targets(spark):
     assert times == Counter({r["doc_id"]: r["times"] for r in got if r["times"]})
 
 
+def test_mix_tells_rows_without_id_and_of_one_id_apart(spark):
+    """Of 100 rows of 10 words each source's share comes within a document of its target."""
+    rows = [(None if i < 100 else 7, f"w{i} " * 10) for i in range(200)]
+    df = docs(spark, rows, ["a"] * 100 + ["b"] * 100)
+    got = mixing.mix(df).collect()
+    sums = Counter()
+    for r in got:
+        sums[r["target"]] += r["taken"]
+    assert len(sums) == 2 and all(abs(t - s) <= 10 for t, s in sums.items())
+    assert sum(r["times"] for r in got) == mixing.mixed_documents(df).count()
+
+
 def test_packing_is_gapless_and_exact(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
