@@ -7,10 +7,11 @@ order x, y, z. Only this module converts between the two. Undefined figures are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOXELS = "volume_id long, z int, y int, x int, v double"
@@ -88,6 +89,106 @@ class Grid:
         origin = tuple(map(float, (self.matrix @ [*low, 1.0])[:3]))
         return Grid(size, self.spacing, origin, self.direction)
 
+    def column(self) -> Column:
+        """The grid as a literal struct of type GRID."""
+        array = lambda v, kind: F.array(*[F.lit(kind(x)) for x in v])
+        return F.struct(array(self.size, int).alias("size"), array(self.spacing, float).alias("spacing"), array(self.origin, float).alias("origin"), array(self.direction, float).alias("direction"))
+
+
+GRID = "struct<size: array<int>, spacing: array<double>, origin: array<double>, direction: array<double>>"
+
+
+def grid_from(row: object) -> Grid:
+    """The Grid of a struct of type GRID, as a Row or a dictionary."""
+    return Grid(*[tuple(row[c]) for c in ("size", "spacing", "origin", "direction")])
+
+
+@dataclass(frozen=True)
+class Grids:
+    """The grids of many cases: a table with one row a case, the key columns ``by`` and a struct ``grid`` of type GRID. Directions
+    are orthonormal. Every operator that takes a Grid for all its cases takes this instead where each case has its own."""
+
+    table: DataFrame
+    by: tuple[str, ...]
+
+    def resampled(self, spacing: tuple[float, float, float]) -> Grids:
+        """The grids over the same extents with another spacing; a case that has it keeps its grid."""
+        c = GridColumn(F.col("grid"))
+        close = F.lit(True)
+        for k, s in enumerate(spacing):
+            close = close & (F.abs(c.spacing(k) - s) <= 1e-4 + 1e-5 * abs(s))
+        size = F.array(*[F.greatest(F.lit(1), F.rint(c.size(k) * c.spacing(k) / s)).cast("int") for k, s in enumerate(spacing)])
+        made = F.struct(size.alias("size"), F.array(*[F.lit(float(s)) for s in spacing]).alias("spacing"), F.col("grid.origin").alias("origin"), F.col("grid.direction").alias("direction"))
+        return Grids(self.table.withColumn("grid", F.when(close, F.col("grid")).otherwise(made)), self.by)
+
+    def cropped(self, boxes: DataFrame) -> Grids:
+        """The grids of the boxes (by, low and high index of each axis); a case without a box keeps its whole grid."""
+        c = GridColumn(F.col("grid"))
+        low = [F.col(f"{a}_low") for a in "xyz"]
+        size = F.array(*[(F.col(f"{a}_high") - F.col(f"{a}_low") + 1).cast("int") for a in "xyz"])
+        made = F.struct(size.alias("size"), F.col("grid.spacing").alias("spacing"), F.array(*c.position(*low)).alias("origin"), F.col("grid.direction").alias("direction"))
+        ends = [f"{a}_{e}" for a in "xyz" for e in ("low", "high")]
+        rows = self.table.join(boxes.select(*self.by, *ends), list(self.by), "left")
+        return Grids(rows.withColumn("grid", F.when(low[0].isNull(), F.col("grid")).otherwise(made)).drop(*ends), self.by)
+
+
+class GridColumn:
+    """A grid in a struct column, with the methods of Grid that are columns. Axes are 0, 1, 2 for x, y, z."""
+
+    def __init__(self, column: Column) -> None:
+        self.column = column
+
+    def _at(self, name: str, k: int) -> Column:
+        return F.get(self.column[name], F.lit(k))
+
+    def size(self, axis: int) -> Column:
+        return self._at("size", axis)
+
+    def spacing(self, axis: int) -> Column:
+        return self._at("spacing", axis)
+
+    @property
+    def centre(self) -> list[Column]:
+        return self.position(*[(self.size(k) - 1) / 2 for k in range(3)])
+
+    @property
+    def voxel_ml(self) -> Column:
+        return self.spacing(0) * self.spacing(1) * self.spacing(2) / 1000.0
+
+    @property
+    def n_voxels(self) -> Column:
+        return self.size(0).cast("long") * self.size(1) * self.size(2)
+
+    def position(self, x: Column, y: Column, z: Column) -> list[Column]:
+        along = [self.spacing(k) * c for k, c in enumerate((x, y, z))]
+        return [self._at("origin", r) + sum((self._at("direction", 3 * r + k) * along[k] for k in (1, 2)), self._at("direction", 3 * r) * along[0]) for r in range(3)]
+
+    def index(self, px: Column, py: Column, pz: Column) -> list[Column]:
+        """Continuous index of a physical position; the inverse of an orthonormal direction is its transpose."""
+        gap = [p - self._at("origin", r) for r, p in enumerate((px, py, pz))]
+        return [sum((self._at("direction", 3 * r + k) * gap[r] for r in (1, 2)), self._at("direction", k) * gap[0]) / self.spacing(k) for k in range(3)]
+
+    def contains(self, x: Column, y: Column, z: Column) -> Column:
+        inside = F.lit(True)
+        for k, c in enumerate((x, y, z)):
+            inside = inside & (c >= -1e-9) & (c <= self.size(k) - 1 + 1e-9)
+        return inside
+
+
+def with_grid(rows: DataFrame, grid: Grid | Grids, name: str = "_grid") -> tuple[DataFrame, GridColumn]:
+    """rows with the grid of their case in a struct column, and that column's methods. The table of grids has one row a case, so
+    Spark broadcasts it while it is small. A row whose case has no grid is left out."""
+    if isinstance(grid, Grid):
+        return rows.withColumn(name, grid.column()), GridColumn(F.col(name))
+    table = grid.table.select(*grid.by, F.col("grid").alias(name))
+    return rows.join(table, list(grid.by)), GridColumn(F.col(name))
+
+
+def keys_of(grid: Grid | Grids, by: Sequence[str]) -> None:
+    """An error if the grids of cases are not told apart by some of these keys."""
+    if isinstance(grid, Grids) and not set(grid.by) <= set(by):
+        raise ValueError(f"grids by {grid.by} do not fit rows by {tuple(by)}")
+
 
 def affine(m: np.ndarray, x: Column, y: Column, z: Column) -> list[Column]:
     """A 4 by 4 matrix over three columns; exact zeros and ones leave no trace in the plan."""

@@ -8,53 +8,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import histogram
-from ..model import INDEX, Grid
+from ..model import INDEX, Grid, Grids, keys_of, with_grid
 from .components import components
+from .planes import ball_weights, squared_distances
 
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
 
+#: What a sum of squared fractions of a radius may be above 1 by rounding.
+EDGE = 1e-12
+
+
 def ball(radius_mm: float, grid: Grid) -> list[tuple[int, int, int]]:
     """Offsets (z, y, x) of an ellipsoid of this radius, at least one voxel along each axis; only the voxel itself for 0 or less."""
     if radius_mm <= 0:
         return [(0, 0, 0)]
     rx, ry, rz = (max(1, round(radius_mm / s)) for s in grid.spacing)
-    return [(z, y, x) for z in range(-rz, rz + 1) for y in range(-ry, ry + 1) for x in range(-rx, rx + 1) if (x / rx) ** 2 + (y / ry) ** 2 + (z / rz) ** 2 <= 1 + 1e-12]
+    return [(z, y, x) for z in range(-rz, rz + 1) for y in range(-ry, ry + 1) for x in range(-rx, rx + 1) if (x / rx) ** 2 + (y / ry) ** 2 + (z / rz) ** 2 <= 1 + EDGE]
 
 
-def shifted(mask: DataFrame, by: Sequence[str], offsets: Sequence[tuple[int, int, int]], grid: Grid) -> DataFrame:
-    """The mask moved by each offset, within the grid, one row for every mask voxel and offset. The offsets are a literal of a size
-    that the structuring element bounds."""
+def shifted(mask: DataFrame, by: Sequence[str], offsets: Sequence[tuple[int, int, int]], grid: Grid | Grids) -> DataFrame:
+    """The mask moved by each of a few offsets, within the grid, one row for every mask voxel and offset."""
+    keys_of(grid, by)
     moves = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, INDEX, strict=True)]) for o in offsets])
-    rows = mask.select(*by, *INDEX, F.explode(moves).alias("_o"))
-    rows = rows.select(*by, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in INDEX])
-    inside = [F.col(c).between(0, grid.size[2 - k] - 1) for k, c in enumerate(INDEX)]
-    return rows.where(inside[0] & inside[1] & inside[2])
-
+    rows, g = with_grid(mask.select(*by, *INDEX), grid)
+    rows = rows.select(*by, *INDEX, "_grid", F.explode(moves).alias("_o"))
+    rows = rows.select(*by, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in INDEX], "_grid")
+    inside = [F.col(c).between(0, g.size(2 - k) - 1) for k, c in enumerate(INDEX)]
+    return rows.where(inside[0] & inside[1] & inside[2]).drop("_grid")
 
-def dilated(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid) -> DataFrame:
-    return shifted(mask, by, ball(radius_mm, grid), grid).distinct()
 
+def dilated(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid | Grids) -> DataFrame:
+    """Voxels with a mask voxel in the ellipsoid of this radius around them, by a distance transform: what is shuffled does not
+    depend on the radius."""
+    if radius_mm <= 0:
+        return mask.select(*by, *INDEX).distinct()
+    return squared_distances(mask, by, grid, ball_weights(radius_mm), most=1 + EDGE).drop("d2")
 
-def eroded(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid) -> DataFrame:
-    """Voxels all of whose neighbours in the ball are in the mask; beyond the grid counts as mask.
 
-    A voxel remains if as many mask voxels reach it as the ball has offsets there; that is one count, without the complement.
-    """
-    offsets = ball(radius_mm, grid)
-    reached = shifted(mask, by, offsets, grid).groupBy(*by, *INDEX).agg(F.count("*").alias("n"))
-    within = F.lit(0)
-    for o in offsets:
-        inside = [(F.col(c) - o[k]).between(0, grid.size[2 - k] - 1) for k, c in enumerate(INDEX)]
-        within = within + F.when(inside[0] & inside[1] & inside[2], 1).otherwise(0)
-    return reached.where(F.col("n") == within).select(*by, *INDEX)
+def eroded(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid | Grids) -> DataFrame:
+    """Mask voxels without a voxel of the grid in the ellipsoid around them that is not in the mask; beyond the grid counts as mask."""
+    if radius_mm <= 0:
+        return mask.select(*by, *INDEX).distinct()
+    return squared_distances(mask, by, grid, ball_weights(radius_mm), least=1 + EDGE, outside=True).drop("d2")
 
 
-def closed(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid) -> DataFrame:
+def closed(mask: DataFrame, by: Sequence[str], radius_mm: float, grid: Grid | Grids) -> DataFrame:
     return eroded(dilated(mask, by, radius_mm, grid), by, radius_mm, grid)
 
 
-def contour(mask: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def contour(mask: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """Mask voxels with a face neighbour outside of the mask or of the grid."""
     near = shifted(mask, by, FACES, grid).groupBy(*by, *INDEX).agg(F.count("*").alias("_n"))
     return mask.select(*by, *INDEX).distinct().join(near, [*by, *INDEX], "left").where(F.coalesce(F.col("_n"), F.lit(0)) < 6).select(*by, *INDEX)
@@ -90,20 +93,27 @@ def largest_component(mask: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(best, [*by, "component"]).select(*by, *INDEX)
 
 
-def grid_voxels(cases: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def grid_voxels(cases: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """All voxels of the grid for every case."""
     rows = cases.select(*by).distinct()
+    if isinstance(grid, Grid):
+        for k, c in enumerate(INDEX):
+            rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(grid.size[2 - k] - 1))))
+        return rows
+    keys_of(grid, by)
+    rows, g = with_grid(rows, grid)
     for k, c in enumerate(INDEX):
-        rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(grid.size[2 - k] - 1))))
-    return rows
+        rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0), g.size(2 - k) - 1)))
+    return rows.drop("_grid")
 
 
-def filled(mask: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def filled(mask: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """The mask with its holes: background components that do not touch the border of the grid."""
     outside = labelled(grid_voxels(mask, by, grid).join(mask, [*by, *INDEX], "left_anti"), by)
+    outside, g = with_grid(outside, grid)
     border = F.lit(False)
     for k, c in enumerate(INDEX):
-        border = border | (F.col(c) == 0) | (F.col(c) == grid.size[2 - k] - 1)
+        border = border | (F.col(c) == 0) | (F.col(c) == g.size(2 - k) - 1)
     holes = outside.groupBy(*by, "component").agg(F.bool_or(border).alias("open")).where(~F.col("open"))
     return mask.select(*by, *INDEX).unionByName(outside.join(holes, [*by, "component"], "left_semi").select(*by, *INDEX))
 
@@ -121,7 +131,7 @@ def otsu(df: DataFrame, by: Sequence[str], value: str = "v", bins: int = 128) ->
     return rows.groupBy(*by).agg(F.min(best).alias("_b")).select(*by, F.col("_b.centre").alias("threshold"))
 
 
-def body_mask(voxels: DataFrame, by: Sequence[str], grid: Grid, modality: str, close_mm: float = 5.0) -> DataFrame:
+def body_mask(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, modality: str, close_mm: float = 5.0) -> DataFrame:
     """The body: tissue by a fixed range for CT that has air in it and by Otsu's threshold otherwise, closed, the largest
     component, filled."""
     split = otsu(voxels, by).join(voxels.groupBy(*by).agg(F.min("v").alias("_min")), list(by))

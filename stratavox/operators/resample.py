@@ -1,4 +1,4 @@
-"""Resampling as a gather join: target voxels look up the source voxels that their transformed positions fall between."""
+"""Resampling: volumes, labels and fields at the transformed positions of another grid's voxels, or at given points."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..model import INDEX, Grid, affine
+from ..model import INDEX, Grid, Grids, affine, with_grid
+from . import bricks
 from .morphology import grid_voxels
 
 
@@ -18,76 +20,48 @@ def applied(matrix: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [at(r, 0) * x + at(r, 1) * y + at(r, 2) * z + at(r, 3) for r in range(3)]
 
 
-def source_index(cases: DataFrame, by: Sequence[str], target: Grid, source: Grid, matrix: str | None = None) -> DataFrame:
-    """by, z, y, x of the target with the continuous source index sx, sy, sz.
-
-    cases has one row a case, with a matrix (fixed to moving, 16 doubles, row-major) where transforms differ by case.
-    """
-    rows = grid_voxels(cases, by, target)
-    if matrix:
-        rows = rows.join(cases.select(*by, matrix), list(by))
-    p = target.position(*[F.col(c) for c in reversed(INDEX)])
-    if matrix:
-        rows = rows.withColumns(dict(zip(("px", "py", "pz"), p, strict=True)))
-        p = applied(F.col(matrix), F.col("px"), F.col("py"), F.col("pz"))
-    rows = rows.withColumns(dict(zip(("qx", "qy", "qz"), p, strict=True)))
-    # Rounded, so that a whole-voxel move is one in spite of floating point.
-    i = [F.round(c, 9) for c in source.index(F.col("qx"), F.col("qy"), F.col("qz"))]
-    return rows.select(*by, *INDEX, *[c.alias(n) for c, n in zip(i, ("sx", "sy", "sz"), strict=True)])
-
-
-def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid, source: Grid, matrix: str | None = None, interpolation: str = "linear", default: float | None = 0.0, value: str = "v", on: Sequence[str] | None = None) -> DataFrame:
+def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids, matrix: str | None = None, interpolation: str = "linear", default: float | None = 0.0, value: str = "v", on: Sequence[str] | None = None) -> DataFrame:
     """by, z, y, x, value on the target grid for every case. Positions outside of the source take the default, or the least value of
     the source volume where the default is None, which is background whatever the modality.
 
-    ``on`` are the key columns that voxels and cases share, if one volume serves several cases. Nearest takes one source voxel,
-    linear up to eight with a weight above 0; both are one equi-join on the source index.
+    cases has one row a case, with a matrix (fixed to moving, 16 doubles, row-major) where transforms differ by case. ``on`` are the
+    key columns that voxels and cases share, if one volume serves several cases. The work is done in bricks.
     """
     on = list(on or by)
-    at = source_index(cases, by, target, source, matrix)
-    inside = source.contains(F.col("sx"), F.col("sy"), F.col("sz"))
-    names = ("sz", "sy", "sx")
-    there = voxels.select(*on, *[F.col(c).cast("int").alias(f"k{c}") for c in INDEX], F.col(value).alias("_v"))
-    if interpolation == "nearest":
-        near = at.where(inside).withColumns({f"k{c}": F.floor(F.col(n) + 0.5).cast("int") for c, n in zip(INDEX, names, strict=True)})
-        found = near.join(there, [*on, *[f"k{c}" for c in INDEX]]).select(*by, *INDEX, F.col("_v").alias(value))
-    elif interpolation == "linear":
-        corners = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, INDEX, strict=True)]) for o in np.ndindex(2, 2, 2)])
-        rows = at.where(inside).select("*", F.explode(corners).alias("o"))
-        weight: Column = F.lit(1.0)
-        for c, n in zip(INDEX, names, strict=True):
-            part = F.col(n) - F.floor(n)
-            weight = weight * F.when(F.col(f"o.{c}") == 1, part).otherwise(1 - part)
-        rows = rows.withColumns({"_w": weight} | {f"k{c}": (F.floor(n) + F.col(f"o.{c}")).cast("int") for c, n in zip(INDEX, names, strict=True)}).where(F.col("_w") > 0)
-        found = rows.join(there, [*on, *[f"k{c}" for c in INDEX]]).groupBy(*by, *INDEX).agg(F.sum(F.col("_w") * F.col("_v")).alias(value))
-    else:
-        raise ValueError(f"unknown interpolation {interpolation!r}")
-    out = grid_voxels(cases, by, target).join(found, [*by, *INDEX], "left")
+    out = bricks.resampled(voxels, cases, by, target, source, matrix, interpolation, value, on)
+    kind = voxels.schema[value].dataType
     if default is not None:
-        return out.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+        return out.withColumn(value, F.coalesce(F.col(value), F.lit(default)).cast(kind) if isinstance(kind, IntegralType) else F.coalesce(F.col(value), F.lit(default)))
     least = voxels.groupBy(*on).agg(F.min(value).alias("_least"))  # one row a volume
-    return out.join(least, on, "left").withColumn(value, F.coalesce(value, "_least")).drop("_least")
+    return out.join(least, on, "left").withColumn(value, F.coalesce(value, "_least").cast(kind)).drop("_least")
 
 
-def to_spacing(voxels: DataFrame, by: Sequence[str], grid: Grid, spacing: tuple[float, float, float], interpolation: str = "linear", default: float | None = None) -> tuple[DataFrame, Grid]:
+def to_spacing(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, spacing: tuple[float, float, float], interpolation: str = "linear", default: float | None = None) -> tuple[DataFrame, Grid | Grids]:
     """Volume and grid at another spacing over the same extent; unchanged if it has that spacing. What the last voxels of the new grid
     reach beyond the old one takes the default, the volume's least value if None."""
     target = grid.resampled(spacing)
     if target is grid:
         return voxels, grid
-    return resampled(voxels, voxels, by, target, grid, None, interpolation, default), target
+    return resampled(voxels, voxels.select(*by).distinct(), by, target, grid, None, interpolation, default), target
 
 
-def warped_labels(labels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid, source: Grid, matrix: str) -> DataFrame:
+def warped_labels(labels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids, matrix: str) -> DataFrame:
     """Labels moved to the target grid by nearest neighbour; only non-zero ones are rows."""
     return resampled(labels, cases, by, target, source, matrix, "nearest", 0, "label").where(F.col("label") != 0)
 
 
-def displacement_field(cases: DataFrame, by: Sequence[str], grid: Grid, matrix: str) -> DataFrame:
+def voxel_positions(rows: DataFrame, grid: Grid | Grids, into: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
+    """rows (z, y, x) with the positions of their voxels in mm."""
+    index = [F.col(c) for c in reversed(INDEX)]
+    if isinstance(grid, Grid):
+        return rows.withColumns(dict(zip(into, grid.position(*index), strict=True)))
+    rows, g = with_grid(rows, grid)
+    return rows.withColumns(dict(zip(into, g.position(*index), strict=True))).drop("_grid")
+
+
+def displacement_field(cases: DataFrame, by: Sequence[str], grid: Grid | Grids, matrix: str) -> DataFrame:
     """by, z, y, x, dx, dy, dz in mm: where a transform moves every voxel, less where it is."""
-    rows = grid_voxels(cases, by, grid).join(cases.select(*by, matrix), list(by))
-    p = grid.position(*[F.col(c) for c in reversed(INDEX)])
-    rows = rows.withColumns(dict(zip(("px", "py", "pz"), p, strict=True)))
+    rows = voxel_positions(grid_voxels(cases, by, grid), grid).join(cases.select(*by, matrix), list(by))
     q = applied(F.col(matrix), F.col("px"), F.col("py"), F.col("pz"))
     return rows.select(*by, *INDEX, *[(b - F.col(a)).alias(n) for a, b, n in zip(("px", "py", "pz"), q, ("dx", "dy", "dz"), strict=True)])
 
@@ -100,18 +74,9 @@ def world_field(field: DataFrame, grid: Grid) -> DataFrame:
     return field.withColumns(dict(zip(("dx", "dy", "dz"), affine(m, *scaled), strict=True)))
 
 
-def field_at(points: DataFrame, field: DataFrame, by: Sequence[str], grid: Grid, columns: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
+def field_at(points: DataFrame, field: DataFrame, by: Sequence[str], grid: Grid | Grids, columns: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
     """points moved by a field, interpolated linearly: mx, my, mz; NULL outside of the grid. points: by, idx and a position."""
-    i = [F.round(c, 9) for c in grid.index(*[F.col(c) for c in columns])]
-    rows = points.withColumns(dict(zip(("sx", "sy", "sz"), i, strict=True)))
-    inside = grid.contains(F.col("sx"), F.col("sy"), F.col("sz"))
-    corners = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, INDEX, strict=True)]) for o in np.ndindex(2, 2, 2)])
-    around = rows.where(inside).select(*by, "idx", "sx", "sy", "sz", F.explode(corners).alias("o"))
-    weight: Column = F.lit(1.0)
-    for c in INDEX:
-        part = F.col(f"s{c}") - F.floor(f"s{c}")
-        weight = weight * F.when(F.col(f"o.{c}") == 1, part).otherwise(1 - part)
-    around = around.withColumns({"_w": weight} | {c: (F.floor(f"s{c}") + F.col(f"o.{c}")).cast("int") for c in INDEX}).where(F.col("_w") > 0)
-    moved = around.join(field, [*by, *INDEX]).groupBy(*by, "idx").agg(*[F.sum(F.col("_w") * F.col(d)).alias(d) for d in ("dx", "dy", "dz")])
+    u = ("dx", "dy", "dz")
+    moved = bricks.sampled(points, field, by, grid, u, columns)
     out = points.join(moved, [*by, "idx"], "left")
-    return out.select(*points.columns, *[(F.col(c) + F.col(d)).alias(m) for c, d, m in zip(columns, ("dx", "dy", "dz"), ("mx", "my", "mz"), strict=True)])
+    return out.select(*points.columns, *[(F.col(c) + F.col(d)).alias(m) for c, d, m in zip(columns, u, ("mx", "my", "mz"), strict=True)])

@@ -1,4 +1,5 @@
-"""Distances between surfaces: exact nearest neighbours by cells that double until every point is settled."""
+"""Distances between surfaces: by distance transforms on a common grid, and of any points by cells that double until every point
+is settled."""
 
 from __future__ import annotations
 
@@ -7,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import INDEX, Grid
+from ..model import INDEX, Grid, Grids
 from ..shared import written
 from .morphology import contour
+from .planes import squared_distances, step_weights
 
 P = ("px", "py", "pz")
 
@@ -46,11 +48,17 @@ def surface_points(mask: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
     return edge.select(*by, *[c.alias(n) for c, n in zip(grid.position(*[F.col(c) for c in reversed(INDEX)]), P, strict=True)])
 
 
-def surface_distances(fixed: DataFrame, moving: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
-    """by, hd95, msd in mm (2 digits): the larger of both 95th percentiles, and the mean of both means. NULL if a side is empty."""
-    f, m = surface_points(fixed, by, grid), surface_points(moving, by, grid)
-    to = nearest(f, m, by).groupBy(*by).agg(F.percentile("d", F.lit(0.95)).alias("p1"), F.avg("d").alias("m1"))
-    back = nearest(m, f, by).groupBy(*by).agg(F.percentile("d", F.lit(0.95)).alias("p2"), F.avg("d").alias("m2"))
-    rows = to.join(back, list(by), "full")
+def surface_distances(fixed: DataFrame, moving: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
+    """by, hd95, msd in mm (2 digits): the larger of both 95th percentiles, and the mean of both means. NULL if a side is empty.
+
+    Both contours lie on one grid, so the distance to the other one is read off its distance transform."""
+    f, m = written(contour(fixed, by, grid), "contour"), written(contour(moving, by, grid), "contour")
+
+    def figures(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+        d = squared_distances(b, by, grid, step_weights, wanted=a)
+        d = d.select(*by, F.when(F.col("d2") < float("inf"), F.sqrt("d2")).alias("d"))
+        return d.groupBy(*by).agg(F.percentile("d", F.lit(0.95)).alias(f"p{k}"), F.avg("d").alias(f"m{k}"))
+
+    rows = figures(f, m, 1).join(figures(m, f, 2), list(by), "full")
     both = F.col("p1").isNotNull() & F.col("p2").isNotNull()
     return rows.select(*by, F.when(both, F.round(F.greatest("p1", "p2"), 2)).alias("hd95"), F.when(both, F.round((F.col("m1") + F.col("m2")) / 2, 2)).alias("msd"))
