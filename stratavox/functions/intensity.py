@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Grid
+from ..model import Grid, Grids
 from ..operators.neighbourhood import gaussian
+from . import quantiles
 
 # Bounds in Hounsfield units.
 HU_WINDOWS = {
@@ -57,8 +58,7 @@ def clip_bounds(df: DataFrame, by: Sequence[str], value: str = "v", clip: tuple[
         return keys.select(*by, F.lit(float(clip[0])).alias("low"), F.lit(float(clip[1])).alias("high"))
     if percentiles is None:
         return keys.select(*by, F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    v = F.when(finite(F.col(value)), F.col(value))
-    found = df.groupBy(*by).agg(F.percentile(v, F.array(*[F.lit(p / 100) for p in percentiles])).alias("p"))
+    found = quantiles.percentiles(df, by, value, [p / 100 for p in percentiles])
     low, high = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return found.select(*by, F.when(high > low, low).alias("low"), F.when(high > low, high).alias("high"))
 
@@ -108,7 +108,7 @@ def feature_normalised(df: DataFrame, by: Sequence[str], value: str = "v", modal
     return rows.join(stats, list(by), "left").withColumn(value, F.when(range_ < FLAT, 0.0).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
 
 
-def prepared(df: DataFrame, by: Sequence[str], value: str = "v", *, modality: str | None = None, clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | str | None = "auto", smooth_mm: float | None = None, grid: Grid | None = None, normalize: str = "none") -> DataFrame:
+def prepared(df: DataFrame, by: Sequence[str], value: str = "v", *, modality: str | None = None, clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | str | None = "auto", smooth_mm: float | None = None, grid: Grid | Grids | None = None, normalize: str = "none") -> DataFrame:
     """The preparation chain: repair, clip (bounds measured on the repaired values), smooth (a dense volume, by its grid), normalise."""
     if percentiles == "auto":
         percentiles = None if clip or window else percentiles_for(modality)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intensity import finite
+from .quantiles import beside, percentiles
 
 #: Least voxels for a correlation and for mutual information; bins of the latter for reports and for candidates.
 LEAST_NCC, LEAST_NMI, BINS, BINS_COARSE = 64, 256, 64, 48
@@ -22,7 +23,8 @@ def describe(df: DataFrame, by: Sequence[str], value: str = "v", mask: Column |
     df = df if mask is None else df.where(mask)
     ok = finite(F.col(value))
     v = F.when(ok, F.col(value))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(~ok, 1)).alias("n_nonfinite"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(~ok, 1)).alias("n_nonfinite"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"))
+    out = beside(out, percentiles(df, by, value, (0.01, 0.99)), by)
     return out.select(*by, "n", "n_nonfinite", "min", "max", F.round(F.get("p", F.lit(0)), 1).alias("p1"), F.round(F.get("p", F.lit(1)), 1).alias("p99"))
 
 

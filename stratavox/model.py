@@ -184,6 +184,20 @@ def with_grid(rows: DataFrame, grid: Grid | Grids, name: str = "_grid") -> tuple
     return rows.join(table, list(grid.by)), GridColumn(F.col(name))
 
 
+def placed(rows: DataFrame, grid: Grid | Grids, into: Sequence[str] = ("px", "py", "pz"), index: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """rows with the positions in mm of an index (x, y, z)."""
+    at = [F.col(c) for c in index]
+    if isinstance(grid, Grid):
+        return rows.withColumns(dict(zip(into, grid.position(*at), strict=True)))
+    rows, g = with_grid(rows, grid)
+    return rows.withColumns(dict(zip(into, g.position(*at), strict=True))).drop("_grid")
+
+
+def grids_of(cases: DataFrame, by: Sequence[str], grid: Grid | Grids) -> Grids:
+    """The grids of cases, of which all have the same one if a Grid is given."""
+    return grid if isinstance(grid, Grids) else Grids(cases.select(*by).distinct().withColumn("grid", grid.column()), tuple(by))
+
+
 def keys_of(grid: Grid | Grids, by: Sequence[str]) -> None:
     """An error if the grids of cases are not told apart by some of these keys."""
     if isinstance(grid, Grids) and not set(grid.by) <= set(by):

@@ -82,20 +82,22 @@ def spline_coefficients(f: np.ndarray) -> np.ndarray:
     return c
 
 
-def filtered(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, value: str = "v") -> DataFrame:
-    """by, z, y, x, value: the B-spline coefficients of dense volumes."""
+def filtered(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, values: Sequence[str] = ("v",)) -> DataFrame:
+    """by, z, y, x, values: the B-spline coefficients of dense volumes."""
 
-    def plane(g: Grid, y: np.ndarray, x: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-        a = np.zeros((g.size[1], g.size[0]))
-        a[y, x] = values[0]
-        return [spline_coefficients(spline_coefficients(a).T).T]
+    def plane(g: Grid, y: np.ndarray, x: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for v in found:
+            a = np.zeros((g.size[1], g.size[0]))
+            a[y, x] = v
+            out.append(spline_coefficients(spline_coefficients(a).T).T)
+        return out
 
     def column(g: Grid, z: np.ndarray, lines: list[np.ndarray]) -> tuple:
-        a = spline_coefficients(lines[0].T.copy()).T
-        zi, xi = np.indices(a.shape)
-        return z[zi.ravel()], xi.ravel(), [a.ravel()]
+        zi, xi = np.indices(lines[0].shape)
+        return z[zi.ravel()], xi.ravel(), [spline_coefficients(a.T.copy()).T.ravel() for a in lines]
 
-    return swept(voxels, by, grid, [value], plane, column, out=(value,))
+    return swept(voxels, by, grid, values, plane, column, len(values), values)
 
 
 def bricks(voxels: DataFrame, by: Sequence[str], values: Sequence[str], reach: int, edge: int = EDGE) -> DataFrame:
@@ -253,33 +255,35 @@ def _met(points: DataFrame, blocks: DataFrame, on: Sequence[str], by: Sequence[s
     return rows.mapInArrow(sample, f"{_head(points, by)}, {names}")
 
 
-def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids, matrix: str | None = None, interpolation: str = "linear", value: str = "v", on: Sequence[str] | None = None, edge: int = EDGE) -> DataFrame:
-    """by, z, y, x, value on the target grid for every case; NULL for what lies outside of the source or has no voxel there.
+def resampled(voxels: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids, matrix: str | None = None, interpolation: str = "linear", value: str | Sequence[str] = "v", on: Sequence[str] | None = None, edge: int = EDGE) -> DataFrame:
+    """by, z, y, x, value (or several) on the target grid for every case; NULL for what lies outside of the source or has no voxel
+    there.
 
     cases has one row a case, with a matrix (fixed to moving, 16 doubles, row-major) where transforms differ by case; ``on`` are
     the key columns that voxels and cases share, if one volume serves several cases.
     """
     if interpolation not in METHODS:
         raise ValueError(f"unknown interpolation {interpolation!r}; there are {sorted(METHODS)}")
-    by, on = list(by), list(on or by)
+    by, on, values = list(by), list(on or by), [value] if isinstance(value, str) else list(value)
     _, reach, first = METHODS[interpolation]
-    voxels = filtered(voxels, on, source, value) if first else voxels
+    voxels = filtered(voxels, on, source, values) if first else voxels
     points = aimed(cases, by, target, source, matrix, edge)
 
     def made(at: np.ndarray, grid: dict) -> list[pa.Array]:
         nx, ny, _ = grid["size"]
         return [pa.array(v.astype(np.int32)) for v in (at // (nx * ny), at // nx % ny, at % nx)]
 
-    return _met(points, bricks(voxels, on, [value], reach, edge), on, by, [value], interpolation, f"z int, y int, x int, {value} double", made)
+    names = "z int, y int, x int, " + ", ".join(f"{v} double" for v in values)
+    return _met(points, bricks(voxels, on, values, reach, edge), on, by, values, interpolation, names, made)
 
 
-def sampled(points: DataFrame, voxels: DataFrame, by: Sequence[str], source: Grid | Grids, values: Sequence[str], position: Sequence[str] = ("px", "py", "pz"), idx: str = "idx", interpolation: str = "linear", edge: int = EDGE) -> DataFrame:
+def sampled(points: DataFrame, voxels: DataFrame, by: Sequence[str], source: Grid | Grids, values: Sequence[str], position: Sequence[str] = ("px", "py", "pz"), idx: str = "idx", interpolation: str = "linear", edge: int = EDGE, on: Sequence[str] | None = None) -> DataFrame:
     """by, idx and the values at given positions in mm; NULL outside of the grid. idx (a whole number) tells the points of a case
-    apart."""
-    by = list(by)
+    apart; ``on`` are the keys that points and voxels share."""
+    by, on = list(by), list(on or by)
     _, reach, first = METHODS[interpolation]
     if first:
         raise ValueError("coefficients are made of whole volumes: filter the volume and ask for them")
     at = aimed_points(points, by, idx, position, source, edge)
-    out = _met(at, bricks(voxels, by, values, reach, edge), by, by, values, interpolation, "_idx long, " + ", ".join(f"{v} double" for v in values), lambda at, _: [pa.array(at)])
+    out = _met(at, bricks(voxels, on, values, reach, edge), on, by, values, interpolation, "_idx long, " + ", ".join(f"{v} double" for v in values), lambda at, _: [pa.array(at)])
     return out.withColumnRenamed("_idx", idx).withColumn(idx, F.col(idx).cast(points.schema[idx].dataType))

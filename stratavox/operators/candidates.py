@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import BINS_COARSE, ncc, nmi
-from ..model import INDEX, Grid
+from ..model import INDEX, Grid, Grids
 from .resample import resampled
 from .transforms import about, composed, rotation, translation
 
@@ -63,7 +63,7 @@ def candidates(spark: SparkSession, starts: dict[int, dict[str, np.ndarray]], ro
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def scored(candidates: DataFrame, fixed: DataFrame, moving: DataFrame, grid: Grid, source: Grid, default: float = 0.0, metric: str = "auto") -> DataFrame:
+def scored(candidates: DataFrame, fixed: DataFrame, moving: DataFrame, grid: Grid | Grids, source: Grid | Grids, default: float = 0.0, metric: str = "auto") -> DataFrame:
     """candidates with score: the mean of correlation and mutual information less 1 over the coarse grid, of those that are
     defined; NULL if none is. fixed and moving: case_id, z, y, x, v. All candidates of all cases are one job."""
     by = ["case_id", "ordinal"]

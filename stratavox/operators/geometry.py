@@ -9,16 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import INDEX, Grid, affine
+from ..model import INDEX, Grid, Grids, affine, placed, with_grid
 
 
-def bounding_box(mask: DataFrame, by: Sequence[str], grid: Grid, margin_mm: float = 0.0) -> DataFrame:
+def bounding_box(mask: DataFrame, by: Sequence[str], grid: Grid | Grids, margin_mm: float = 0.0) -> DataFrame:
     """by, low and high index of each axis with a margin in mm, within the grid."""
     rows = mask.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in INDEX for f, n in ((F.min, "low"), (F.max, "high"))])
+    rows, g = with_grid(rows, grid)
     for axis, c in enumerate(("x", "y", "z")):
-        margin = round(margin_mm / grid.spacing[axis])
-        rows = rows.withColumn(f"{c}_low", F.greatest(F.lit(0), F.col(f"{c}_low") - margin)).withColumn(f"{c}_high", F.least(F.lit(grid.size[axis] - 1), F.col(f"{c}_high") + margin))
-    return rows
+        margin = F.rint(margin_mm / g.spacing(axis)).cast("int")
+        rows = rows.withColumn(f"{c}_low", F.greatest(F.lit(0), F.col(f"{c}_low") - margin)).withColumn(f"{c}_high", F.least(g.size(axis) - 1, F.col(f"{c}_high") + margin))
+    return rows.drop("_grid")
 
 
 def cropped(voxels: DataFrame, boxes: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def cropped(voxels: DataFrame, boxes: DataFrame, by: Sequence[str]) -> DataFrame
     return rows.select(*[(F.col(c) - F.col(f"{c}_low")).alias(c) if c in INDEX else F.col(c) for c in voxels.columns])
 
 
-def centre_of_mass(voxels: DataFrame, by: Sequence[str], grid: Grid, value: str = "v", threshold: float | None = None, mask: bool = False) -> DataFrame:
+def centre_of_mass(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, value: str = "v", threshold: float | None = None, mask: bool = False) -> DataFrame:
     """by, cx, cy, cz in mm: of a mask without regard to values, else weighted by them.
 
     Values below the threshold weigh nothing, negative ones are shifted to 0; without weight it is the centre of the grid.
@@ -43,20 +44,20 @@ def centre_of_mass(voxels: DataFrame, by: Sequence[str], grid: Grid, value: str
         weight = F.col(value) - F.col("_low")
         weight = F.when(F.col(value) < threshold, 0.0).otherwise(weight) if threshold is not None else weight
     total = F.sum("_w")
-    mean = rows.withColumn("_w", weight).groupBy(*by).agg(*[F.coalesce(F.when(total > 0, F.try_divide(F.sum(F.col("_w") * F.col(c)), total)), F.lit((grid.size[2 - k] - 1) / 2)).alias(c) for k, c in enumerate(INDEX)])
-    position = grid.position(F.col("x"), F.col("y"), F.col("z"))
-    return mean.select(*by, *[p.alias(n) for p, n in zip(position, ("cx", "cy", "cz"), strict=True)])
+    mean = rows.withColumn("_w", weight).groupBy(*by).agg(*[F.when(total > 0, F.try_divide(F.sum(F.col("_w") * F.col(c)), total)).alias(c) for c in INDEX])
+    mean, g = with_grid(mean, grid)
+    mean = mean.withColumns({c: F.coalesce(F.col(c), (g.size(2 - k) - 1) / 2) for k, c in enumerate(INDEX)}).drop("_grid")
+    return placed(mean, grid, ("cx", "cy", "cz")).select(*by, "cx", "cy", "cz")
 
 
-def covariance(mask: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def covariance(mask: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """by, n, centre and the six sample covariances of voxel positions in mm: sums in one pass."""
-    p = dict(zip("xyz", grid.position(F.col("x"), F.col("y"), F.col("z")), strict=True))
-    rows = mask.select(*by, *[c.alias(f"p{n}") for n, c in p.items()])
+    rows = placed(mask.select(*by, *INDEX), grid).select(*by, "px", "py", "pz")
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(f"p{n}").alias(f"c{n}") for n in "xyz"], *[F.covar_samp(f"p{a}", f"p{b}").alias(f"c{a}{b}") for a, b in pairs])
 
 
-def principal_axes(mask: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def principal_axes(mask: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """covariance with lengths (roots of the eigenvalues, largest first) and axes (three unit vectors in that order).
 
     The covariance is one row a case; eigenvectors of 3 by 3 matrices are taken in batches.

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..model import INDEX, Grid
+from ..model import INDEX, Grid, Grids, with_grid
+from .planes import swept
 
 
 def line(by: Sequence[str], axis: str) -> WindowSpec:
@@ -50,30 +51,56 @@ def box_mean(df: DataFrame, by: Sequence[str], columns: Sequence[str], radius: i
     return df
 
 
-def gaussian(df: DataFrame, by: Sequence[str], columns: Sequence[str], sigma_mm: float, grid: Grid) -> DataFrame:
-    """Gaussian smoothing along each axis in turn, cut off at three deviations, edges repeated."""
-    for k, axis in enumerate(INDEX):
-        n, sigma = grid.size[2 - k], sigma_mm / grid.spacing[2 - k]
-        if sigma <= 0 or n == 1:
-            continue
-        reach = max(1, int(np.ceil(3 * sigma)))
-        weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-        weights = (weights / weights.sum()).tolist()
-        df = df.withColumns({c: sum((shift(F.col(c), by, axis, i - reach) * w for i, w in enumerate(weights)), F.lit(0.0)) for c in columns})
-    return df
+def smoothed(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing along the rows of a matrix, cut off at three deviations, edges repeated."""
+    n = a.shape[1]
+    if sigma <= 0 or n == 1:
+        return a
+    reach = max(1, int(np.ceil(3 * sigma)))
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    wide = np.pad(a, ((0, 0), (reach, reach)), "edge")
+    out = np.zeros_like(a)
+    for k, w in enumerate(weights):
+        out += w * wide[:, k : k + n]
+    return out
+
+
+def gaussian(df: DataFrame, by: Sequence[str], columns: Sequence[str], sigma_mm: float, grid: Grid | Grids) -> DataFrame:
+    """Gaussian smoothing along each axis in turn, plane by plane, cut off at three deviations, edges repeated."""
+
+    def plane(g: Grid, y: np.ndarray, x: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for v in values:
+            a = np.zeros((g.size[1], g.size[0]))
+            a[y, x] = v
+            out.append(smoothed(smoothed(a, sigma_mm / g.spacing[0]).T, sigma_mm / g.spacing[1]).T)
+        return out
+
+    def column(g: Grid, z: np.ndarray, lines: list[np.ndarray]) -> tuple:
+        zi, xi = np.indices(lines[0].shape)
+        return z[zi.ravel()], xi.ravel(), [smoothed(a.T, sigma_mm / g.spacing[2]).T.ravel() for a in lines]
+
+    rows = swept(df, by, grid, columns, plane, column, len(columns), columns)
+    more = [c for c in df.columns if c not in {*by, *INDEX, *columns}]
+    return rows.join(df.select(*by, *INDEX, *more), [*by, *INDEX]).select(*df.columns) if more else rows.select(*df.columns)
 
 
-def jacobian(field: DataFrame, by: Sequence[str], grid: Grid) -> DataFrame:
+def jacobian(field: DataFrame, by: Sequence[str], grid: Grid | Grids) -> DataFrame:
     """by, z, y, x, det of the identity plus the displacement's gradient, by central differences (edges repeated)."""
     u = ("dx", "dy", "dz")
-    inverse = np.array(grid.direction).reshape(3, 3)
     terms = {}
-    for a, (axis, s) in enumerate(zip("xyz", grid.spacing, strict=True)):
+    for a, axis in enumerate("xyz"):
         for r, c in enumerate(u):
-            terms[r, a] = (shift(F.col(c), by, axis, -1) - shift(F.col(c), by, axis, 1)) / (2 * s)
-    rows = field.withColumns({f"g{r}{a}": t for (r, a), t in terms.items()})
+            terms[r, a] = (shift(F.col(c), by, axis, -1) - shift(F.col(c), by, axis, 1)) / 2
+    rows, g = with_grid(field.withColumns({f"g{r}{a}": t for (r, a), t in terms.items()}), grid)
+    if isinstance(grid, Grid):
+        d = np.array(grid.direction).reshape(3, 3)
+        along = lambda r, c: sum((F.col(f"g{r}{a}") / grid.spacing[a] * float(d[c, a]) for a in range(3) if d[c, a]), F.lit(1.0 if r == c else 0.0))
+    else:
+        along = lambda r, c: sum((F.col(f"g{r}{a}") / g.spacing(a) * F.get(g.column["direction"], F.lit(3 * c + a)) for a in range(3)), F.lit(1.0 if r == c else 0.0))
     # Gradients along grid axes become gradients along the world's axes.
-    m = {(r, c): sum((F.col(f"g{r}{a}") * float(inverse[c, a]) for a in range(3) if inverse[c, a]), F.lit(1.0 if r == c else 0.0)) for r in range(3) for c in range(3)}
+    m = {(r, c): along(r, c) for r in range(3) for c in range(3)}
     det = m[0, 0] * (m[1, 1] * m[2, 2] - m[1, 2] * m[2, 1]) - m[0, 1] * (m[1, 0] * m[2, 2] - m[1, 2] * m[2, 0]) + m[0, 2] * (m[1, 0] * m[2, 1] - m[1, 1] * m[2, 0])
     return rows.select(*by, *INDEX, det.alias("det"))
 

@@ -7,11 +7,15 @@ well they recover known transforms, not by equality with any other optimiser.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..model import FIELD, Grid
+from ..model import GRID, Grid, Grids, grid_from, with_grid
+from .planes import _cells
 from .transforms import from_parameters
 
 #: Voxels of a working grid at most; a larger volume has to be resampled or cropped first.
@@ -24,14 +28,28 @@ def start_parameters(kind: str) -> np.ndarray:
     return {"translation": np.zeros(3), "rigid": np.zeros(6), "similarity": np.array([0, 0, 0, 0, 0, 0, 1.0]), "affine": np.array([1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0.0])}[kind]
 
 
-def dense(pdf: pd.DataFrame, grid: Grid, value: str = "v") -> np.ndarray:
+def gathered(volumes: DataFrame, side: int, extra: Sequence[str] = ()) -> DataFrame:
+    """case_id, side, z, cells: the planes of volumes (case_id, z, y, x, v), one row each."""
+    return volumes.groupBy("case_id", "z").agg(F.collect_list(F.struct("y", "x", "v", *extra)).alias("cells")).select("case_id", F.lit(side).alias("side"), F.col("z").cast("int").alias("z"), "cells")
+
+
+def dense(planes: pa.Table, grid: Grid, value: str = "v") -> np.ndarray:
+    """An array from the planes of one volume, the least value where voxels are missing."""
     if grid.n_voxels > MOST_VOXELS:
         raise ValueError(f"{grid.n_voxels} voxels are more than a working grid may have ({MOST_VOXELS})")
     out = np.full(tuple(reversed(grid.size)), np.nan, np.float64)
-    out[pdf["z"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[value].to_numpy()
+    column = planes.column("cells").combine_chunks()
+    for i, z in enumerate(planes.column("z").to_pylist()):
+        cells = _cells(column, i)
+        out[z, cells["y"].to_numpy(zero_copy_only=False), cells["x"].to_numpy(zero_copy_only=False)] = cells[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
     return np.nan_to_num(out, nan=float(np.nanmin(out)) if np.isfinite(out).any() else 0.0)
 
 
+def levels_of(n_resolutions: int, shape: Sequence[int]) -> int:
+    """Levels of a stage: as many as it says, but none on which the shortest axis has fewer than four voxels."""
+    return max(1, min(n_resolutions, 1 + int(np.log2(max(min(shape), 4) / 4))))
+
+
 def smoothed(a: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing along each axis, edges repeated."""
     if sigma <= 0:
@@ -168,38 +186,65 @@ def demons(f: np.ndarray, m: np.ndarray, iterations: int = 40, sigma: float = 1.
     return u
 
 
-def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: Grid, moving_grid: Grid, kinds: tuple[str, ...] = ("rigid", "affine"), metric: str | tuple[str, ...] = "ncc", iterations: int = 60, samples: int = 4096, seed: int = 20250101) -> DataFrame:
+def _groups(fixed: DataFrame, moving: DataFrame, cases: DataFrame, masked: bool) -> DataFrame:
+    """The planes of both sides and the row of each case (side 2), to be grouped by case."""
+    rows = gathered(fixed if masked else fixed.withColumn("mask", F.lit(True)), 0, ["mask"])
+    rows = rows.unionByName(gathered(moving.withColumn("mask", F.lit(True)), 1, ["mask"]))
+    rows = rows.withColumns({"matrix": F.lit(None).cast("array<double>"), "fixed": F.lit(None).cast(GRID), "moving": F.lit(None).cast(GRID)})
+    return rows.unionByName(cases.withColumn("side", F.lit(2)), allowMissingColumns=True)
+
+
+def fitted(fixed: DataFrame, moving: DataFrame, starts: DataFrame, fixed_grid: Grid | Grids, moving_grid: Grid | Grids, kinds: tuple[str, ...] = ("rigid", "affine"), metric: str | tuple[str, ...] = "ncc", iterations: int | tuple[int, ...] = 60, samples: int | tuple[int, ...] = 4096, levels: int | tuple[int, ...] = 3, seed: int = 20250101) -> DataFrame:
     """case_id, matrix, metric, score, n_samples, stages (each with its figure and the transform up to it): the stages one after another from each case's start.
 
-    fixed and moving: case_id, z, y, x, v (fixed may have a boolean mask column); starts: case_id, matrix. The start travels with
-    the fixed voxels' group; a case without voxels on either side gets no row.
+    fixed and moving: case_id, z, y, x, v (fixed may have a boolean mask column); starts: case_id, matrix. Metric, iterations,
+    samples and levels are for all stages or for each. The planes of both volumes meet the start and the grids of their case in one
+    group; a case without voxels on either side or without start gets no row.
     """
+    each = lambda v: v if isinstance(v, tuple) else (v,) * len(kinds)
+    settings = list(zip(kinds, each(metric), each(iterations), each(samples), each(levels), strict=True))
+    cases, _ = with_grid(starts.select("case_id", "matrix"), fixed_grid, "fixed")
+    cases, _ = with_grid(cases, moving_grid, "moving")
     masked = "mask" in fixed.columns
-    rows = fixed.select("case_id", "z", "y", "x", "v", *(["mask"] if masked else [])).join(starts.select("case_id", "matrix"), "case_id")
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"case_id": [], "matrix": [], "metric": [], "score": [], "n_samples": [], "stages": []})
-        f, m = dense(a, fixed_grid), dense(b, moving_grid)
-        mask = dense(a.assign(mask=a["mask"].astype(float)), fixed_grid, "mask") > 0.5 if masked else None
-        t, score, n, stages = np.array(a["matrix"].iloc[0], float).reshape(4, 4), 0.0, 0, []
-        each = (metric,) * len(kinds) if isinstance(metric, str) else metric
-        for kind, metric_of_stage in zip(kinds, each, strict=True):
-            t, score, n = fit(f, m, fixed_grid, moving_grid, kind, t, metric_of_stage, iterations=iterations, samples=samples, mask=mask, seed=seed)
-            stages.append({"stage": kind, "final_metric": float(score), "matrix": t.ravel().tolist()})
-        return pd.DataFrame({"case_id": [a["case_id"].iloc[0]], "matrix": [t.ravel().tolist()], "metric": [each[-1]], "score": [float(score)], "n_samples": [n], "stages": [stages]})
-
-    return rows.groupBy("case_id").cogroup(moving.select("case_id", "z", "y", "x", "v").groupBy("case_id")).applyInPandas(one, FITTED)
-
-
-def deformed(fixed: DataFrame, moved: DataFrame, grid: Grid, iterations: int = 40, sigma: float = 1.5) -> DataFrame:
-    """A displacement field in mm for each volume, from volumes (volume_id, z, y, x, v) on one grid."""
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        u = demons(dense(a, grid), dense(b, grid), iterations, sigma) if len(a) and len(b) else np.zeros((0, 0, 0, 3))
-        mm = u @ (np.array(grid.direction).reshape(3, 3) * np.array(grid.spacing)).T
-        z, y, x = (i.ravel() for i in np.indices(u.shape[:3], dtype=np.int32))
-        case = a["volume_id"].iloc[0] if len(a) else 0
-        return pd.DataFrame({"volume_id": np.full(len(z), case, np.int64), "z": z, "y": y, "x": x} | {n: mm[..., k].ravel() for k, n in enumerate(("dx", "dy", "dz"))})
-
-    return fixed.groupBy("volume_id").cogroup(moved.groupBy("volume_id")).applyInPandas(one, FIELD)
+    names = [c.split()[0] for c in ("case_id", "matrix", "metric", "score", "n_samples", "stages")]
+    stage = pa.struct([("stage", pa.string()), ("final_metric", pa.float64()), ("matrix", pa.list_(pa.float64()))])
+    kinds_of = [pa.int64(), pa.list_(pa.float64()), pa.string(), pa.float64(), pa.int64(), pa.list_(stage)]
+    schema = pa.schema(list(zip(names, kinds_of, strict=True)))
+
+    def one(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        if set(side.tolist()) != {0, 1, 2}:
+            return schema.empty_table()
+        case = t.filter(pa.array(side == 2)).drop_columns(["cells"]).to_pylist()[0]
+        f_grid, m_grid = grid_from(case["fixed"]), grid_from(case["moving"])
+        a, b = (t.filter(pa.array(side == k)) for k in (0, 1))
+        f, m = dense(a, f_grid), dense(b, m_grid)
+        mask = dense(a, f_grid, "mask") > 0.5 if masked else None
+        at, score, n, stages = np.array(case["matrix"], float).reshape(4, 4), 0.0, 0, []
+        for kind, measure, most, some, depth in settings:
+            at, score, n = fit(f, m, f_grid, m_grid, kind, at, measure, levels_of(depth, f.shape), most, some, mask, seed)
+            stages.append({"stage": kind, "final_metric": float(score), "matrix": at.ravel().tolist()})
+        return pa.Table.from_pylist([dict(zip(names, (case["case_id"], at.ravel().tolist(), settings[-1][1], float(score), n, stages), strict=True))], schema)
+
+    return _groups(fixed, moving, cases, masked).groupBy("case_id").applyInArrow(one, FITTED)
+
+
+def deformed(fixed: DataFrame, moved: DataFrame, grid: Grid | Grids, iterations: int = 40, sigma: float = 1.5) -> DataFrame:
+    """case_id, z, y, x, dx, dy, dz in mm: a displacement field for each case, from volumes (case_id, z, y, x, v) on one grid."""
+    cases, _ = with_grid(fixed.select("case_id").distinct(), grid, "fixed")
+    cases = cases.select("case_id", F.lit(None).cast("array<double>").alias("matrix"), "fixed", F.col("fixed").alias("moving"))
+    names = ["case_id", "z", "y", "x", "dx", "dy", "dz"]
+    schema = pa.schema(list(zip(names, [pa.int64(), *[pa.int32()] * 3, *[pa.float64()] * 3], strict=True)))
+
+    def one(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        if set(side.tolist()) != {0, 1, 2}:
+            return schema.empty_table()
+        case = t.filter(pa.array(side == 2)).drop_columns(["cells"]).to_pylist()[0]
+        g = grid_from(case["fixed"])
+        u = demons(*(dense(t.filter(pa.array(side == k)), g) for k in (0, 1)), iterations, sigma)
+        mm = (u @ (np.array(g.direction).reshape(3, 3) * np.array(g.spacing)).T).reshape(-1, 3)
+        index = [pa.array(i.ravel()) for i in np.indices(u.shape[:3], dtype=np.int32)]
+        return pa.table([pa.array(np.full(len(mm), case["case_id"], np.int64)), *index, *[pa.array(np.ascontiguousarray(c)) for c in mm.T]], schema=schema)
+
+    return _groups(fixed, moved, cases, False).groupBy("case_id").applyInArrow(one, "case_id long, z int, y int, x int, dx double, dy double, dz double")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import INDEX, Grid
+from ..model import INDEX, Grid, Grids, with_grid
 from .geometry import bounding_box
 from .morphology import body_mask, dilated
 from .overlap import overlap
@@ -20,7 +20,7 @@ from .surface import surface_distances
 LEAST_MASK = 512
 
 
-def combined_mask(organs: DataFrame, by: Sequence[str], grid: Grid, targets: Sequence[str] = (), dilate_mm: float = 8.0, voxels: DataFrame | None = None, modality: str = "UNKNOWN") -> DataFrame:
+def combined_mask(organs: DataFrame, by: Sequence[str], grid: Grid | Grids, targets: Sequence[str] = (), dilate_mm: float = 8.0, voxels: DataFrame | None = None, modality: str = "UNKNOWN") -> DataFrame:
     """by, z, y, x: the targets of a case that has any of them, else all its organs, both dilated.
 
     A case without organs gets the body, not dilated, if its voxels are given, and no row otherwise.
@@ -45,7 +45,7 @@ def working_mask(mask: DataFrame, by: Sequence[str], least: int = LEAST_MASK) ->
     return mask.join(enough.select(*by), list(by), "left_semi")
 
 
-def roi_plan(cases: DataFrame, fixed: DataFrame, moving: DataFrame, by: Sequence[str], fixed_grid: Grid, moving_grid: Grid, targets: Sequence[str], margin_mm: float) -> DataFrame:
+def roi_plan(cases: DataFrame, fixed: DataFrame, moving: DataFrame, by: Sequence[str], fixed_grid: Grid | Grids, moving_grid: Grid | Grids, targets: Sequence[str], margin_mm: float) -> DataFrame:
     """by, applied, reason, then for either side low and high index of each axis and the number of voxels, and speedup (1 digit).
 
     Each side is cropped to its own organs, so the crop needs no transform; positions stay as they are. A side without any of the
@@ -63,19 +63,21 @@ def roi_plan(cases: DataFrame, fixed: DataFrame, moving: DataFrame, by: Sequence
     both = F.col("_fixed").isNotNull() & F.col("_moving").isNotNull() & F.lit(bool(targets))
     rows = rows.withColumn("applied", both)
     rows = rows.withColumn("reason", F.when(F.lit(not targets), "no target").when(~F.col("applied"), "missing segmentation"))
+    before = F.lit(0).cast("long")
     for side, grid in (("fixed", fixed_grid), ("moving", moving_grid)):
+        rows, g = with_grid(rows, grid, f"_{side}_grid")
         total = F.lit(1).cast("long")
         for k, c in enumerate(INDEX):
-            n = grid.size[2 - k]
-            low, high = (F.coalesce(F.when(F.col("applied"), F.col(f"{side}_{c}_{e}")), F.lit(v)) for e, v in (("low", 0), ("high", n - 1)))
+            low, high = (F.coalesce(F.when(F.col("applied"), F.col(f"{side}_{c}_{e}")), v) for e, v in (("low", F.lit(0)), ("high", g.size(2 - k) - 1)))
             rows = rows.withColumns({f"{side}_{c}_low": low, f"{side}_{c}_high": high})
             total = total * (F.col(f"{side}_{c}_high") - F.col(f"{side}_{c}_low") + 1)
         rows = rows.withColumn(f"{side}_voxels", total)
-    before = fixed_grid.n_voxels + moving_grid.n_voxels
-    return rows.withColumn("speedup", F.round(before / (F.col("fixed_voxels") + F.col("moving_voxels")), 1)).drop("_fixed", "_moving")
+        before = before + g.n_voxels
+    speedup = F.round(before / (F.col("fixed_voxels") + F.col("moving_voxels")), 1)
+    return rows.withColumn("speedup", speedup).drop("_fixed", "_moving", "_fixed_grid", "_moving_grid")
 
 
-def organ_report(fixed: DataFrame, moving: DataFrame, by: Sequence[str], grid: Grid, organs: Sequence[str] | None = None) -> DataFrame:
+def organ_report(fixed: DataFrame, moving: DataFrame, by: Sequence[str], grid: Grid | Grids, organs: Sequence[str] | None = None) -> DataFrame:
     """by, organ, dice (4 digits), hd95_mm, msd_mm, fixed_ml, moving_ml (2 digits) of the organs that both sides have."""
     by = [*by, "organ"]
     if organs is not None:
@@ -83,7 +85,8 @@ def organ_report(fixed: DataFrame, moving: DataFrame, by: Sequence[str], grid: G
     rows = overlap(fixed, moving, by[:-1]).where((F.col("n_fixed") > 0) & (F.col("n_moving") > 0))
     f, m = (side.select(*by, *INDEX).distinct().join(rows.select(*by), by, "left_semi") for side in (fixed, moving))
     rows = rows.join(surface_distances(f, m, by, grid), by, "left")
-    ml = lambda c: F.round(F.col(c) * grid.voxel_ml, 2)
+    rows, g = with_grid(rows, grid)
+    ml = lambda c: F.round(F.col(c) * (F.lit(grid.voxel_ml) if isinstance(grid, Grid) else g.voxel_ml), 2)
     return rows.select(*by, "dice", F.col("hd95").alias("hd95_mm"), F.col("msd").alias("msd_mm"), ml("n_fixed").alias("fixed_ml"), ml("n_moving").alias("moving_ml"))
 
 

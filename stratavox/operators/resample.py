@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..model import INDEX, Grid, Grids, affine, with_grid
+from ..model import INDEX, Grid, Grids, affine, placed
+from ..shared import written
 from . import bricks
 from .morphology import grid_voxels
 
@@ -42,6 +43,8 @@ def to_spacing(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, spacing
     target = grid.resampled(spacing)
     if target is grid:
         return voxels, grid
+    if isinstance(target, Grids):  # one row a case; written, so that what is derived from it stays a short expression
+        target = Grids(written(target.table, "grids"), target.by)
     return resampled(voxels, voxels.select(*by).distinct(), by, target, grid, None, interpolation, default), target
 
 
@@ -50,22 +53,82 @@ def warped_labels(labels: DataFrame, cases: DataFrame, by: Sequence[str], target
     return resampled(labels, cases, by, target, source, matrix, "nearest", 0, "label").where(F.col("label") != 0)
 
 
-def voxel_positions(rows: DataFrame, grid: Grid | Grids, into: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
-    """rows (z, y, x) with the positions of their voxels in mm."""
-    index = [F.col(c) for c in reversed(INDEX)]
-    if isinstance(grid, Grid):
-        return rows.withColumns(dict(zip(into, grid.position(*index), strict=True)))
-    rows, g = with_grid(rows, grid)
-    return rows.withColumns(dict(zip(into, g.position(*index), strict=True))).drop("_grid")
-
-
 def displacement_field(cases: DataFrame, by: Sequence[str], grid: Grid | Grids, matrix: str) -> DataFrame:
     """by, z, y, x, dx, dy, dz in mm: where a transform moves every voxel, less where it is."""
-    rows = voxel_positions(grid_voxels(cases, by, grid), grid).join(cases.select(*by, matrix), list(by))
+    rows = placed(grid_voxels(cases, by, grid), grid).join(cases.select(*by, matrix), list(by))
     q = applied(F.col(matrix), F.col("px"), F.col("py"), F.col("pz"))
     return rows.select(*by, *INDEX, *[(b - F.col(a)).alias(n) for a, b, n in zip(("px", "py", "pz"), q, ("dx", "dy", "dz"), strict=True)])
 
 
+#: The three parts of a displacement.
+FIELD = ("dx", "dy", "dz")
+
+
+def regridded(field: DataFrame, cases: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids) -> DataFrame:
+    """A field on another grid, interpolated linearly; nothing moves beyond the field's own grid."""
+    out = bricks.resampled(field, cases, by, target, source, None, "linear", FIELD)
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in FIELD})
+
+
+def through_field(voxels: DataFrame, field: DataFrame, by: Sequence[str], target: Grid | Grids, source: Grid | Grids, cases: DataFrame | None = None, matrix: str | None = None, interpolation: str = "linear", value: str = "v", on: Sequence[str] | None = None) -> DataFrame:
+    """by, z, y, x, value on the target grid: the source at p + u(p), or at what a matrix of cases makes of it, for each voxel p of the
+    field, which lies on the target grid; NULL outside of the source."""
+    # Three indices below 2**20 are one number, which tells the voxels of a case apart.
+    packed = F.shiftleft(F.col("z").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("y").cast("long"), 20)).bitwiseOR(F.col("x").cast("long"))
+    rows = placed(field.select(*by, *INDEX, *FIELD), target).withColumn("_at", packed)
+    p = [F.col(c) + F.col(d) for c, d in zip(("px", "py", "pz"), FIELD, strict=True)]
+    if matrix:
+        rows = rows.withColumns(dict(zip(("px", "py", "pz"), p, strict=True))).join(cases.select(*by, matrix), list(by))
+        p = applied(F.col(matrix), F.col("px"), F.col("py"), F.col("pz"))
+    points = rows.select(*by, "_at", *[c.alias(n) for c, n in zip(p, ("qx", "qy", "qz"), strict=True)])
+    out = bricks.sampled(points, voxels, by, source, [value], ("qx", "qy", "qz"), "_at", interpolation, on=on)
+    index = [F.shiftright("_at", 40), F.shiftright("_at", 20).bitwiseAND((1 << 20) - 1), F.col("_at").bitwiseAND((1 << 20) - 1)]
+    return out.select(*by, *[c.cast("int").alias(n) for c, n in zip(index, INDEX, strict=True)], value)
+
+
+def composed_fields(first: DataFrame, then: DataFrame, by: Sequence[str], grid: Grid | Grids, then_grid: Grid | Grids | None = None) -> DataFrame:
+    """by, z, y, x, dx, dy, dz on the first field's grid: where a point goes that is moved by the first field and then by the other.
+    NULL where the first one leaves the grid of the other."""
+    u = [F.col(c) for c in FIELD]
+    packed = F.shiftleft(F.col("z").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("y").cast("long"), 20)).bitwiseOR(F.col("x").cast("long"))
+    rows = placed(first.select(*by, *INDEX, *FIELD), grid).withColumn("_at", packed)
+    points = rows.select(*by, "_at", *[(F.col(p) + d).alias(q) for p, d, q in zip(("px", "py", "pz"), u, ("qx", "qy", "qz"), strict=True)])
+    more = bricks.sampled(points, then, by, then_grid or grid, FIELD, ("qx", "qy", "qz"), "_at").withColumnsRenamed({c: f"_{c}" for c in FIELD})
+    out = rows.select(*by, *INDEX, "_at", *FIELD).join(more, [*by, "_at"])
+    return out.select(*by, *INDEX, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in FIELD])
+
+
+def inverted_field(field: DataFrame, by: Sequence[str], grid: Grid | Grids, tolerance_mm: float = 0.01, most: int = 40) -> DataFrame:
+    """by, z, y, x, dx, dy, dz, residual: the field that undoes another one on the same grid, by the fixed point w(p) = -u(p + w(p)).
+
+    Iterated until no voxel that stays within the grid changes by more than the tolerance in mm, or until what is above it no longer
+    shrinks; ``residual`` is |w(p) + u(p + w(p))|. NULL where a point leaves the grid, and where the residual stays above the tolerance, as where the field folds. Each round is
+    written, so the plan stays short.
+    """
+    w, before = field.select(*by, *INDEX, *[(-F.col(c)).alias(c) for c in FIELD]), float("inf")
+    for _ in range(most):
+        there = composed_fields(w, field, by, grid).withColumnsRenamed({c: f"_{c}" for c in FIELD})  # w + u(p + w)
+        rows = w.join(there, [*by, *INDEX])
+        gap = F.sqrt(sum((F.col(f"_{c}") * F.col(f"_{c}") for c in FIELD[1:]), F.col("_dx") * F.col("_dx")))
+        rows = written(rows.select(*by, *INDEX, *FIELD, gap.alias("residual"), *[(F.col(c) - F.col(f"_{c}")).alias(f"_{c}") for c in FIELD]), "inverse")
+        left = rows.agg(F.sum(F.when(F.col("residual") > tolerance_mm, F.col("residual")))).first()[0] or 0.0
+        if not left or left > 0.99 * before:  # done, or only folded places are left
+            break
+        before = left
+        # A point that has left the grid stays where it left it.
+        w = rows.select(*by, *INDEX, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in FIELD])
+    fine = F.col("residual") <= tolerance_mm
+    return rows.select(*by, *INDEX, *[F.when(fine, F.col(c)).alias(c) for c in FIELD], "residual")
+
+
+def matrix_after_field(field: DataFrame, cases: DataFrame, by: Sequence[str], grid: Grid | Grids, matrix: str) -> DataFrame:
+    """by, z, y, x, dx, dy, dz: a field followed by the matrix of its case, as one field."""
+    rows = placed(field.select(*by, *INDEX, *FIELD), grid).join(cases.select(*by, matrix), list(by))
+    rows = rows.withColumns({f"_{c}": F.col(p) + F.col(c) for c, p in zip(FIELD, ("px", "py", "pz"), strict=True)})
+    q = applied(F.col(matrix), *[F.col(f"_{c}") for c in FIELD])
+    return rows.select(*by, *INDEX, *[(b - F.col(p)).alias(c) for b, p, c in zip(q, ("px", "py", "pz"), FIELD, strict=True)])
+
+
 def world_field(field: DataFrame, grid: Grid) -> DataFrame:
     """A field in normalised coordinates (-1 to 1 over the voxel centres) in mm along the world's axes."""
     scaled = [F.col(c) * ((n - 1) / 2 * s) for c, n, s in zip(("dx", "dy", "dz"), grid.size, grid.spacing, strict=True)]
@@ -76,7 +139,7 @@ def world_field(field: DataFrame, grid: Grid) -> DataFrame:
 
 def field_at(points: DataFrame, field: DataFrame, by: Sequence[str], grid: Grid | Grids, columns: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
     """points moved by a field, interpolated linearly: mx, my, mz; NULL outside of the grid. points: by, idx and a position."""
-    u = ("dx", "dy", "dz")
+    u = FIELD
     moved = bricks.sampled(points, field, by, grid, u, columns)
     out = points.join(moved, [*by, "idx"], "left")
     return out.select(*points.columns, *[(F.col(c) + F.col(d)).alias(m) for c, d, m in zip(columns, u, ("mx", "my", "mz"), strict=True)])

@@ -90,6 +90,11 @@ def preset(name: str, **overrides: Any) -> Plan:
     return replace(PRESETS[name], **overrides)
 
 
+def as_json(plan: Plan) -> str:
+    """The whole plan as JSON with sorted keys; ``from_settings`` makes the plan of it again."""
+    return json.dumps(asdict(plan), sort_keys=True)
+
+
 def merged(base: dict[str, Any], updates: dict[str, Any]) -> dict[str, Any]:
     """base with updates: dictionaries are merged, everything else is replaced, None leaves what is there."""
     out = dict(base)

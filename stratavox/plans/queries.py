@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intensity, names, statistics
-from ..model import INDEX, Grid
-from ..operators import candidates, gates, geometry, morphology, neighbourhood, overlap, regions, resample, surface
+from ..model import IDENTITY, INDEX, Grid, Grids
+from ..operators import candidates, gates, geometry, morphology, neighbourhood, overlap, planes, regions, resample, surface
 from ..sources import phantom, series
+from . import cache
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -758,3 +759,87 @@ def principal_lengths(spark: SparkSession, d: str) -> DataFrame:
     rows = geometry.principal_axes(liver(spark, d), ["volume_id"], GRID)
     a, b, c = (F.pow(F.get("lengths", F.lit(i)), 2) for i in range(3))
     return rows.select("volume_id", "n", F.round(a + b + c, 5).alias("trace"), F.round(a * b + a * c + b * c, 4).alias("minors"), F.round(a * b * c, 3).alias("det"))
+
+
+# Grids of cases, series, distances and fields
+
+CASE_SQL = """k AS (SELECT CAST(s_suppkey AS BIGINT) AS volume_id, CAST(6 + s_suppkey % 3 AS INT) AS nx, CAST(4 + s_suppkey % 2 AS INT) AS nz, 1 + s_suppkey % 2 AS f FROM supplier),
+vox AS (SELECT volume_id, nx, nz, f, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, ((x * 7 + y * 13 + z * 29 + volume_id * 3) % 11) - 5e0 AS v FROM k, range(5) a(z), range(5) b(y), range(8) c(x) WHERE z < nz AND x < nx)"""
+
+
+def case_volumes(spark: SparkSession, d: str) -> tuple[DataFrame, Grids]:
+    """Small volumes of every supplier, each on a grid of its own size and spacing."""
+    k = F.col("volume_id")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("volume_id"))
+    f = (1 + k % 2).cast("double")
+    size = F.array((6 + k % 3).cast("int"), F.lit(5), (4 + k % 2).cast("int"))
+    grid = F.struct(size.alias("size"), F.array(f, f, f * 1.25).alias("spacing"), F.array(k.cast("double"), F.lit(0.0), F.lit(-3.0)).alias("origin"), F.array(*map(F.lit, IDENTITY)).alias("direction"))
+    grids = Grids(rows.withColumn("grid", grid), ("volume_id",))
+    cells = morphology.grid_voxels(rows, ["volume_id"], grids)
+    return cells.withColumn("v", (F.col("x") * 7 + F.col("y") * 13 + F.col("z") * 29 + k * 3) % 11 - 5.0), grids
+
+
+@query("case_grids_spacing", f"""WITH {CASE_SQL} SELECT volume_id, CAST(z // (3 - f) AS INT) AS z, CAST(y // (3 - f) AS INT) AS y, CAST(x // (3 - f) AS INT) AS x, v FROM vox
+WHERE f = 2 OR (z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0 AND z // 2 < round_even(nz / 2.0, 0) AND y // 2 < 2 AND x // 2 < round_even(nx / 2.0, 0))""")
+def case_grids_spacing(spark: SparkSession, d: str) -> DataFrame:
+    """Volumes of half the spacing keep every other voxel, the others all."""
+    rows, grids = case_volumes(spark, d)
+    return resample.to_spacing(rows, ["volume_id"], grids, (2.0, 2.0, 2.5))[0]
+
+
+@query("case_grids_crop", f"""WITH {CASE_SQL}, b AS (SELECT volume_id, f, nx, greatest(0, min(z) - CASE f WHEN 1 THEN 1 ELSE 0 END) AS z0, min(y) AS y0, min(x) AS x0, least(nz - 1, max(z) + CASE f WHEN 1 THEN 1 ELSE 0 END) AS z1, max(y) AS y1, max(x) AS x1 FROM vox WHERE v = 5 GROUP BY volume_id, f, nx, nz),
+c AS (SELECT volume_id, z0, z1, greatest(0, y0 - CASE f WHEN 1 THEN 1 ELSE 0 END) AS y0, least(4, y1 + CASE f WHEN 1 THEN 1 ELSE 0 END) AS y1, greatest(0, x0 - CASE f WHEN 1 THEN 1 ELSE 0 END) AS x0, least(nx - 1, x1 + CASE f WHEN 1 THEN 1 ELSE 0 END) AS x1, f FROM b)
+SELECT c.volume_id, count(*) AS n, sum(v) AS total, any_value(c.volume_id + x0 * c.f) AS ox, any_value(y0 * c.f * 1e0) AS oy, any_value(z0 * c.f * 1.25e0 - 3) AS oz FROM c JOIN vox v ON v.volume_id = c.volume_id AND z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY c.volume_id""")
+def case_grids_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Each volume cropped to the box around its voxels of value 5 with a margin of 0.9 mm, and where its grid begins then."""
+    rows, grids = case_volumes(spark, d)
+    by = ["volume_id"]
+    boxes = geometry.bounding_box(rows.where("v = 5"), by, grids, 0.9)
+    sums = geometry.cropped(rows, boxes, by).groupBy(*by).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    begins = grids.cropped(boxes).table.select(*by, *[F.get("grid.origin", F.lit(k)).alias(f"o{c}") for k, c in enumerate("xyz")])
+    return sums.join(begins, by)
+
+
+@query("distance_map", f"""WITH {VOXELS}, m AS (SELECT volume_id, z, y, x FROM vox WHERE label = 3), d AS (SELECT v.volume_id, v.z, v.y, v.x, min(pow((v.x - m.x) * 2, 2) + pow((v.y - m.y) * 2, 2) + pow((v.z - m.z) * 2.5e0, 2)) AS d FROM vox v JOIN m ON m.volume_id = v.volume_id GROUP BY ALL)
+SELECT volume_id, z, y, x, round(sqrt(d), 6) AS mm FROM d WHERE d <= 400""")
+def distance_map(spark: SparkSession, d: str) -> DataFrame:
+    """The distance to the kidney of all voxels within 20 mm."""
+    mask = volumes(spark, d).where(F.col("label") == 3).select("volume_id", *INDEX)
+    rows = planes.squared_distances(mask, ["volume_id"], GRID, planes.step_weights, most=400.0)
+    return rows.select("volume_id", *INDEX, F.round(F.sqrt("d2"), 6).alias("mm"))
+
+
+@query("series_geometry", """WITH s AS (SELECT o_custkey AS k, o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE (o_orderkey % 997) * 0.5e0 END AS d, 128 + CASE WHEN o_custkey % 11 = 0 THEN o_orderkey % 2 ELSE 0 END AS r FROM orders),
+a AS (SELECT k, count(*) AS n_slices, count(d) AS n_d, count(DISTINCT d) AS n_places, count(DISTINCT r) AS n_sizes, (max(d) - min(d)) / nullif(count(*) - 1, 0) AS step, min(d) AS d0, any_value(r) AS r FROM s GROUP BY k),
+p AS (SELECT *, CASE WHEN n_d < n_slices THEN 'a slice without position, orientation or size' WHEN n_sizes > 1 THEN 'slices of several sizes, spacings or orientations' WHEN n_places < n_slices THEN 'several slices at one place' END AS p1, CASE WHEN n_slices < 2 THEN 'fewer than two slices' END AS p2 FROM a)
+SELECT CAST(k AS VARCHAR) AS series_uid, n_slices, concat_ws('; ', p1, p2) AS problems, CASE WHEN p1 IS NULL AND p2 IS NULL THEN CAST(r AS INT) END AS ny, CASE WHEN p1 IS NULL AND p2 IS NULL THEN round(step, 6) END AS dz, CASE WHEN p1 IS NULL AND p2 IS NULL THEN round(5 + d0 * 0.8e0, 6) END AS oz FROM p""")
+def series_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as slices of a series for each customer, tilted about x by a right triangle of 3, 4 and 5."""
+    k, place = F.col("o_custkey"), (F.col("o_orderkey") % 997) * 0.5
+    text = F.concat_ws("\\", F.lit("0"), (7 - place * 0.6).cast("string"), (5 + place * 0.8).cast("string"))
+    headers = table(spark, d, "orders").select(k.cast("string").alias("series_uid"), F.col("o_orderkey").cast("string").alias("path"), F.when(k % 10 != 0, text).alias("position"), F.lit("1\\0\\0\\0\\0.8\\0.6").alias("orientation"), F.lit("0.5\\0.25").alias("pixel_spacing"), (128 + F.when(k % 11 == 0, F.col("o_orderkey") % 2).otherwise(0)).cast("string").alias("rows"), F.lit("64").alias("columns"))
+    rows = series.series_geometry(series.ordered_slices(headers))
+    return rows.select("series_uid", "n_slices", F.array_join("problems", "; ").alias("problems"), F.get("grid.size", F.lit(1)).alias("ny"), F.round(F.get("grid.spacing", F.lit(2)), 6).alias("dz"), F.round(F.get("grid.origin", F.lit(2)), 6).alias("oz"))
+
+
+@query("composed_fields", f"""WITH {CASES}, g AS (SELECT volume_id, sx, sy, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM cases, range({Z}) a(z), range({Y}) b(y), range({X}) c(x))
+SELECT volume_id, z, y, x, CASE WHEN ok THEN round(sx * 3e0 + 0.05e0 * (x * 2 - 40 + sx * 3), 6) + 0 END AS dx, CASE WHEN ok THEN round(sy * 1e0 + 0.5e0, 6) END AS dy, CASE WHEN ok THEN round(-0.02e0 * (x * 2 - 40 + sx * 3), 6) + 0 END AS dz
+FROM (SELECT *, x + sx * 1.5e0 BETWEEN 0 AND {X - 1} AND y + sy * 0.5e0 BETWEEN 0 AND {Y - 1} AS ok FROM g)""")
+def composed_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A shift of each case's own, then a field that grows along x."""
+    c = cases(spark, d)
+    cells = morphology.grid_voxels(c, ["volume_id"], GRID).join(F.broadcast(c), "volume_id")
+    first = cells.select("volume_id", *INDEX, (F.col("sx") * 3.0).alias("dx"), (F.col("sy") * 1.0).alias("dy"), F.lit(0.0).alias("dz"))
+    px = F.col("x") * 2.0 - 40
+    then = cells.select("volume_id", *INDEX, (0.05 * px).alias("dx"), F.lit(0.5).alias("dy"), (-0.02 * px).alias("dz"))
+    out = resample.composed_fields(first, then, ["volume_id"], GRID)
+    return out.select("volume_id", *INDEX, *[(F.round(n, 6) + 0.0).alias(n) for n in ("dx", "dy", "dz")])
+
+
+@query("volume_fingerprints", f"WITH {VOXELS} SELECT CAST(n_nationkey AS BIGINT) AS volume_id, CAST(n_nationkey % 6 AS BIGINT) AS same_as FROM nation")
+def volume_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The least volume of equal content: shifts and texture repeat every six nations when the texture is taken by six."""
+    k = F.col("volume_id")
+    rows = volumes(spark, d).withColumn("v", F.col("v2") + k % 6 - (F.col("x") * 7 + F.col("y") * 13 + F.col("z") * 29 + k * 5) % 11)
+    found = cache.fingerprints(rows, ["volume_id"])
+    return found.join(found.groupBy("fingerprint").agg(F.min("volume_id").alias("same_as")), "fingerprint").select("volume_id", "same_as")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import duckdb
@@ -274,9 +275,19 @@ def test_gates_table(spark):
 def test_batch_refuses_what_it_does_not_run(spark):
     df = spark.createDataFrame([], "case_id long, z int, y int, x int, v double")
     grid = Grid((4, 4, 4), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0))
-    for name in ("ct_ct_liver_followup", "ct_ct_lung_4d", "ct_mr_abdomen", "mr_ct_prostate"):
-        with pytest.raises(ValueError, match="does not execute"):
-            batch.run_batch(df, df, grid, grid, presets.preset(name))
+    with pytest.raises(ValueError, match="does not execute"):
+        batch.run_batch(df, df, grid, grid, presets.preset("base", features=True))
+
+
+def test_stages_are_adapted_to_the_targets():
+    plan = batch.resolved(presets.preset("ct_ct_lung_4d", targets=("liver",)))
+    assert [s.kind for s in plan.stages] == ["rigid", "bspline"] and plan.stages[1].grid_mm == min(15.0, names.PROFILES["liver"].bspline_grid_mm)
+    rigid = next(n for n, p in names.PROFILES.items() if not p.deformable)
+    stiff = batch.resolved(presets.preset("ct_ct_lung_4d", targets=(rigid,))).stages[1]
+    assert stiff.grid_mm == 40.0 and stiff.bending_weight == 5.0
+    assert [s.kind for s in batch.resolved(presets.preset("ct_ct_lung_4d"), True).stages] == ["rigid"]
+    again = presets.from_settings(json.loads(presets.as_json(plan)))
+    assert again == plan
 
 
 def test_background_outside_of_the_source_is_its_least_value(spark):
