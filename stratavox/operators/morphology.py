@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import histogram
 from ..model import INDEX, Grid, Grids, keys_of, with_grid
+from ..shared import written
 from .components import components
 from .planes import ball_weights, squared_distances
 
@@ -138,4 +139,6 @@ def body_mask(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, modality
     fixed = F.lit(modality.upper() in ("CT", "CBCT")) & (F.col("_min") < -200)
     tissue = F.when(fixed, F.col("v").between(-300, 4000)).otherwise(F.col("v") > F.col("threshold"))
     mask = voxels.join(split, list(by)).where(tissue).select(*by, *INDEX)
-    return filled(largest_component(closed(mask, by, close_mm, grid), by), by, grid)
+    # Components read their mask several times, so each step is written once.
+    tissue = written(closed(mask, by, close_mm, grid), "tissue")
+    return filled(written(largest_component(tissue, by), "body"), by, grid)
