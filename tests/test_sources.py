@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratavox.model import Grid, grid_from
 from stratavox.operators import transforms as tf
-from stratavox.sources import files, series, volumes
+from stratavox.sources import dicom, files, series, volumes
 from test_core import array, voxels
 
 TURN = tuple(tf.rotation((0, 0, 30)).ravel().tolist())
@@ -142,3 +142,66 @@ def test_encoded_volumes_of_several_grids(spark):
         if suffix == "mha":
             stored = volumes.meta_header(rows["y.mha"], "y.mha")
             assert stored.grid.same_as(made["y"]) and np.allclose(np.frombuffer(rows["y.mha"], "<f4", -1, stored.offset), arrays["y"].ravel())
+
+
+def test_derived_series_and_registrations(spark, tmp_path):
+    volumes.register(spark)
+    a = np.random.default_rng(3).integers(-100, 100, (4, 3, 5)).astype(float)
+    grid = Grid((5, 3, 4), (0.5, 0.75, 2.0), (1.0, 2.0, 3.0), tuple(tf.rotation((10, 0, 0)).ravel().tolist()))
+    nested = {(0x0008, 0x0016): dicom.text("UI", "1.2.840.10008.5.1.4.1.1.4"), (0x0008, 0x0018): dicom.text("UI", "1.2.3.4"), (0x0008, 0x0060): dicom.text("CS", "MR"), (0x0010, 0x0020): dicom.text("LO", "P1"), (0x0020, 0x0011): dicom.text("IS", 7), (0x0020, 0x0052): dicom.text("UI", "1.2.9"), (0x0028, 0x1050): dicom.text("DS", 40), (0x0008, 0x1140): ("SQ", [{(0x0008, 0x1155): dicom.text("UI", "1.2"), (0x0040, 0xA170): ("SQ", [{(8, 0x100): dicom.text("SH", "x")}, {}])}])}
+    template = dicom.file_of(nested)
+    assert dicom.parsed(template)[0x0008, 0x1140][1][0][0x0040, 0xA170][1][0][8, 0x100][1].strip() == b"x"
+    df = voxels(spark, a, 1, "case_id").unionByName(voxels(spark, a * 0 + 3, 2, "case_id"))
+    templates = spark.createDataFrame([(1, bytearray(template), "1.2.77"), (2, bytearray(template), None)], "case_id long, template binary, frame string")
+    rows = dicom.derived_series(df, grid, templates)
+    rows.write.format("file_rows").mode("append").save(str(tmp_path / "out"))
+    geometry, back = series.read_series(spark, str(tmp_path / "out/1"))
+    g = geometry.first()
+    assert g["problems"] == [] and np.allclose(grid_from(g["grid"]).matrix, grid.matrix, atol=1e-5)
+    assert np.abs(array(back, a.shape) - a).max() <= (a.max() - a.min()) / 32000
+    assert np.allclose(array(series.read_series(spark, str(tmp_path / "out/2"))[1], a.shape), 3)
+    e = dicom.parsed((tmp_path / "out/1/00002.dcm").read_bytes())
+    assert dicom.value_of(e, (0x0020, 0x0011)) == "9007" and dicom.value_of(e, (0x0020, 0x0052)) == "1.2.77" and (0x0028, 0x1050) not in e and dicom.value_of(e, (0x0010, 0x0020)) == "P1" and e[0x0008, 0x1140][1][0][0x0040, 0xA170][1][1] == {}
+    ids = {dicom.value_of(dicom.parsed(p.read_bytes()), (0x0008, 0x0018)) for p in (tmp_path / "out").rglob("*.dcm")}
+    assert len(ids) == 8 and dicom.value_of(dicom.parsed((tmp_path / "out/2/00001.dcm").read_bytes()), (0x0020, 0x0052)) == "1.2.9"
+    rigid, scaled = tf.from_parameters("rigid", [0.1, -0.2, 0.3, 1, 2, 3], (5, 5, 5)), tf.from_parameters("similarity", [0.1, 0, 0, 1, 2, 3, 1.2])
+    affine = tf.from_parameters("affine", [1.1, 0.05, 0, 0, 0.9, 0.02, 0.01, 0, 1.2, 3, -4, 5])
+    moves = spark.createDataFrame([(k, [float(v) for v in m.ravel()]) for k, m in enumerate((rigid, scaled, affine))], "case_id long, matrix array<double>")
+    sides = spark.createDataFrame([(k, bytearray(template), bytearray(template)) for k in range(3)], "case_id long, fixed binary, moving binary")
+    for r in dicom.registrations(moves, sides).collect():
+        k = int(r["name"][0])
+        kind, m = dicom.read_registration(bytes(r["content"]))
+        assert kind == ("RIGID", "RIGID_SCALE", "AFFINE")[k] and np.allclose(m, (rigid, scaled, affine)[k], atol=1e-7)
+        assert dicom.value_of(dicom.parsed(bytes(r["content"])), (0x0010, 0x0020)) == "P1"
+    with pytest.raises(ValueError):
+        dicom.parsed(b"x" * 200)
+
+
+def test_sequences_of_unknown_length():
+    inner = dicom.encoded({(8, 0x100): dicom.text("SH", "ab")})
+    end, over, item = b"\xfe\xff\x0d\xe0\0\0\0\0", b"\xfe\xff\xdd\xe0\0\0\0\0", b"\xfe\xff\x00\xe0\xff\xff\xff\xff"
+    raw = b"\x08\0\x40\x11SQ\0\0\xff\xff\xff\xff" + item + inner + b"\x08\0\x41\x11SQ\0\0\xff\xff\xff\xff" + item + inner + end + over + end + item + end + over + dicom.encoded({(16, 32): dicom.text("LO", "id")})
+    e = dicom.parsed(b"\0" * 128 + b"DICM" + raw)
+    assert [len(i) for i in e[8, 0x1140][1]] == [2, 0] and e[8, 0x1140][1][0][8, 0x1141][1][0][8, 0x100][1] == b"ab" and dicom.value_of(e, (16, 32)) == "id"
+
+
+def test_jobs_end_in_one_state(spark, tmp_path):
+    from stratavox.streaming import lifecycle
+
+    (tmp_path / "in").mkdir()
+
+    def batch(name, rows):
+        (tmp_path / f"in/{name}.json").write_text("".join(json.dumps({"job_id": j, "kind": k, "at": f"2024-01-01T{t}:00Z"}) + "\n" for j, k, t in rows))
+        made = lifecycle.changes(lifecycle.events(spark, str(tmp_path / "in"), "10 minutes"), 3_600_000)
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+        states = spark.read.parquet(str(tmp_path / "out"))
+        return states, {r["job_id"]: r["status"] for r in lifecycle.latest(states).collect()}
+
+    _, now = batch("a", [("1", "running", "08:05"), ("1", "queued", "08:00"), ("1", "queued", "08:00"), ("2", "queued", "08:10"), ("3", "queued", "08:00"), ("3", "error", "08:20"), ("3", "done", "08:30"), ("4", "running", "08:15"), ("5", "odd", "08:00")])
+    assert now == {"1": "running", "2": "queued", "3": "error", "4": "running"}
+    _, now = batch("b", [("1", "done", "08:40"), ("1", "running", "08:39"), ("4", "queued", "08:14"), ("3", "done", "08:45"), ("4", "running", "08:50")])
+    assert now == {"1": "done", "2": "queued", "3": "error", "4": "running"}
+    batch("c", [("6", "queued", "11:00")])
+    states, now = batch("d", [("6", "running", "11:01")])
+    assert now == {"1": "done", "2": "expired", "3": "error", "4": "expired", "6": "running"}
+    assert states.where("job_id = '1'").count() == 3 and states.where("status IN ('done', 'error', 'expired')").groupBy("job_id").count().where("count > 1").count() == 0
