@@ -91,7 +91,7 @@ def _shrunk() -> list[Column]:
 
 
 def reputations(hosts: DataFrame, limit: float = LIMIT, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """host, rate, lower and blocked from host, n labelled and bad pages (one row a host).
+    """host, rate, lower, strength (of its prior, in pages) and blocked from host, n labelled and bad pages (one row a host).
 
     The whole's sums and the three strengths are the only figures that come to the driver.
     """
@@ -107,11 +107,12 @@ def reputations(hosts: DataFrame, limit: float = LIMIT, z: float = Z, suffixes:
     a, b = F.col("bad") + F.col("k") * F.col("mean"), F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("mean"))
     rate = a / (a + b)
     lower = rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return hosts.select("host", "n", "bad", rate.alias("rate"), lower.alias("lower"), (F.lit(bool(whole["n"])) & (lower > limit)).alias("blocked"))
+    return hosts.select("host", "n", "bad", rate.alias("rate"), lower.alias("lower"), F.col("k").alias("strength"), (F.lit(bool(whole["n"])) & (lower > limit)).alias("blocked"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES, limit: float = LIMIT, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page. outcomes: page_id and bad (0 to 1).
+    """page_id, host, path, rule, verdict of every page, and of its host the posterior bad rate, its lower bound and the strength of
+    its prior (6 digits). outcomes: page_id and bad (0 to 1).
 
     A host with a third of all pages meets one verdict row in the last join, which Spark splits when it is skewed; before that,
     pages are summed by host in the map tasks.
@@ -119,12 +120,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
     parsed = pages.select("page_id", host_column(F.col("url")).alias("host"), path_column(F.col("url")).alias("path"))
     once = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.avg("bad").alias("bad"))
     hosts = parsed.select("page_id", "host").join(once, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
-    verdicts = reputations(hosts, limit, z, suffixes).select("host", F.when(F.col("blocked"), "block").otherwise("allow").alias("by_host"))
+    verdicts = reputations(hosts, limit, z, suffixes).select("host", F.when(F.col("blocked"), "block").otherwise("allow").alias("by_host"), *[F.round(c, 6).alias(f"host_{c}") for c in ("rate", "lower", "strength")])
     rule = rule_column(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else F.create_map().cast("map<string,string>")
     out = parsed.join(verdicts, "host", "left").withColumn("rule", rule)
     verdict = F.coalesce(F.when(F.col("rule").isNotNull(), F.try_element_at(by_rule, F.col("rule"))), F.col("by_host"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_rate", "host_lower", "host_strength")
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
@@ -164,8 +165,8 @@ d AS (SELECT d0.*, (s2.bad + s2.k * s2.mean) / (s2.n + s2.k) AS mean, s2.n + s2.
 d2 AS (SELECT *, least({_strength_sql("d")}, weight) AS k FROM d),
 hh AS (SELECT h.*, (d2.bad + d2.k * d2.mean) / (d2.n + d2.k) AS mean, d2.n + d2.k AS weight FROM h JOIN d2 ON h.domain = d2.domain),
 hk AS (SELECT *, least({_strength_sql("hh")}, weight) AS k FROM hh),
-ab AS (SELECT host, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM hk),
-v AS (SELECT host, CASE WHEN (SELECT sum(n) FROM h) > 0 AND a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS by_host FROM ab),
+ab AS (SELECT host, k, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM hk),
+v AS (SELECT host, round(a / (a + b), 6) AS host_rate, round(a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 6) AS host_lower, round(k, 6) AS host_strength, CASE WHEN (SELECT sum(n) FROM h) > 0 AND a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS by_host FROM ab),
 ruled AS (SELECT page_id, host, path, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -173,7 +174,7 @@ ruled AS (SELECT page_id, host, path, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parsed)
 SELECT r.page_id, r.host, r.path, r.rule,
-       CASE r.rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'com/' THEN 'allow' WHEN 'example.com/en/' THEN 'block' WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' ELSE v.by_host END AS verdict
+       CASE r.rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'com/' THEN 'allow' WHEN 'example.com/en/' THEN 'block' WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' ELSE v.by_host END AS verdict, v.host_rate, v.host_lower, v.host_strength
 FROM ruled r LEFT JOIN v ON r.host = v.host""",
 }
 QUERIES = {"op1_url_reputation": op1_url_reputation}

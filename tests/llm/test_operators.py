@@ -614,6 +614,22 @@ def test_url_rules_and_reputation(spark):
     assert {r["verdict"] for r in url_reputation.judge(pages, outcomes.limit(0)).where(F.col("rule").isNull()).collect()} == {"allow"}
 
 
+def test_hosts_are_blocked_by_reputation_alone(spark):
+    """One bad page blocks a host of a bad domain but none of a good one, where without the shrinkage both would be blocked alike."""
+    hosts = {"many.bad.org": (40, 40), "few.bad.org": (1, 1), "mixed.bad.org": (20, 40), "few.good.com": (1, 1), "many.good.com": (0, 60), "none.bad.org": (0, 0)}
+    pages, outcomes, n = [], [], 0
+    for host, (bad, seen) in hosts.items():
+        for k in range(seen or 1):
+            pages.append((n, f"http://{host}/p{k}"))
+            outcomes += [(n, 1.0 if k < bad else 0.0)] if seen else []
+            n += 1
+    df = url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad double"), {})
+    got = {r["host"]: r for r in df.collect()}
+    assert {h for h, r in got.items() if r["verdict"] == "block"} == {"many.bad.org", "few.bad.org"}
+    assert got["few.good.com"]["host_rate"] < 0.6 < got["many.bad.org"]["host_lower"] < got["many.bad.org"]["host_rate"] < 1
+    assert got["few.good.com"]["host_rate"] < got["few.bad.org"]["host_rate"] and got["none.bad.org"]["host_rate"] > 0.4 and all(2.0 <= r["host_strength"] <= 1000 for r in got.values())
+
+
 def test_registered_domains(spark):
     hosts = {
         "a.b.example.com": ("example.com", "com"), "news.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
