@@ -252,12 +252,13 @@ def target_expansion(spark: SparkSession, d: str) -> DataFrame:
     return names.expanded(targets(spark, d), ["s_suppkey"])
 
 
-def _profile_values() -> str:
-    row = lambda p: f"('{p.name}', '{p.region}', {p.deformable}, {p.bspline_grid_mm}, {repr(p.hu_window) if p.hu_window else 'NULL'}, {p.mask_dilate_mm}, {p.roi_margin_mm}, {p.typical_motion_mm})"
-    return ", ".join(row(p) for p in names.PROFILES.values())
+#: What is expected of these organs: region, deformable, grid, window, dilation, margin and motion, stated here for themselves.
+EXPECTED_PROFILES = """('liver', 'abdomen', true, 20, 'ct_liver', 8, 25, 20), ('spleen', 'abdomen', true, 20, 'ct_abdomen', 8, 25, 15), ('kidney_left', 'abdomen', true, 20, 'ct_abdomen', 8, 25, 10),
+('kidney_right', 'abdomen', true, 20, 'ct_abdomen', 8, 25, 10), ('aorta', 'abdomen', false, 20, 'ct_soft', 8, 25, 5), ('inferior_vena_cava', 'abdomen', false, 20, 'ct_soft', 8, 25, 10),
+('portal_vein_and_splenic_vein', 'abdomen', true, 12, 'ct_liver', 8, 25, 10), ('celiac_trunk', 'abdomen', false, 20, 'ct_soft', 8, 25, 10)"""
 
 
-@query("merged_profile", f"""WITH {TARGETS_SQL}, {GROUPS_SQL}, pr(organ, region, deformable, g, w, m, r, t) AS (VALUES {_profile_values()}),
+@query("merged_profile", f"""WITH {TARGETS_SQL}, {GROUPS_SQL}, pr(organ, region, deformable, g, w, m, r, t) AS (VALUES {EXPECTED_PROFILES}),
 f AS (SELECT s_suppkey, e.organ, position, coalesce(region, 'unknown') AS region, coalesce(deformable, true) AS deformable, coalesce(g, 20) AS g, w, coalesce(m, 8) AS m, coalesce(r, 25) AS r, coalesce(t, 10) AS t FROM e LEFT JOIN pr ON pr.organ = e.organ)
 SELECT s_suppkey, string_agg(organ, '+' ORDER BY position) AS name, arg_min(region, position) AS region, bool_or(deformable) AS deformable, CAST(min(g) AS DOUBLE) AS bspline_grid_mm, arg_min(w, position) FILTER (w IS NOT NULL) AS hu_window,
   CAST(max(m) AS DOUBLE) AS mask_dilate_mm, CAST(max(r) AS DOUBLE) AS roi_margin_mm, CAST(max(t) AS DOUBLE) AS typical_motion_mm FROM f GROUP BY s_suppkey""")
@@ -379,10 +380,17 @@ def label_contour(spark: SparkSession, d: str) -> DataFrame:
     return marked(morphology.contour(liver(spark, d), ["volume_id"], GRID))
 
 
-@query("largest_component", f"WITH {VOXELS} SELECT volume_id, {SUMS} FROM vox WHERE label = 1 GROUP BY volume_id")
+PIECES = "(volume_id % 5 > 0 AND label IN (1, 2)) OR (volume_id % 5 = 0 AND ((z = 1 AND y = 1 AND x BETWEEN 1 AND 3) OR (z = 5 AND y = 5 AND x BETWEEN 4 AND 6)))"
+
+
+@query("largest_component", f"""WITH RECURSIVE {VOXELS}, m AS (SELECT volume_id, z, y, x, CAST(z * 10000 + y * 100 + x AS BIGINT) AS id FROM vox WHERE {PIECES}),
+e AS (SELECT a.volume_id, a.id AS a, b.id AS b FROM m a JOIN m b ON b.volume_id = a.volume_id AND abs(b.z - a.z) + abs(b.y - a.y) + abs(b.x - a.x) = 1),
+r AS (SELECT volume_id, id AS a, id AS b FROM m UNION SELECT r.volume_id, r.a, e.b FROM r JOIN e ON e.volume_id = r.volume_id AND e.a = r.b),
+c AS (SELECT volume_id, a, min(b) AS piece FROM r GROUP BY volume_id, a), n AS (SELECT volume_id, piece, count(*) AS n, CAST(sum(a) AS BIGINT) AS mark FROM c GROUP BY volume_id, piece)
+SELECT volume_id, n, mark FROM n QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, piece) = 1""")
 def largest_component(spark: SparkSession, d: str) -> DataFrame:
-    """Of liver and spleen, which do not touch, the liver is the larger one."""
-    mask = volumes(spark, d).where(F.col("label").isin(1, 2)).select("volume_id", *INDEX)
+    """Of liver and spleen, which do not touch, and in every fifth volume of two pieces of equal size."""
+    mask = volumes(spark, d).where(PIECES).select("volume_id", *INDEX)
     return marked(morphology.largest_component(mask, ["volume_id"]))
 
 
@@ -424,18 +432,24 @@ def matrices(spark: SparkSession, d: str, step: float) -> DataFrame:
     return cases(spark, d).select("volume_id", F.array(*[cell.get(i, F.lit(v)).cast("double") for i, v in enumerate(m)]).alias("matrix"))
 
 
-@query("resample_nearest", f"""WITH {KEPT} SELECT a.volume_id, a.z, a.y, a.x, coalesce(b.v, -1000) AS v FROM vox a LEFT JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y + a.sy AND b.x = a.x + a.sx""")
+#: A voxel as one whole number; an index outside of the grid is that of no voxel.
+KEY = "((volume_id * 100 + z) * 100 + {0}) * 100 + {1}"
+
+
+@query("resample_nearest", f"""WITH {VOXELS}, a AS (SELECT volume_id, z, y, x, {KEY.format("y + sy", "x + sx")} AS k FROM g), b AS (SELECT {KEY.format("y", "x")} AS k, v FROM vox)
+SELECT volume_id, z, y, x, coalesce(v, -1000) AS v FROM a LEFT JOIN b ON a.k = b.k""")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     return resample.resampled(volumes(spark, d), matrices(spark, d, 2.0), ["volume_id"], GRID, GRID, "matrix", "nearest", -1000.0)
 
 
 def _linear_sql() -> str:
     corners = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j" for i in (0, 1) for j in (0, 1))
-    return f"""WITH {KEPT}, k AS ({corners}), t AS (SELECT volume_id, z, y, x, y + sy * 0.5e0 AS qy, x + sx * 0.5e0 AS qx FROM g),
+    return f"""WITH {VOXELS}, k AS ({corners}), t AS (SELECT volume_id, z, y, x, y + sy * 0.5e0 AS qy, x + sx * 0.5e0 AS qx FROM g),
 c AS (SELECT t.volume_id, z, y, x, CAST(floor(qy) + j AS INT) AS ky, CAST(floor(qx) + i AS INT) AS kx, (CASE WHEN j = 1 THEN qy - floor(qy) ELSE 1 - (qy - floor(qy)) END) * (CASE WHEN i = 1 THEN qx - floor(qx) ELSE 1 - (qx - floor(qx)) END) AS w
-  FROM t, k WHERE qy BETWEEN 0 AND {Y - 1} AND qx BETWEEN 0 AND {X - 1}),
-r AS (SELECT c.volume_id, c.z, c.y, c.x, sum(w * v) AS v FROM c JOIN vox ON vox.volume_id = c.volume_id AND vox.z = c.z AND vox.y = c.ky AND vox.x = c.kx WHERE w > 0 GROUP BY ALL)
-SELECT g.volume_id, g.z, g.y, g.x, round(coalesce(r.v, 0), 6) AS v FROM g LEFT JOIN r ON r.volume_id = g.volume_id AND r.z = g.z AND r.y = g.y AND r.x = g.x"""
+  FROM t CROSS JOIN k WHERE qy BETWEEN 0 AND {Y - 1} AND qx BETWEEN 0 AND {X - 1}),
+d AS (SELECT {KEY.format("y", "x")} AS spot, {KEY.format("ky", "kx")} AS k, w FROM c WHERE w > 0), b AS (SELECT {KEY.format("y", "x")} AS k, v FROM vox),
+r AS (SELECT spot, sum(w * v) AS v FROM d JOIN b ON b.k = d.k GROUP BY spot), a AS (SELECT volume_id, z, y, x, {KEY.format("y", "x")} AS spot FROM g)
+SELECT volume_id, z, y, x, round(coalesce(r.v, 0), 6) AS v FROM a LEFT JOIN r ON r.spot = a.spot"""
 
 
 @query("resample_linear", _linear_sql())
@@ -595,7 +609,8 @@ def closing(spark: SparkSession, d: str) -> DataFrame:
     return marked(morphology.closed(rows, ["volume_id"], 2.0, GRID))
 
 
-@query("shift_edge", f"WITH {KEPT} SELECT a.volume_id, a.z, a.y, a.x, b.v FROM vox a JOIN vox b ON b.volume_id = a.volume_id AND b.z = a.z AND b.y = a.y AND b.x = greatest(0, a.x - 3)")
+@query("shift_edge", f"""WITH {VOXELS}, a AS (SELECT volume_id, z, y, x, {KEY.format("y", "greatest(0, x - 3)")} AS k FROM g), b AS (SELECT {KEY.format("y", "x")} AS k, v FROM vox)
+SELECT volume_id, z, y, x, v FROM a JOIN b ON a.k = b.k""")
 def shift_edge(spark: SparkSession, d: str) -> DataFrame:
     rows = volumes(spark, d)
     return rows.select("volume_id", *INDEX, neighbourhood.shift(F.col("v"), ["volume_id"], "x", 3).alias("v"))
@@ -628,6 +643,19 @@ def log_hints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", names.hint(said).alias("hint"))
 
 
+@query("log_diagnosis", """WITH k AS (SELECT doc_id, doc_id % 16 AS m, doc_id % 3 AS i FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN m % 4 = 1 THEN 'fields of view hardly overlap: improve the start, widen the mask or ask for fewer valid samples' WHEN m % 4 = 2 THEN 'no samples within the mask: ask for fewer or widen it' END,
+  CASE WHEN m >= 8 THEN i || ' images for 2 metrics: one image or one for each metric is needed' END, CASE WHEN m % 8 >= 4 THEN 'the metric became invalid: check for values that are not finite, masks and overlap' END], lambda x: x IS NOT NULL), '; ') AS hints,
+  CASE WHEN m > 0 THEN 'case ' || m END AS description FROM k""")
+def log_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    """Every text followed by what a log may say: one of two sentences on samples, one on images, one on the metric."""
+    k = F.col("doc_id") % 16
+    say = lambda when, what: F.when(when, F.lit(f"\n{what}\n")).otherwise("")
+    plain = F.regexp_replace(F.coalesce(F.lower("text"), F.lit("")), "singular|description:|samples|metric|input primary|should equal|advancedtransformadapter", "")
+    log = F.concat(plain, say(k % 4 == 1, "Too many samples MAP outside moving image buffer: 9 / 10"), say(k % 4 == 2, "not enough Samples"), say(k >= 8, "Input Primary is required"), say(k % 8 >= 4, "the matrix is Singular"), F.when(k > 0, F.concat(F.lit("\nDescription: first\nDescription:  case "), k.cast("string"), F.lit(" \n"))).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", F.array_join(names.diagnosis(log, F.col("doc_id") % 3, 2), "; ").alias("hints"), names.last_description(log).alias("description"))
+
+
 # Regions, reports and settings of a run
 
 NAMED = f"(SELECT volume_id, z, y, x, {ORGAN_SQL.format('{0}')} AS organ FROM vox WHERE {{0}} <> 0)"
