@@ -120,6 +120,11 @@ def _figures(ids: list, texts: list[str], own: np.ndarray, others: list[str], th
     return pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | values)
 
 
+def _ids(batch: pd.DataFrame) -> list[int | None]:
+    """Ids come as text, since whole numbers beside nulls would reach pandas as floats."""
+    return [None if i is None else int(i) for i in batch["doc_id"]]
+
+
 def _packed(texts: list[str]) -> np.ndarray:
     return packed([t.encode("utf-8", "surrogatepass") for t in texts])
 
@@ -129,7 +134,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, held = TaskContext.get().partitionId(), None
     edge = lambda i, t, end: pd.DataFrame({"part": [part], "end": [end], "doc_id": pd.array([i], "Int64"), "text": [t]})
     for batch in batches:
-        ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+        ids = _ids(batch)
         texts = [t if t is not None else "" for t in batch["text"]]
         if not ids:
             continue
@@ -154,7 +159,7 @@ def _aligned(frames: Iterator[pd.DataFrame], schema: str) -> Iterator[pd.DataFra
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, others = list(batch["text"]), list(batch["other"])
-        yield _figures([None if pd.isna(i) else int(i) for i in batch["doc_id"]], texts, _packed(texts), others, _packed(others))
+        yield _figures(_ids(batch), texts, _packed(texts), others, _packed(others))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     # Equal rows are told apart by their place, so that many of them are not one range.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("_hash"), F.col("_row")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     schema = f"{FIGURES}, part int, end string, text string"
     out = written(rows.mapInPandas(lambda batches: _aligned(_stream(batches), schema), schema), "ranges")
     done = out.where(F.col("end").isNull()).select(*[c.split()[0] for c in FIGURES.split(", ")])
@@ -174,7 +179,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     after = firsts.select("part", following.alias("next"))
     lasts = out.where(F.col("end") == "last").select("part", "doc_id", "text").join(after, "part")
     met = lasts.join(firsts.select(F.col("part").alias("next"), F.col("text").alias("other")), "next")
-    rows = done.unionByName(met.select("doc_id", "text", "other").mapInPandas(_pairs, FIGURES))
+    rows = done.unionByName(met.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "other").mapInPandas(_pairs, FIGURES))
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 

@@ -179,9 +179,10 @@ def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
 
 
 def collapse_batches(batches: Iterator[pd.DataFrame], ratio: int = RATIO, least: int = LEAST) -> Iterator[pd.DataFrame]:
-    """doc_id, n_words, runs and collapsed (the kept words, joined by one space) of batches with doc_id and raw."""
+    """doc_id, n_words, runs and collapsed (the kept words, joined by one space) of batches with doc_id (as text, since whole numbers
+    beside nulls would reach pandas as floats) and raw."""
     for batch in batches:
-        ids, at = batch["doc_id"].tolist(), 0
+        ids, at = [None if i is None or i != i else int(i) for i in batch["doc_id"]], 0
         for buffer, some in buffers(list(batch["raw"]), SAME):
             start, size, h = word_hashes(buffer)
             edge = np.concatenate([[0], np.searchsorted(start, 1 + np.cumsum([len(t) + 1 for t in some]))])
@@ -194,7 +195,9 @@ def collapse_batches(batches: Iterator[pd.DataFrame], ratio: int = RATIO, least:
                     parts.append(b" ".join([buffer[a:b] for a, b in zip(start[few].tolist(), (start[few] + size[few]).tolist(), strict=True)]))
                 out.append((ids[at + k], len(words[k]), [dict(zip(("start", "length", "period"), r, strict=True)) for r in runs.tolist()], b" ".join(parts)))
             at += len(some)
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "runs", "collapsed"]).astype({"doc_id": "Int64"})
+            made = pd.DataFrame([o[1:] for o in out], columns=["n_words", "runs", "collapsed"])
+            made.insert(0, "doc_id", pd.array([o[0] for o in out], "Int64"))
+            yield made
 
 
 COLLAPSED = f"doc_id long, n_words long, runs {RUNS}, collapsed binary"
@@ -205,11 +208,11 @@ def collapse(docs: DataFrame, ratio: int = RATIO, least: int = LEAST) -> DataFra
     if ratio < 4 or least < ratio:
         raise ValueError("a run has four periods or more, and no fewer words than periods")
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     return rows.mapInPandas(lambda batches: collapse_batches(batches, ratio, least), COLLAPSED)
 
 
-def planted(doc_id: int | None, raw: bytes | None) -> bytes | None:
+def planted(doc_id: int | str | None, raw: bytes | None) -> bytes | None:
     """The text as the query takes it: of one document in ten, by the checksum of its id, the words from a place on repeat."""
     if doc_id is None or raw is None:
         return raw
@@ -232,10 +235,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = lambda b: [None if i is None else int(i) for i in b["doc_id"].astype("Int64").astype(object).where(b["doc_id"].notna(), None)]
-        yield from collapse_batches(pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "raw": [planted(i, r) for i, r in zip(ids(b), b["raw"], strict=True)]}) for b in batches)
+        yield from collapse_batches(b.assign(raw=[planted(i, r) for i, r in zip(b["doc_id"], b["raw"], strict=True)]) for b in batches)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInPandas(made, COLLAPSED)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInPandas(made, COLLAPSED)
     return digests(rows)
 
 

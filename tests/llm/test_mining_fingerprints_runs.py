@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratavox.llm import fingerprints, hardneg, periodic
+from stratavox.llm import fingerprints, hardneg, periodic, substring_dedup
 from stratavox.llm.common import words_of
 from stratavox.llm.topk import quantised
 
@@ -238,3 +238,10 @@ def test_query_of_runs_on_a_given_table(spark):
 def test_long_constant_text():
     x = np.full(60_000, 7, np.uint64)
     assert periodic.runs_of([x])[0].tolist() == [[0, 60_000, 1]]
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = (1 << 62) + 1
+    df = docs(spark, [(big, "a b c d e f " * 30), (None, "x y"), (big + 2, "no " * 9)]).coalesce(1)
+    for got in (periodic.collapse(df), fingerprints.neighbours(df), substring_dedup.report(df)):
+        assert {r["doc_id"] for r in got.collect()} == {big, big + 2, None}
