@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GRID, INDEX, Grid, Grids, grid_from, keys_of, with_grid
+from ..shared import bound_batches
 from .planes import _cells, _keys, swept
 
 #: Voxels of a brick along an axis.
@@ -237,6 +238,7 @@ def interpolated(cells: dict[str, np.ndarray] | None, values: Sequence[str], s:
 
 
 def _met(points: DataFrame, blocks: DataFrame, on: Sequence[str], by: Sequence[str], values: Sequence[str], method: str, names: str, made: Callable) -> DataFrame:
+    bound_batches(points.sparkSession)
     rows = points.join(blocks, [*on, *BRICK], "left")
     columns = [c.split()[0] for c in names.split(", ")]
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GRID, INDEX, Grid, Grids, grid_from, keys_of, with_grid
+from ..shared import bound_batches
 
 
 def _cells(column: pa.Array, i: int) -> dict[str, np.ndarray | pa.Array]:
@@ -42,6 +43,7 @@ def swept(voxels: DataFrame, by: Sequence[str], grid: Grid | Grids, values: Sequ
     """
     by = list(by)
     keys_of(grid, by)
+    bound_batches(voxels.sparkSession)
     packed = voxels.select(*by, *[F.col(c).cast("int").alias(c) for c in INDEX], *values).groupBy(*by, "z").agg(F.collect_list(F.struct("y", "x", *values)).alias("_cells"))
     packed, _ = with_grid(packed, grid)
     kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}

@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a Python worker gets at a time, at least one row, where the session sets no bound of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows hold whole planes, bricks or files, so Arrow batches are bounded by bytes rather than rows; a bound that the session has
+    is kept."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where that is unset and all tasks run in this process."""
     context = spark.sparkContext

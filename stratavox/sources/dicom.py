@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..model import Grid, Grids, grid_from, with_grid
 from ..operators.planes import _cells
 from ..operators.transforms import inverted
+from ..shared import bound_batches
 from .series import stored
 
 SYNTAX = "1.2.840.10008.1.2.1"
@@ -144,6 +145,7 @@ def derived_series(voxels: DataFrame, grids: Grid | Grids, templates: DataFrame,
     voxels: by, z, y, x, v; templates: by, template (a file of the series that the values come from), frame (the identifier of the
     frame of reference that the volume is in now, or NULL). Values are stored as whole numbers of each volume's own slope.
     """
+    bound_batches(voxels.sparkSession)
     rows = stored(voxels.select(by, "z", "y", "x", "v"), [by])
     planes = rows.groupBy(by, F.col("z").cast("int").alias("z"), "slope", "intercept").agg(F.collect_list(F.struct("y", "x", F.col("stored").alias("v"))).alias("_cells"))
     planes, _ = with_grid(planes, grids)

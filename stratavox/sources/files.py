@@ -19,6 +19,7 @@ from ..functions.names import canonical
 from ..model import Grid
 from ..operators.overlap import first_come
 from ..operators.resample import resampled
+from ..shared import bound_batches
 
 HEADER = "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>"
 VOLUME = "path string, z int, y int, x int, v double"
@@ -74,6 +75,7 @@ def encode_nifti(values: np.ndarray, grid: Grid, compress: bool = True) -> bytes
 
 def read_nifti(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, voxels) of all NIfTI files under a path."""
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii*").load(path).select("path", "content")
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,6 +142,7 @@ def _dicom_row(path: str, content: bytes) -> dict[str, object]:
 
 def dicom_headers(spark: SparkSession, path: str) -> DataFrame:
     """path and the tags of every DICOM file under a path, as text; files that are not DICOM are left out."""
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

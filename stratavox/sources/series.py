@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import bound_batches
 from .files import dicom_headers, dicom_slices
 
 
@@ -95,6 +96,7 @@ def series_geometry(slices: DataFrame, by: Sequence[str] = ("series_uid",), leas
 def assembled(files: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(geometry: series_uid, n_slices, grid, problems; voxels: series_uid, z, y, x, v) of all series among files (path, content) whose
     headers are given. Series with problems have no voxels. A slice is decoded by one task, so large series are many tasks."""
+    bound_batches(files.sparkSession)
     slices = ordered_slices(headers)
     geometry = series_geometry(slices)
     fine = geometry.where(F.col("grid").isNotNull()).select("series_uid")
