@@ -37,3 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stratavox-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write as Parquet in as many buckets of ``key`` as the session has shuffle partitions, and read back: several joins on the key
+    then move the other side alone. The name is gone at once; the plan keeps files and buckets, which lie in the shared folder."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stratavox_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stratavox-{uuid.uuid4().hex}/{label}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
