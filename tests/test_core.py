@@ -16,6 +16,7 @@ from stratavox.model import Grid
 from stratavox.operators import candidates, gates, geometry, morphology, neighbourhood, optimise, overlap, regions, resample, surface
 from stratavox.operators import transforms as tf
 from stratavox.plans import batch, presets, queries, report
+from stratavox.shared import bucketed
 from stratavox.sources import files, phantom, series
 
 SF = "/root/testdata/sf0.001"
@@ -491,3 +492,16 @@ def test_batch_fits_within_the_mask_of_targets(spark):
             assert np.abs(np.array(r["matrix"]).reshape(4, 4) - np.eye(4))[:3, :3].max() < 0.02 and [s["stage"] for s in r["stages"]] == ["rigid", "affine"]
             assert list(r["stages"][-1]["matrix"]) == list(r["matrix"])
         assert {r["name"] for r in out.checks.collect()} >= {"final_metric[rigid]", "final_metric[affine]"}
+
+
+def test_a_bucketed_table_is_joined_without_moving_it(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2**62 + 1, "d")], "k long, v string")
+    table = bucketed(rows, "k", "t")
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    other = spark.range(3).withColumnRenamed("id", "k").hint("merge")
+    joined = table.join(other, "k")
+    assert sorted(r.v for r in joined.collect()) == ["a", "b"]
+    plan = joined._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan.split("== Physical Plan ==")[1]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stratavox_")]
+    assert not bucketed(rows.limit(0), "k", "t").count()
