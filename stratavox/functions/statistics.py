@@ -18,6 +18,12 @@ from .quantiles import beside, percentiles
 LEAST_NCC, LEAST_NMI, BINS, BINS_COARSE = 64, 256, 64, 48
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """v at ``digits`` decimals as SQL engines round doubles: scaled, rounded to a whole number (halves away from zero), scaled back.
+    ``F.round`` rounds the shortest decimal text instead, so 0.285, whose hundredfold is 28.499999999999996, becomes 0.29 there."""
+    return F.round(v * 10.0**digits, 0) / 10.0**digits
+
+
 def describe(df: DataFrame, by: Sequence[str], value: str = "v", mask: Column | None = None) -> DataFrame:
     """by, n, n_nonfinite, min, max (4 digits), p1, p99 (1 digit) of each volume, of the voxels for which the mask holds if there is one."""
     df = df if mask is None else df.where(mask)

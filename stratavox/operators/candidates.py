@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import BINS_COARSE, ncc, nmi
+from ..functions.statistics import BINS_COARSE, ncc, nmi, rounded
 from ..model import INDEX, Grid, Grids
 from .resample import resampled
 from .transforms import about, composed, rotation, translation
@@ -83,6 +83,6 @@ def ranked(scored: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     score = F.coalesce(F.col("score"), F.lit(float("-inf")))
     w = Window.partitionBy(*by).orderBy(score.desc(), "ordinal")
     whole = Window.partitionBy(*by)
-    rows = scored.withColumn("rank", F.row_number().over(w)).withColumn("lead", F.round(F.col("score") - F.lead("score").over(w), 4))
-    spread = F.when(F.count("score").over(whole) == F.count("*").over(whole), F.round(F.max("score").over(whole) - F.min("score").over(whole), 4))
+    rows = scored.withColumn("rank", F.row_number().over(w)).withColumn("lead", rounded(F.col("score") - F.lead("score").over(w), 4))
+    spread = F.when(F.count("score").over(whole) == F.count("*").over(whole), rounded(F.max("score").over(whole) - F.min("score").over(whole), 4))
     return rows.withColumn("ambiguous", (F.col("rank") == 1) & F.coalesce(F.col("lead") < AMBIGUOUS, F.lit(False))).withColumn("score_spread", spread)

@@ -497,7 +497,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(score,
 l AS (SELECT *, round(score - lead(score) OVER (PARTITION BY case_id ORDER BY rank), 4) AS lead, CASE WHEN count(score) OVER (PARTITION BY case_id) = count(*) OVER (PARTITION BY case_id) THEN round(max(score) OVER (PARTITION BY case_id) - min(score) OVER (PARTITION BY case_id), 4) END AS score_spread FROM r)
 SELECT case_id, ordinal, score, CAST(rank AS INT) AS rank, lead, rank = 1 AND coalesce(lead < 0.01, false) AS ambiguous, score_spread FROM l""")
 def init_candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
-    score = F.when(F.col("s_suppkey") % 9 != 0, F.round(F.col("s_acctbal") / 10000, 2))
+    score = F.when(F.col("s_suppkey") % 9 != 0, statistics.rounded(F.col("s_acctbal") / 10000, 2))
     rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("case_id"), F.col("s_suppkey").alias("ordinal"), score.alias("score"))
     return candidates.ranked(rows)
 

@@ -505,3 +505,12 @@ def test_a_bucketed_table_is_joined_without_moving_it(spark):
     assert "Bucketed: true" in plan.split("== Physical Plan ==")[1]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stratavox_")]
     assert not bucketed(rows.limit(0), "k", "t").count()
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    """Balances whose quotients are halves of the last digit only in decimal text: 2850 / 10000 is 0.28 by SQL. Rows: nation, key, balance."""
+    rows = [(0, i + 1, float(b)) for i, b in enumerate((2850, 2849.99, 2800, 2850, 5750, 5650, 1450, -1450, -50, 9999.99))]
+    spark.createDataFrame(rows, "s_nationkey int, s_suppkey long, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["init_candidate_ranking"](spark, str(tmp_path)).collect())
+    duckdb.sql(f"CREATE OR REPLACE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(queries.SQL["init_candidate_ranking"]).fetchall())
