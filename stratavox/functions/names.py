@@ -202,12 +202,16 @@ SINGULAR = ("singular", "error in metric")
 def diagnosis(log: Column, n_images: Column | int, n_metrics: Column | int) -> Column:
     """All hints that a log gives, in order: samples outside or none within the mask, images that do not fit the metrics, a penalty
     with a start transform, a metric that became invalid. NULL for a NULL log."""
-    said = lambda texts: F.exists(F.array(*map(F.lit, texts)), lambda t: F.contains(F.lower(log), t))
     number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("string")
     counts = F.concat(number(n_images), F.lit(" images for "), number(n_metrics), F.lit(" metrics: one image or one for each metric is needed"))
-    samples = F.when(said(OUTSIDE), "fields of view hardly overlap: improve the start, widen the mask or ask for fewer valid samples").when(said(SAMPLING), "no samples within the mask: ask for fewer or widen it")
-    found = F.array_compact(F.array(samples, F.when(said(COUNTS), counts), F.when(said(PENALTY), "a penalty does not work with a start transform given as such: chain it by a file"), F.when(said(SINGULAR), "the metric became invalid: check for values that are not finite, masks and overlap")))
-    return F.when(log.isNotNull(), found)
+
+    def hints(low: Column) -> Column:
+        said = lambda texts: reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in texts])
+        samples = F.when(said(OUTSIDE), "fields of view hardly overlap: improve the start, widen the mask or ask for fewer valid samples").when(said(SAMPLING), "no samples within the mask: ask for fewer or widen it")
+        return F.array_compact(F.array(samples, F.when(said(COUNTS), counts), F.when(said(PENALTY), "a penalty does not work with a start transform given as such: chain it by a file"), F.when(said(SINGULAR), "the metric became invalid: check for values that are not finite, masks and overlap")))
+
+    # The log is made and put in lower case once, as the lambda's variable, and not for each of the texts.
+    return F.when(log.isNotNull(), F.get(F.transform(F.array(F.lower(log)), hints), F.lit(0)))
 
 
 def last_description(log: Column) -> Column:

@@ -653,7 +653,9 @@ def log_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     say = lambda when, what: F.when(when, F.lit(f"\n{what}\n")).otherwise("")
     plain = F.regexp_replace(F.coalesce(F.lower("text"), F.lit("")), "singular|description:|samples|metric|input primary|should equal|advancedtransformadapter", "")
     log = F.concat(plain, say(k % 4 == 1, "Too many samples MAP outside moving image buffer: 9 / 10"), say(k % 4 == 2, "not enough Samples"), say(k >= 8, "Input Primary is required"), say(k % 8 >= 4, "the matrix is Singular"), F.when(k > 0, F.concat(F.lit("\nDescription: first\nDescription:  case "), k.cast("string"), F.lit(" \n"))).otherwise(""))
-    return table(spark, d, "documents").select("doc_id", F.array_join(names.diagnosis(log, F.col("doc_id") % 3, 2), "; ").alias("hints"), names.last_description(log).alias("description"))
+    # A column of its own, so that the log is made once and not for each use.
+    rows = table(spark, d, "documents").select("doc_id", log.alias("log"))
+    return rows.select("doc_id", F.array_join(names.diagnosis(F.col("log"), F.col("doc_id") % 3, 2), "; ").alias("hints"), names.last_description(F.col("log")).alias("description"))
 
 
 # Regions, reports and settings of a run

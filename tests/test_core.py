@@ -514,3 +514,14 @@ def test_scores_are_rounded_as_in_sql(spark, tmp_path):
     got = sorted(tuple(r) for r in queries.QUERIES["init_candidate_ranking"](spark, str(tmp_path)).collect())
     duckdb.sql(f"CREATE OR REPLACE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     assert got == sorted(duckdb.sql(queries.SQL["init_candidate_ranking"]).fetchall())
+
+
+def test_a_log_is_made_once(spark, tmp_path):
+    """Texts that name the phrases themselves; the plan makes the log once and puts it in lower case once, however many texts are looked for."""
+    rows = [(i, None if i % 7 == 0 else f"Too many SAMPLES {i}\nSingular Description: x\nMetric éİ") for i in range(48)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES["log_diagnosis"](spark, str(tmp_path))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(duckdb.sql(queries.SQL["log_diagnosis"]).fetchall(), key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("lower(") == 2
