@@ -12,10 +12,11 @@ documents with one run hash share it. So the first one of a hash stands for all,
 
 Near copies, by min-hash: a window of 50 words of similarity 0.8 with one word changed, put in or left out inside has at least 20
 equal shingles in a row. Windows with equal value and equal context of 13 shingles to the left or to the right are a group, and
-each is joined with the group's two pivots (smallest doc_id, smallest hash of it), not with all others. Where the intervals
-intersect in 46 shingles or more on the diagonal c - c', both stretches are fetched and verified: segments of matching shingles
-of 50 words or more whose sets have a Jaccard similarity of 0.8, and in any other segment all windows of 50 words that have it.
-Texts with equal words are one document for all that.
+each is first joined with the group's two pivots (smallest doc_id, smallest hash of it). Then every two windows of a group that
+passages found so far do not hold in one class are joined too, but for those whose neighbouring shingles rule out a passage. Where
+the intervals intersect in 46 shingles or more on the diagonal c - c', both stretches are fetched and verified: segments of matching
+shingles of 50 words or more whose sets have a Jaccard similarity of 0.8, and in any other segment all windows of 50 words that have
+it. Texts with equal words are one document for all that.
 
 Defined results: null, empty and short texts (under 50 words) hold no passage and are classes of their own. A document is an id
 and a text: equal rows are one document, and a passage counts if another document has it. Documents are in the order of their ids;
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,6 +55,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Fetched intervals are widened to multiples of this; ids and spans (two or three numbers each) up to which they are broadcast.
 STEP, BROADCAST_ROWS = 64, 1_000_000
+#: Places (shingles from c, first, last and first that is far) whose shingles say whether two windows may share a passage; pairs of a
+#: group up to which these are compared as arrays, and beyond which windows are joined on single ones; rounds of pivots before that.
+NEAR, FAR, PAIRS, ROUNDS = (14, 23), 18, 20_000, 2
 
 
 def compact_windows(h: np.ndarray, valid: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
@@ -194,14 +199,22 @@ def still_open(groups: DataFrame, spans: DataFrame) -> DataFrame:
     return groups.join(spans, held, "left_anti")
 
 
-def candidates(groups: DataFrame, left: DataFrame) -> DataFrame:
+def candidates(groups: DataFrame, left: DataFrame, turn: int = 0) -> DataFrame:
     """a, b, d, low, high: shingles low to high of document a may repeat low - d to high - d of document b, of smaller id. Each
-    window of ``left`` meets its group's two pivots, which are aggregated in the map tasks first."""
+    window of ``left`` meets its group's two pivots, which are aggregated in the map tasks first: at first that of the smallest id and
+    that of the smallest hash, at a later turn those of the smallest and the greatest of another hash."""
     row = F.struct("doc_id", "c", "low", "high")
-    turned = F.struct(F.xxhash64("doc_id").alias("turn"), "doc_id", "c", "low", "high")
-    pivots = groups.groupBy("group").agg(F.min(row).alias("p"), F.min(turned).alias("q"))
-    pivots = pivots.select("group", F.explode(F.array("p", F.struct(*[F.col(f"q.{n}").alias(n) for n in ("doc_id", "c", "low", "high")]))).alias("p"))
-    rows = left.join(pivots, "group").where(F.col("doc_id") != F.col("p.doc_id"))
+    hashed = F.xxhash64("doc_id", F.lit(turn)) if turn else F.xxhash64("doc_id")
+    turned = F.struct(hashed.alias("turn"), "doc_id", "c", "low", "high")
+    bare = lambda q: F.struct(*[F.col(f"{q}.{n}").alias(n) for n in ("doc_id", "c", "low", "high")])
+    pivots = groups.groupBy("group").agg((F.max(turned) if turn else F.min(row)).alias("p"), F.min(turned).alias("q"))
+    pivots = pivots.select("group", F.explode(F.array(bare("p"), bare("q"))).alias("p"))
+    return aligned(left.join(pivots, "group"))
+
+
+def aligned(rows: DataFrame) -> DataFrame:
+    """a, b, d, low, high of rows of a window (doc_id, c, low, high) and another, p, that intersect in a passage or more."""
+    rows = rows.where(F.col("doc_id") != F.col("p.doc_id"))
     reach = F.least(F.col("c") - F.col("low"), F.col("p.c") - F.col("p.low")), F.least(F.col("high") - F.col("c"), F.col("p.high") - F.col("p.c"))
     rows = rows.where(reach[0] + reach[1] + 1 >= LEAST)
     later = F.col("doc_id") > F.col("p.doc_id")
@@ -210,6 +223,82 @@ def candidates(groups: DataFrame, left: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b", "d").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def unsettled(groups: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFrame:
+    """group, doc_id, c, low, high, label, other, large of groups in which passages found so far do not hold all windows in one class:
+    label is the class of a window whose place c is in a passage, else null; other says that it is not the group's most frequent one;
+    large that the group has more than PAIRS pairs of any window and such an other one."""
+    classes = components(edges).select(F.col("id").alias("doc_id"), "component")
+    held = written(_by_document(spans).join(classes, "doc_id"), "held")
+    inside = F.exists("spans", lambda s: (F.col("c") >= s["start"]) & (F.col("c") <= s["end"] - WIDTH))
+    rows = groups.join(_small(held, held.count()), "doc_id", "left").select("group", "doc_id", "c", "low", "high", F.when(inside, F.col("component")).alias("label"))
+    same = Window.partitionBy("group")
+    rows = rows.select("*", F.count("*").over(same).alias("n"), F.count("label").over(same).alias("held"), F.min("label").over(same).alias("_first"), F.max("label").over(same).alias("_last"))
+    rows = rows.where("held < n or _first != _last").withColumn("_n", F.count("label").over(Window.partitionBy("group", "label")))
+    most = F.max(F.when(F.col("label").isNotNull(), F.struct("_n", "label"))).over(same)
+    rows = rows.withColumn("other", F.coalesce(F.col("label") != most["label"], F.lit(True)))
+    large = F.col("n") * F.sum(F.col("other").cast("int")).over(same) > PAIRS
+    return rows.select("group", "doc_id", "c", "low", "high", "label", "other", large.alias("large"))
+
+
+def near_codes(code: np.ndarray, s: np.ndarray, c: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(near, all): codes of which two windows that share a passage have one in common, near of the one and all of the other.
+
+    A run of 46 shingles that holds c reaches 23 beyond it on one side. Where both windows have no shingle twice, a similar run
+    misses at most five of them, so of six on that side one is shared: those FAR. Else it misses at most nine, so one of ten. The
+    lowest bit tells the other four apart, which only the second case reads; 0 stands for ten that are not distinct.
+    """
+    part = s[low : high + 1]
+    tight = len(distinct(part)) == len(part)
+    near = [np.zeros(0, np.int32)]
+    for there, step in ((c - low, -1), (high - c, 1)):
+        if there >= NEAR[1]:
+            at = c + step * np.arange(NEAR[0], NEAR[1] + 1)
+            if tight:
+                near.append(code[at] | (np.arange(NEAR[0], NEAR[1] + 1) < FAR).astype(np.int32))
+            else:
+                near.append(code[at] if len(distinct(s[at])) == len(at) else np.zeros(1, np.int32))
+    mine = code[low : high + 1]
+    return np.unique(np.concatenate(near)), np.unique(np.concatenate([[0], mine] if tight else [[0], mine, mine | 1])).astype(np.int32)
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            out = []
+            some = batch.iloc[at : at + 500]
+            for doc, s, asked in zip(some["doc_id"], batch_shingles(list(some["raw"])), some["asked"], strict=True):
+                code = np.maximum((mixed(s) >> np.uint64(34)).astype(np.int32), 1) << 1
+                for place, group, label in np.asarray(asked, np.int64).reshape(-1, 3).tolist():
+                    c = place >> 32
+                    low, high = c - (place >> 6 & 63), c + (place & 63)
+                    near, whole = near_codes(code, s, c, low, high)
+                    out.append((group, doc, c, low, high, label, bool(place >> 14 & 1), bool(place >> 13 & 1), near, whole if place >> 12 & 1 else None))
+            yield pd.DataFrame(out, columns=["group", "doc_id", "c", "low", "high", "label", "open", "large", "near", "all"])
+
+
+def others(single: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:
+    """The candidates, as of ``candidates``, of each other window of ``rows`` (of ``unsettled``) and every window of its group that may
+    share a passage with it, but for two that are held in one class, and for what ``done`` (candidates) has."""
+    bits = [F.shiftleft(F.col(n).cast("long"), k) for n, k in (("c", 32), ("large", 13), ("other", 12))]
+    place = reduce(Column.bitwiseOR, [*bits, F.shiftleft(F.col("label").isNull().cast("long"), 14), F.shiftleft((F.col("c") - F.col("low")).cast("long"), 6), (F.col("high") - F.col("c")).cast("long")])
+    asked = rows.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(place, "group", F.coalesce("label", F.lit(0).cast("long"))))).alias("asked"))
+    found = single.join(written(asked, "asked_of"), "doc_id").mapInPandas(_stretches, "group long, doc_id long, c int, low int, high int, label long, open boolean, large boolean, near array<int>, all array<int>")
+    found = written(found, "stretches")
+    window = F.struct("doc_id", "c", "low", "high", F.when(~F.col("open"), F.col("label")).alias("label"))
+
+    def side(codes: str, name: str) -> DataFrame:
+        some = found.where(F.col(codes).isNotNull())
+        few = some.where(~F.col("large")).select(F.col("group").alias("key"), window.alias(name), codes)
+        many = some.where("large").select("group", window.alias(name), F.explode(codes).alias("code"))
+        return few.unionByName(many.select(F.xxhash64("group", "code").alias("key"), name, F.lit(None).cast("array<int>").alias(codes)))
+
+    met = side("all", "w").join(side("near", "p"), "key").where(F.coalesce(F.col("w.label") != F.col("p.label"), F.lit(True)) & F.coalesce(F.arrays_overlap("near", "all"), F.lit(True)))
+    pairs = aligned(met.select("w.doc_id", "w.c", "w.low", "w.high", "p")).alias("n")
+    have = done.alias("o")
+    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in ("a", "b", "d")] + [F.col("n.low") >= F.col("o.low"), F.col("n.high") <= F.col("o.high")]
+    return pairs.join(have, reduce(Column.__and__, on), "left_anti")
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """run, doc_id, p: the hash and place of every run that lies in a window asked and holds its place."""
     for batch in batches:
@@ -407,9 +496,21 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     groups = written(grouped(met), "groups")
     edges, spans = verbatim(single, met, groups)
     spans = written(spans, "spans")
-    near = verified(single, written(candidates(groups, still_open(groups, spans)), "candidates"))
+    pairs = written(candidates(groups, still_open(groups, spans)), "candidates")
+    edges, spans = with_near(edges, spans, verified(single, pairs))
+    rows = written(unsettled(groups, spans, edges), "unsettled")
+    for turn in range(1, ROUNDS + 1):  # windows that no passage holds meet two more pivots first, so that few pairs are left
+        more = written(candidates(rows, rows.where("label is null"), turn), "candidates")
+        edges, spans = with_near(edges, spans, verified(single, more))
+        pairs, rows = pairs.union(more), written(unsettled(rows, spans, edges), "unsettled")
+    edges, spans = with_near(edges, spans, verified(single, written(others(single, rows, pairs), "others")))
+    return members, copies, edges, spans, shared
+
+
+def with_near(edges: DataFrame, spans: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges and spans with those of verified passages."""
     spans = spans.select("doc_id", "start", "end", "first").union(near.select("a", "start", "end", F.lit(False))).union(near.select("b", "there", "there_end", F.lit(True)))
-    return members, copies, written(edges.union(near.select("a", "b")).distinct(), "linked"), written(spans.distinct(), "spans"), shared
+    return written(edges.union(near.select("a", "b")).distinct(), "linked"), written(spans.distinct(), "spans")
 
 
 def verified(single: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -775,3 +775,34 @@ def test_scan_of_many_scattered_runs_is_linear():
     rising = [(k, k + 1, 2.0 if k % 2 == 0 else -1.0) for k in range(400_000)]
     assert toxicity.passages(rising) == [(200_001.0, 0, 399_999)]
     assert time.perf_counter() - began < 5
+
+
+def test_every_pair_of_windows_of_a_group_may_link(spark):
+    """Pairs of documents that share a passage of 52 words with one word changed in its midst; 24 documents of smaller id have the words
+    before that one, 24 those behind it, so all the pair's groups have their pivots elsewhere. All links of windows of one group are
+    found."""
+    r = random.Random(3)
+    some = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    halves = [(some(26), some(25)) for _ in range(6)]
+    texts = [some(40) + half + some(40) for both in halves for half in both for _ in range(24)]
+    rivals = len(texts)
+    texts += [some(30) + a + some(1) + b + some(30) for a, b in halves for _ in range(2)]
+    df = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    met = substring_dedup.written(substring_dedup.together(substring_dedup._raw(df).mapInPandas(substring_dedup._windows, substring_dedup.WINDOWS), "key"), "met")
+    sets = [substring_dedup.batch_shingles([" ".join(t).encode()])[0].tolist() for t in texts]
+    by_group = {}
+    for g in substring_dedup.grouped(met).collect():
+        by_group.setdefault(g["group"], []).append(g)
+    links = set()
+    for rows in by_group.values():
+        for x in rows:
+            for y in rows:
+                low, high, d = max(x["low"], y["low"] + x["c"] - y["c"]), min(x["high"], y["high"] + x["c"] - y["c"]), x["c"] - y["c"]
+                for i in range(max(low, x["c"] - 45), min(high - 45, x["c"]) + 1) if x["doc_id"] > y["doc_id"] else []:
+                    p, q = set(sets[x["doc_id"]][i : i + 46]), set(sets[y["doc_id"]][i - d : i - d + 46])
+                    if 5 * len(p & q) >= 4 * len(p | q):
+                        links.add((x["doc_id"], y["doc_id"]))
+    assert len(links) > 3
+    got = {row["doc_id"]: row["class_id"] for row in substring_dedup.report(df).collect()}
+    assert [(a, b) for a, b in links if got[a] != got[b]] == []
+    assert all(got[i] == i for i in range(rivals))
