@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Grid, Grids
 from ..operators.neighbourhood import gaussian
+from ..shared import written
 from . import quantiles
 
 # Bounds in Hounsfield units.
@@ -44,6 +45,12 @@ def percentiles_for(modality: str | None) -> tuple[float, float] | None:
     return CLIP_PERCENTILES.get((modality or "").upper(), CLIP_OTHER)
 
 
+def measured(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """df with the figures of its volumes, one row each. Written first, they have a known size: while they are small Spark broadcasts
+    them, where it would deal all rows by volume, a few volumes to a few tasks, on the size that it guesses of an aggregate."""
+    return df.join(written(stats, "stats"), list(by), "left")
+
+
 def clip_bounds(df: DataFrame, by: Sequence[str], value: str = "v", clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | None = None) -> DataFrame:
     """by, low, high: explicit bounds win over a named window, and both over percentiles of the finite values.
 
@@ -64,9 +71,8 @@ def clip_bounds(df: DataFrame, by: Sequence[str], value: str = "v", clip: tuple[
 
 
 def clipped(df: DataFrame, bounds: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
-    """df with value clipped to the bounds of its volume; a volume without bounds keeps its values. The bounds have one row a
-    volume, so Spark broadcasts them while they are small."""
-    rows = df.join(bounds.select(*by, F.col("low").alias("_low"), F.col("high").alias("_high")), list(by), "left")
+    """df with value clipped to the bounds of its volume; a volume without bounds keeps its values."""
+    rows = measured(df, bounds.select(*by, F.col("low").alias("_low"), F.col("high").alias("_high")), by)
     return rows.withColumn(value, F.when(F.col("_low").isNull(), F.col(value)).otherwise(clip_column(value))).drop("_low", "_high")
 
 
@@ -79,7 +85,7 @@ def min_max(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     v = F.when(finite(F.col(value)), F.col(value))
     stats = df.groupBy(*by).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
     range_ = F.col("_high") - F.col("_low")
-    return df.join(stats, list(by), "left").withColumn(value, F.when(range_ < FLAT, F.col(value)).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
+    return measured(df, stats, by).withColumn(value, F.when(range_ < FLAT, F.col(value)).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
 
 
 def z_score(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
@@ -87,7 +93,7 @@ def z_score(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     v = F.when(finite(F.col(value)), F.col(value))
     stats = df.groupBy(*by).agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"))
     flat = F.coalesce(F.col("_sd"), F.lit(0.0)) < FLAT
-    return df.join(stats, list(by), "left").withColumn(value, F.when(flat, F.col(value)).otherwise((F.col(value) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
+    return measured(df, stats, by).withColumn(value, F.when(flat, F.col(value)).otherwise((F.col(value) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
 
 
 def repaired(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
@@ -95,7 +101,7 @@ def repaired(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     v = F.when(finite(F.col(value)), F.col(value))
     stats = df.groupBy(*by).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
     fixed = F.when(finite(F.col(value)), F.col(value)).when(F.col(value) == float("inf"), F.col("_high")).otherwise(F.col("_low"))
-    return df.join(stats, list(by), "left").withColumn(value, F.coalesce(fixed, F.lit(0.0))).drop("_low", "_high")
+    return measured(df, stats, by).withColumn(value, F.coalesce(fixed, F.lit(0.0))).drop("_low", "_high")
 
 
 def feature_normalised(df: DataFrame, by: Sequence[str], value: str = "v", modality: str | None = None) -> DataFrame:
@@ -105,7 +111,7 @@ def feature_normalised(df: DataFrame, by: Sequence[str], value: str = "v", modal
     rows = df.withColumn(value, v)
     stats = rows.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     range_ = F.col("_high") - F.col("_low")
-    return rows.join(stats, list(by), "left").withColumn(value, F.when(range_ < FLAT, 0.0).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
+    return measured(rows, stats, by).withColumn(value, F.when(range_ < FLAT, 0.0).otherwise((F.col(value) - F.col("_low")) / range_)).drop("_low", "_high")
 
 
 def prepared(df: DataFrame, by: Sequence[str], value: str = "v", *, modality: str | None = None, clip: tuple[float, float] | None = None, window: str | None = None, percentiles: tuple[float, float] | str | None = "auto", smooth_mm: float | None = None, grid: Grid | Grids | None = None, normalize: str = "none") -> DataFrame:

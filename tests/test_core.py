@@ -525,3 +525,14 @@ def test_a_log_is_made_once(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(duckdb.sql(queries.SQL["log_diagnosis"]).fetchall(), key=str)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1 and plan.count("lower(") == 2
+
+
+def test_figures_of_volumes_do_not_deal_the_rows(spark, tmp_path):
+    """Few volumes with many rows: what is joined with their figures stays where it is, with the results of the SQL."""
+    rows = spark.range(20_000).selectExpr("id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "TIMESTAMP '2020-01-01' AS l_shipdate", "IF(id % 2 = 0, 'F', 'O') AS l_linestatus", "CAST(id AS DOUBLE) AS l_extendedprice")
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = queries.QUERIES["feature_normalise"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    duckdb.sql(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(duckdb.sql(queries.SQL["feature_normalise"]).fetchall())
