@@ -12,8 +12,10 @@ documents with one run hash share it. So the first one of a hash stands for all,
 
 Near copies, by min-hash: a window of 50 words of similarity 0.8 with one word changed, put in or left out inside has at least 20
 equal shingles in a row. Windows with equal value and equal context of 13 shingles to the left or to the right are a group, and
-each is first joined with the group's two pivots (smallest doc_id, smallest hash of it). Then every two windows of a group that
-passages found so far do not hold in one class are joined too, but for those whose neighbouring shingles rule out a passage. Where
+each is first joined with the group's two pivots (smallest doc_id, smallest hash of it). Then the windows of a group that passages
+found so far do not hold in one class are joined by rare shingles: two similar runs of 46 have one of their first n // 5 + 1 distinct
+shingles in common, in any order of all shingles; in ours, those that most windows of the group have are last. By these windows meet
+two pivots once more, and at last all others, so texts that share but the line that makes the group do not meet. Where
 the intervals intersect in 46 shingles or more on the diagonal c - c', both stretches are fetched and verified: segments of matching
 shingles of 50 words or more whose sets have a Jaccard similarity of 0.8, and in any other segment all windows of 50 words that have
 it. Texts with equal words are one document for all that.
@@ -55,9 +57,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Fetched intervals are widened to multiples of this; ids and spans (two or three numbers each) up to which they are broadcast.
 STEP, BROADCAST_ROWS = 64, 1_000_000
-#: Places (shingles from c, first, last and first that is far) whose shingles say whether two windows may share a passage; pairs of a
-#: group up to which these are compared as arrays, and beyond which windows are joined on single ones; rounds of pivots before that.
-NEAR, FAR, PAIRS, ROUNDS = (14, 23), 18, 20_000, 2
+#: Windows of a group beyond which its shingles are counted, in so many parts of them at most.
+COUNTED = 32
+#: Rounds in which windows meet pivots by rare shingles, before all that are left meet each other.
+ROUNDS = 1
 
 
 def compact_windows(h: np.ndarray, valid: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
@@ -184,12 +187,12 @@ def together(rows: DataFrame, key: str) -> DataFrame:
 
 def grouped(met: DataFrame) -> DataFrame:
     """group, doc_id, c, low, high, exact: windows by value and context; low and high are the window's ends near c, exact says
-    whether the window is one of the first function."""
+    whether the window is one of the first function. The lowest bit of a group says on which side of c its context lies."""
     sides = [F.struct(F.lit(i).alias("side"), F.col(n).alias("context")) for i, n in enumerate(("left", "right"))]
     rows = met.withColumn("s", F.explode(F.array(*sides))).where("s.context != 0")
     exact = F.col("key").bitwiseAND(HASHES - 1) == 0
     low, high = F.col("c") - F.floor(F.col("span") / 64).cast("int"), F.col("c") + F.col("span") % 64
-    return together(rows.select(F.xxhash64("key", "s.side", "s.context").alias("group"), "doc_id", "c", low.alias("low"), high.cast("int").alias("high"), exact.alias("exact")), "group")
+    return together(rows.select(F.xxhash64("key", "s.context").bitwiseAND(-2).bitwiseOR(F.col("s.side").cast("long")).alias("group"), "doc_id", "c", low.alias("low"), high.cast("int").alias("high"), exact.alias("exact")), "group")
 
 
 def still_open(groups: DataFrame, spans: DataFrame) -> DataFrame:
@@ -224,41 +227,41 @@ def aligned(rows: DataFrame) -> DataFrame:
 
 
 def unsettled(groups: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFrame:
-    """group, doc_id, c, low, high, label, other, large of groups in which passages found so far do not hold all windows in one class:
-    label is the class of a window whose place c is in a passage, else null; other says that it is not the group's most frequent one;
-    large that the group has more than PAIRS pairs of any window and such an other one."""
+    """The rows of groups in which passages found so far do not hold all windows in one class, with n, the windows of the group, label,
+    the class of a window whose place c is in a passage, else null, and other, which says that it is not the group's most frequent one."""
     classes = components(edges).select(F.col("id").alias("doc_id"), "component")
     held = written(_by_document(spans).join(classes, "doc_id"), "held")
     inside = F.exists("spans", lambda s: (F.col("c") >= s["start"]) & (F.col("c") <= s["end"] - WIDTH))
-    rows = groups.join(_small(held, held.count()), "doc_id", "left").select("group", "doc_id", "c", "low", "high", F.when(inside, F.col("component")).alias("label"))
+    rows = groups.join(_small(held, held.count()), "doc_id", "left").select(*groups.columns, F.when(inside, F.col("component")).alias("label"))
     same = Window.partitionBy("group")
     rows = rows.select("*", F.count("*").over(same).alias("n"), F.count("label").over(same).alias("held"), F.min("label").over(same).alias("_first"), F.max("label").over(same).alias("_last"))
     rows = rows.where("held < n or _first != _last").withColumn("_n", F.count("label").over(Window.partitionBy("group", "label")))
     most = F.max(F.when(F.col("label").isNotNull(), F.struct("_n", "label"))).over(same)
-    rows = rows.withColumn("other", F.coalesce(F.col("label") != most["label"], F.lit(True)))
-    large = F.col("n") * F.sum(F.col("other").cast("int")).over(same) > PAIRS
-    return rows.select("group", "doc_id", "c", "low", "high", "label", "other", large.alias("large"))
+    other = F.coalesce(F.col("label") != most["label"], F.lit(True))
+    return rows.select(*groups.columns, "n", "label", other.alias("other"))
 
 
-def near_codes(code: np.ndarray, s: np.ndarray, c: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """(near, all): codes of which two windows that share a passage have one in common, near of the one and all of the other.
+def rare(codes: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of windows, a row each of codes (of the shingles from c - 45 to c + 45) and of their places in one order of all codes: whether a
+    shingle is one of the first of a run of 46 that holds c and lies in the window: of its n distinct codes the first n // 5 + 1.
 
-    A run of 46 shingles that holds c reaches 23 beyond it on one side. Where both windows have no shingle twice, a similar run
-    misses at most five of them, so of six on that side one is shared: those FAR. Else it misses at most nine, so one of ten. The
-    lowest bit tells the other four apart, which only the second case reads; 0 stands for ten that are not distinct.
+    A run that is similar to one of n distinct codes misses at most n // 5 of them. So of the first n // 5 + 1 of both, in any common
+    order, one is the same.
     """
-    part = s[low : high + 1]
-    tight = len(distinct(part)) == len(part)
-    near = [np.zeros(0, np.int32)]
-    for there, step in ((c - low, -1), (high - c, 1)):
-        if there >= NEAR[1]:
-            at = c + step * np.arange(NEAR[0], NEAR[1] + 1)
-            if tight:
-                near.append(code[at] | (np.arange(NEAR[0], NEAR[1] + 1) < FAR).astype(np.int32))
-            else:
-                near.append(code[at] if len(distinct(s[at])) == len(at) else np.zeros(1, np.int32))
-    mine = code[low : high + 1]
-    return np.unique(np.concatenate(near)), np.unique(np.concatenate([[0], mine] if tight else [[0], mine, mine | 1])).astype(np.int32)
+    column, start = np.arange(2 * LEAST - 1), np.arange(LEAST)
+    inside = (column >= low[:, None]) & (column <= high[:, None])
+    key = np.sort(np.where(inside, codes, -1 - column), axis=1)
+    whole = (start >= low[:, None]) & (start + LEAST - 1 <= high[:, None])
+    runs = np.lib.stride_tricks.sliding_window_view(order, LEAST, axis=1)
+    last = np.where(whole, np.partition(runs, LEAST // 5, axis=2)[:, :, LEAST // 5], -1)
+    most = np.concatenate([np.maximum.accumulate(last, 1), np.maximum.accumulate(last[:, :0:-1], 1)[:, ::-1]], axis=1)
+    mark = inside & (order <= most)
+    for i in np.flatnonzero((key[:, 1:] == key[:, :-1]).any(1)):  # a code occurs twice
+        mark[i] = False
+        for s in np.flatnonzero(whole[i]):
+            at = s + np.unique(order[i, s : s + LEAST], return_index=True)[1]
+            mark[i, at[: len(at) // 5 + 1]] = True
+    return mark
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,33 +270,69 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             some = batch.iloc[at : at + 500]
             for doc, s, asked in zip(some["doc_id"], batch_shingles(list(some["raw"])), some["asked"], strict=True):
-                code = np.maximum((mixed(s) >> np.uint64(34)).astype(np.int32), 1) << 1
-                for place, group, label in np.asarray(asked, np.int64).reshape(-1, 3).tolist():
+                code = (mixed(s) >> np.uint64(33)).astype(np.int32)
+                for place, group in np.asarray(asked, np.int64).reshape(-1, 2).tolist():
                     c = place >> 32
                     low, high = c - (place >> 6 & 63), c + (place & 63)
-                    near, whole = near_codes(code, s, c, low, high)
-                    out.append((group, doc, c, low, high, label, bool(place >> 14 & 1), bool(place >> 13 & 1), near, whole if place >> 12 & 1 else None))
-            yield pd.DataFrame(out, columns=["group", "doc_id", "c", "low", "high", "label", "open", "large", "near", "all"])
-
-
-def others(single: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:
-    """The candidates, as of ``candidates``, of each other window of ``rows`` (of ``unsettled``) and every window of its group that may
-    share a passage with it, but for two that are held in one class, and for what ``done`` (candidates) has."""
-    bits = [F.shiftleft(F.col(n).cast("long"), k) for n, k in (("c", 32), ("large", 13), ("other", 12))]
-    place = reduce(Column.bitwiseOR, [*bits, F.shiftleft(F.col("label").isNull().cast("long"), 14), F.shiftleft((F.col("c") - F.col("low")).cast("long"), 6), (F.col("high") - F.col("c")).cast("long")])
-    asked = rows.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(place, "group", F.coalesce("label", F.lit(0).cast("long"))))).alias("asked"))
-    found = single.join(written(asked, "asked_of"), "doc_id").mapInPandas(_stretches, "group long, doc_id long, c int, low int, high int, label long, open boolean, large boolean, near array<int>, all array<int>")
-    found = written(found, "stretches")
-    window = F.struct("doc_id", "c", "low", "high", F.when(~F.col("open"), F.col("label")).alias("label"))
-
-    def side(codes: str, name: str) -> DataFrame:
-        some = found.where(F.col(codes).isNotNull())
-        few = some.where(~F.col("large")).select(F.col("group").alias("key"), window.alias(name), codes)
-        many = some.where("large").select("group", window.alias(name), F.explode(codes).alias("code"))
-        return few.unionByName(many.select(F.xxhash64("group", "code").alias("key"), name, F.lit(None).cast("array<int>").alias(codes)))
-
-    met = side("all", "w").join(side("near", "p"), "key").where(F.coalesce(F.col("w.label") != F.col("p.label"), F.lit(True)) & F.coalesce(F.arrays_overlap("near", "all"), F.lit(True)))
-    pairs = aligned(met.select("w.doc_id", "w.c", "w.low", "w.high", "p")).alias("n")
+                    out.append((group, doc, c, low, high, code[low : high + 1]))
+            yield pd.DataFrame(out, columns=["group", "doc_id", "c", "low", "high", "codes"])
+
+
+def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["codes", "common", "times"]
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            some = batch.iloc[at : at + 500]
+            left, right = (LEAST - 1 + (some[n] - some["c"]).to_numpy() for n in ("low", "high"))
+            codes = np.full((len(some), 2 * LEAST - 1), -1, np.int64)
+            order = np.full(codes.shape, 1 << 62, np.int64)
+            for i, (side, code, common, times) in enumerate(zip(some["group"] & 1, *(some[n] for n in names), strict=True)):
+                shared = code[LEAST - 1 - left[i] :][: CONTEXT + 1] if side else code[: LEAST - left[i]][-CONTEXT - 1 :]
+                here = slice(left[i], right[i] + 1)
+                codes[i, here], order[i, here] = code, code + (np.isin(code, shared).astype(np.int64) << 60)
+                if common is not None and len(common):
+                    k = np.minimum(np.searchsorted(common, code), len(common) - 1)
+                    order[i, here] += np.where(common[k] == code, times[k], 0).astype(np.int64) << 32
+            mark = rare(codes, order, left, right)
+            yield some.drop(columns=names).assign(rare=[np.unique(c[m]).astype(np.int32) for c, m in zip(codes, mark, strict=True)])
+
+
+def stretches(single: DataFrame, rows: DataFrame) -> DataFrame:
+    """group, doc_id, c, low, high, codes (of the shingles low to high) of windows."""
+    place = reduce(Column.bitwiseOR, [F.shiftleft(F.col("c").cast("long"), 32), F.shiftleft((F.col("c") - F.col("low")).cast("long"), 6), (F.col("high") - F.col("c")).cast("long")])
+    asked = rows.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(place, "group"))).alias("asked"))
+    return single.join(written(asked, "asked_of"), "doc_id").mapInPandas(_stretches, "group long, doc_id long, c int, low int, high int, codes array<int>")
+
+
+def rarest(single: DataFrame, rows: DataFrame) -> DataFrame:
+    """group, doc_id, c, low, high, large, rare (codes as of ``rare``) of the windows ``rows`` (of ``unsettled``). The order of
+    codes ends with those of the group's context, and in a large group, of more than COUNTED windows, with those that many windows
+    have, the most frequent last; so a line that many texts have is no place where its windows meet."""
+    made = "group long, doc_id long, c int, low int, high int, large boolean, rare array<int>"
+    none = F.lit(None).cast("array<int>")
+    small = stretches(single, rows.where(F.col("n") <= COUNTED)).withColumns({"large": F.lit(False), "common": none, "times": none})
+    large = written(stretches(single, rows.where(F.col("n") > COUNTED)), "stretches")
+    counts = large.select("group", F.explode(F.array_distinct("codes")).alias("code")).groupBy("group", "code").count()
+    sizes = rows.where(F.col("n") > COUNTED).select("group", "n").distinct()
+    common = counts.where("count > 3").join(sizes, "group").where(F.col("count") * COUNTED >= F.col("n"))
+    common = common.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("code", F.col("count").cast("int").alias("times")))).alias("common"))
+    large = large.withColumn("large", F.lit(True)).join(common.select("group", F.col("common.code").alias("common"), F.col("common.times").alias("times")), "group", "left")
+    return written(small.mapInPandas(_rare, made).union(large.mapInPandas(_rare, made)), "rarest")
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """The rows (of ``rarest``) by key: a group, or of a large group each rare code of a window, whose array of them is null then."""
+    many = rows.where("large").withColumn("code", F.explode("rare")).withColumns({"key": F.xxhash64("group", "code"), "rare": F.lit(None).cast("array<int>")})
+    return rows.where("not large").withColumn("key", F.col("group")).unionByName(many.drop("code"))
+
+
+def others(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """The candidates, as of ``candidates``, of each other window of ``rows`` (of ``meetings``) and every window of its group with which
+    it has a rare code in common, but for two that are held in one class, and for what ``done`` (candidates) has."""
+    row = F.struct("doc_id", "c", "low", "high", "label", "other", "rare")
+    met = rows.select("key", row.alias("w")).join(rows.where("other").select("key", row.alias("p")), "key")
+    met = met.where(F.coalesce(F.col("w.label") != F.col("p.label"), F.lit(True)) & (~F.col("w.other") | (F.col("w.doc_id") < F.col("p.doc_id"))))
+    pairs = aligned(met.where(F.coalesce(F.arrays_overlap("w.rare", "p.rare"), F.lit(True))).select("w.doc_id", "w.c", "w.low", "w.high", "p")).alias("n")
     have = done.alias("o")
     on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in ("a", "b", "d")] + [F.col("n.low") >= F.col("o.low"), F.col("n.high") <= F.col("o.high")]
     return pairs.join(have, reduce(Column.__and__, on), "left_anti")
@@ -498,12 +537,14 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     spans = written(spans, "spans")
     pairs = written(candidates(groups, still_open(groups, spans)), "candidates")
     edges, spans = with_near(edges, spans, verified(single, pairs))
-    rows = written(unsettled(groups, spans, edges), "unsettled")
-    for turn in range(1, ROUNDS + 1):  # windows that no passage holds meet two more pivots first, so that few pairs are left
-        more = written(candidates(rows, rows.where("label is null"), turn), "candidates")
+    rows = rarest(single, written(unsettled(groups.drop("exact"), spans, edges), "unsettled"))
+    for turn in range(1, ROUNDS + 1):  # windows that share a rare shingle meet pivots first, so that few pairs are left
+        left = meetings(written(unsettled(rows, spans, edges), "unsettled")).select(F.col("key").alias("group"), "doc_id", "c", "low", "high", "other")
+        more = written(candidates(left, left.where("other"), turn), "candidates")
         edges, spans = with_near(edges, spans, verified(single, more))
-        pairs, rows = pairs.union(more), written(unsettled(rows, spans, edges), "unsettled")
-    edges, spans = with_near(edges, spans, verified(single, written(others(single, rows, pairs), "others")))
+        pairs = pairs.union(more)
+    left = meetings(written(unsettled(rows, spans, edges), "unsettled"))
+    edges, spans = with_near(edges, spans, verified(single, written(others(left, pairs), "others")))
     return members, copies, edges, spans, shared
 
 

@@ -806,3 +806,47 @@ def test_every_pair_of_windows_of_a_group_may_link(spark):
     got = {row["doc_id"]: row["class_id"] for row in substring_dedup.report(df).collect()}
     assert [(a, b) for a, b in links if got[a] != got[b]] == []
     assert all(got[i] == i for i in range(rivals))
+
+
+def test_windows_around_a_common_line_do_not_all_meet(spark, monkeypatch):
+    """Of 150 texts that share a line of 36 words and nothing else, two hold it in a passage with one word changed: these are linked, and
+    the candidate pairs are fewer than with each text meeting each other (11,175)."""
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line, around = some(36), (some(4), some(15))
+    texts = [some(40) + line + some(40) for _ in range(148)]
+    texts += [some(30) + around[0] + line + around[1][:7] + some(1) + around[1][8:] + some(30) for _ in range(2)]
+    asked, verify = [], substring_dedup.verified
+    monkeypatch.setattr(substring_dedup, "verified", lambda single, pairs: asked.append(pairs.count()) or verify(single, pairs))
+    got = {row["doc_id"]: row["class_id"] for row in substring_dedup.report(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: min(i, 148) for i in range(150)}
+    assert sum(asked) < 30 * len(texts)
+
+
+@pytest.mark.parametrize("words", [4, 10**6])
+def test_windows_with_similar_runs_share_a_rare_shingle(words):
+    """All pairs of windows of one text and edited ones that hold similar runs of 46 around their midst, for any order of codes."""
+    r = np.random.default_rng(words)
+    base = r.integers(0, words, 91)
+    rows, order, ends = [], {}, []
+    for _ in range(60):
+        x = base.copy()
+        for at in r.integers(0, 91, r.integers(0, 3)):
+            x[at : at + r.integers(1, 6)] = r.integers(0, words, 1)
+        x[45] = base[45]
+        low, high = int(r.integers(0, 46)), int(r.integers(45, 91))
+        if high - low >= 45:
+            rows.append(np.where((np.arange(91) >= low) & (np.arange(91) <= high), x, -1))
+            ends.append((low, high))
+    codes = np.array(rows, np.int64)
+    order = np.where(codes < 0, 1 << 62, (codes * 2654435761 % 1009 << 32) + codes)
+    low, high = np.array(ends).T
+    mark = substring_dedup.rare(codes, order, low, high)
+    runs = [[set(x[i : i + 46].tolist()) for i in range(a, b - 44) if i <= 45 <= i + 45] for x, a, b in zip(codes, low, high, strict=True)]
+    alike = 0
+    for i in range(len(codes)):
+        for j in range(i):
+            if any(5 * len(p & q) >= 4 * len(p | q) for p in runs[i] for q in runs[j]):
+                alike += 1
+                assert set(codes[i][mark[i]].tolist()) & set(codes[j][mark[j]].tolist())
+    assert alike > 50
