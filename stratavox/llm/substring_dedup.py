@@ -321,18 +321,20 @@ def rarest(single: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """The rows (of ``rarest``) by key: a group, or of a large group each rare code of a window, whose array of them is null then."""
-    many = rows.where("large").withColumn("code", F.explode("rare")).withColumns({"key": F.xxhash64("group", "code"), "rare": F.lit(None).cast("array<int>")})
-    return rows.where("not large").withColumn("key", F.col("group")).unionByName(many.drop("code"))
+    """The rows (of ``rarest``) by key: a group, with code null, or of a large group each rare code of a window."""
+    many = rows.where("large").withColumn("code", F.explode("rare")).withColumn("key", F.xxhash64("group", "code"))
+    return rows.where("not large").withColumns({"code": F.lit(None).cast("int"), "key": F.col("group")}).unionByName(many)
 
 
 def others(rows: DataFrame, done: DataFrame) -> DataFrame:
     """The candidates, as of ``candidates``, of each other window of ``rows`` (of ``meetings``) and every window of its group with which
     it has a rare code in common, but for two that are held in one class, and for what ``done`` (candidates) has."""
-    row = F.struct("doc_id", "c", "low", "high", "label", "other", "rare")
+    row = F.struct("doc_id", "c", "low", "high", "label", "other", "rare", "code")
     met = rows.select("key", row.alias("w")).join(rows.where("other").select("key", row.alias("p")), "key")
     met = met.where(F.coalesce(F.col("w.label") != F.col("p.label"), F.lit(True)) & (~F.col("w.other") | (F.col("w.doc_id") < F.col("p.doc_id"))))
-    pairs = aligned(met.where(F.coalesce(F.arrays_overlap("w.rare", "p.rare"), F.lit(True))).select("w.doc_id", "w.c", "w.low", "w.high", "p")).alias("n")
+    # Two windows of a large group meet at each code that both have, and are joined at the first of them.
+    first = F.when(F.col("p.code").isNull(), F.arrays_overlap("w.rare", "p.rare")).otherwise(F.array_min(F.array_intersect("w.rare", "p.rare")) == F.col("p.code"))
+    pairs = aligned(met.where(first).select("w.doc_id", "w.c", "w.low", "w.high", "p")).alias("n")
     have = done.alias("o")
     on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in ("a", "b", "d")] + [F.col("n.low") >= F.col("o.low"), F.col("n.high") <= F.col("o.high")]
     return pairs.join(have, reduce(Column.__and__, on), "left_anti")
